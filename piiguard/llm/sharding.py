@@ -14,6 +14,7 @@ the input are not used and can't clash, as only id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -36,10 +37,22 @@ def tree(shards: int, shards_per_rack: int = 4, racks_per_region: int = 5) -> tu
     return tuple(Leaf(s // (shards_per_rack * racks_per_region), s // shards_per_rack, s) for s in range(shards))
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    """An exponential draw of rate ``leaf.weight`` from 52 bits of the hash of id and leaf."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{leaf.shard}"))), 1, 13), 16, 10).cast("double")
-    return -F.ln((bits + 0.5) / float(2**52)) / F.lit(leaf.weight)
+#: Draws are taken modulo this prime.
+PRIME = 2**31 - 1
+
+
+def _factors(leaf: int) -> tuple[int, ...]:
+    """The leaf's own multipliers below 2**28, from a digest of its name."""
+    digest = hashlib.sha256(f"leaf/{leaf}".encode()).hexdigest()
+    return tuple(int(digest[7 * i : 7 * i + 7], 16) + 1 for i in range(4))
+
+
+def _draw(leaf: Leaf) -> Column:
+    """An exponential draw of rate ``leaf.weight``: a quadratic hash of the id's two 28-bit halves."""
+    a, b, c, d = (F.lit(x).cast("long") for x in _factors(leaf.shard))
+    x, y, p = F.col("_x"), F.col("_y"), F.lit(PRIME).cast("long")
+    h = (x * a + y * b + c) % p
+    return -F.ln((((h * h) % p + x * d + y) % p + F.lit(0.5)) / F.lit(float(PRIME))) / F.lit(leaf.weight)
 
 
 def _least(values: list[Column]) -> Column:
@@ -84,10 +97,13 @@ def assign(docs: DataFrame, leaves: tuple[Leaf, ...], grown: tuple[Leaf, ...]) -
         raise ValueError("the grown tree must extend the tree")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     body = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.md5(key)
+    half = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
     df = docs.select(
         "doc_id", (F.octet_length(body) + OVERHEAD_BYTES).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"),
-        F.array(*[_draw(key, leaf) for leaf in grown]).alias("_draws"),
+        half(1).alias("_x"), half(8).alias("_y"),
     )
+    df = df.select("doc_id", "size", "text_crc32", F.array(*[_draw(leaf) for leaf in grown]).alias("_draws"))
     return descend(descend(df, leaves, "shard", "_draws"), grown, "grown_shard", "_draws").drop("_draws")
 
 
@@ -124,18 +140,23 @@ def op8_sharding(spark, sf_dir):
 
 
 def _sql(shards: int = 40) -> str:
-    draws = "list_transform(range(0, {n}), lambda s: -ln((('0x' || substr(md5(k || '/' || s::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0))"
+    factors = [_factors(i) for i in range(shards + 1)]
+    consts = [f"[{', '.join(str(f[k]) for f in factors)}]::BIGINT[]" for k in range(4)]
+    draws = (
+        "list_transform(range(1, {n} + 1), lambda s: -ln((((((x * fa[s] + y * fb[s] + fc[s]) % 2147483647) * ((x * fa[s] + y * fb[s] + fc[s]) % 2147483647)"
+        " % 2147483647) + x * fd[s] + y) % 2147483647 + 0.5) / 2147483647.0::DOUBLE))"
+    )
     least = "(list_position({l}, list_min({l})) - 1)::INTEGER"
     return f"""
 WITH RECURSIVE crc(i, k, c) AS (
   SELECT i::BIGINT, 0, i::BIGINT FROM range(0, 256) t(i)
   UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
 tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
-d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, k, octet_length(unhex(h))::BIGINT AS n, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+d AS (SELECT doc_id, md5(coalesce(doc_id::VARCHAR, 'null')) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(k, 1, 7))::BIGINT AS x, ('0x' || substr(k, 8, 7))::BIGINT AS y, octet_length(unhex(h))::BIGINT AS n, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
 e AS (SELECT doc_id, (n + 16)::BIGINT AS size,
         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
-        {draws.format(n=shards)} AS l, {draws.format(n=shards + 1)} AS g FROM b, tab),
+        {draws.format(n=shards)} AS l, {draws.format(n=shards + 1)} AS g FROM b, tab, (SELECT {consts[0]} AS fa, {consts[1]} AS fb, {consts[2]} AS fc, {consts[3]} AS fd) f),
 s AS (SELECT doc_id, size, text_crc32, {least.format(l='l')} AS shard, {least.format(l='g')} AS grown_shard FROM e)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
        (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
