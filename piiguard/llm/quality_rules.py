@@ -46,29 +46,46 @@ RULES = (
 )
 
 
-def _repeat_words(words: Column) -> Column:
+def _bind(value: Column, body) -> Column:
+    """``body`` of a lambda variable that holds ``value``, which is so evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _window_hashes(words: Column) -> Column:
+    """A 64-bit hash for each run of WINDOW = 8 words: runs of 2, 4 and 8 from pairs of the half."""
+    def doubled(half: int):
+        def body(h: Column) -> Column:
+            n = F.greatest(F.size(h) - half, F.lit(0))
+            return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(half + 1), n), lambda a, b: F.xxhash64(a, b))
+
+        return body
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for half in (1, 2, 4):
+        hashes = _bind(hashes, doubled(half))
+    return hashes
+
+
+def _repeat_words(words: Column, hashes: Column) -> Column:
     """Words inside 8-word windows that the text has twice or more.
 
-    Windows are compared by 64-bit hash first; only texts with an equal pair pay for the exact
-    comparison, which sorts the window texts and unites the spans of equal neighbours.
+    Windows are compared by 64-bit hash first; only texts with an equal pair go on: their windows
+    are sorted by hash and place, neighbours of one hash are compared word by word, and the spans of
+    the equal ones are united.
     """
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), n - F.lit(WINDOW))
     window = lambda i: F.slice(words, i + 1, F.lit(WINDOW))
-    hashes = F.transform(starts, lambda i: F.xxhash64(window(i)))
-    spans = F.sort_array(F.transform(starts, lambda i: F.struct(F.array_join(window(i), " ").alias("s"), i.alias("i"))))
 
     def equal(s: Column, j: Column, x: Column) -> Column:
-        return F.coalesce(F.get(s, j)["s"] == x["s"], F.lit(False))
+        other = F.get(s, j)
+        return F.coalesce((other["h"] == x["h"]) & (window(other["i"]) == window(x["i"])), F.lit(False))
 
-    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluates value once
-    repeated = bind(spans, lambda s: F.filter(s, lambda x, j: equal(s, j - 1, x) | equal(s, j + 1, x)))
+    spans = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeated = _bind(spans, lambda s: F.filter(s, lambda x, j: equal(s, j - 1, x) | equal(s, j + 1, x)))
     at = F.sort_array(F.transform(repeated, lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("e"), F.lit(0).alias("t"))
     step = lambda a, i: F.struct((i + WINDOW).alias("e"), (a["t"] + i + WINDOW - F.greatest(i, a["e"])).alias("t"))
     exact = F.aggregate(at, start, step, lambda a: a["t"])
-    suspicious = bind(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(n < WINDOW + 1, F.lit(0)).when(suspicious, exact).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), exact).otherwise(F.lit(0)).cast("long")
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -76,6 +93,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "te
     body = F.coalesce(F.col(text), F.lit(""))
     stops = sorted({v for w in STOP_WORDS for v in (w, w.capitalize())})
     base = docs.select(*[F.col(c) for c in keep], body.alias("_text"), words_of(F.col(text)).alias("_words"))
+    base = base.withColumn("_hashes", _window_hashes(F.col("_words")))
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     one = base.select(
         *keep,
@@ -83,7 +101,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "te
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
-        _repeat_words(F.col("_words")).alias("n_repeat_words"),
+        _repeat_words(F.col("_words"), F.col("_hashes")).alias("n_repeat_words"),
         F.size(F.filter("_words", lambda w: w.isin(*stops))).cast("long").alias("n_stop_words"),
     )
     two = one.select(
