@@ -91,8 +91,11 @@ def cut(text: str) -> list[str]:
     return words
 
 
-#: White space (and NUL) before a space, where cutting at each space would be wrong.
-_RUNS = "[\\x00\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] |\\x00"
+_SPACE = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+#: White space before a space, where cutting at each space would be wrong, and the mark of cuts.
+_RUNS = f"[{_SPACE}] |\\x00"
+#: Words that can stand side by side: no match of the pattern joins two of them.
+_APART = f"(?s)^ .*[^{_SPACE}]$"
 
 
 def cut_all(texts: pa.StringArray) -> pa.ListArray:
@@ -104,6 +107,41 @@ def cut_all(texts: pa.StringArray) -> pa.ListArray:
     return pa.array([cut(t) if r else p for t, r, p in zip(texts.to_pylist(), runs.to_pylist(), plain.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def encode_words(path: str, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and the ids of all in order.
+
+    Words that a space starts and none ends are encoded in one call on their concatenation; each
+    word's share follows from the byte lengths of the ids. Others are encoded one by one.
+    """
+    enc = encoder(path)
+    if path not in _TABLES:
+        _TABLES[path] = np.array([len(b) for b in token_bytes(path)], np.int64)
+    apart = pc.match_substring_regex(words, _APART)
+    some = words.filter(apart)
+    ids = np.array(enc.encode_ordinary("".join(some.to_pylist())), np.uint32)
+    ends = np.searchsorted(np.cumsum(_TABLES[path][ids]), np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)), side="left") + 1
+    flags = apart.to_numpy(zero_copy_only=False)
+    if flags.all():
+        return np.diff(ends, prepend=0), ids
+    single = [np.array(enc.encode_ordinary(w), np.uint32) for w in words.filter(pc.invert(apart)).to_pylist()]
+    count = np.zeros(len(words), np.int64)
+    count[flags] = np.diff(ends, prepend=0)
+    count[~flags] = [len(x) for x in single]
+    owner, out = np.repeat(flags, count), np.zeros(int(count.sum()), np.uint32)
+    out[owner], out[~owner] = ids, np.concatenate(single)
+    return count, out
+
+
+def spread(first: np.ndarray, count: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of ``codes`` one after another, and where each code's values end."""
+    n = count[codes]
+    ends = np.cumsum(n)
+    return np.repeat(first[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0), ends
+
+
 def squeeze(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by byte planes, compressed."""
     return _SQUEEZER.compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
@@ -157,27 +195,31 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pack_block((task << 32) + n, ids, pa.concat_arrays(texts))
 
 
-def _slices(lens: bytes, data: bytes) -> list[bytes]:
-    ends, data = np.cumsum(unsqueeze(lens)).tolist(), zstandard.decompress(data)
-    return [data[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+def _strings(lens: np.ndarray, data: bytes) -> pa.StringArray:
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lens), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
 
 
 def _encode_words(path: str):
     def run(group: pa.Table) -> pa.Table:
         """Encode each distinct word of the group once; give each block its words' ids."""
-        enc, known, rows = encoder(path), {}, []
-        encode = enc.encode_ordinary
-        for row in group.to_pylist():
-            if row["data"] is not None:
-                out = []
-                for w in _slices(row["lens"], row["data"]):
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = known[w] = np.array(encode(w.decode()), np.uint32).tobytes()
-                    out.append(ids)
-                row["lens"], row["data"] = squeeze(np.fromiter(map(len, out), np.uint32, len(out)) // 4), squeeze(np.frombuffer(b"".join(out), np.uint32))
-            rows.append(row)
-        return pa.Table.from_pylist(rows, schema=_PACKED)
+        holds = pc.is_valid(group["data"])
+        rows = group.filter(holds)
+        if not rows.num_rows:
+            return group
+        lens = [unsqueeze(x) for x in rows["lens"].to_pylist()]
+        words = pa.concat_arrays([_strings(n, zstandard.decompress(d)) for n, d in zip(lens, rows["data"].to_pylist(), strict=True)]).dictionary_encode()
+        count, ids = encode_words(path, words.dictionary)
+        first, codes = np.cumsum(count) - count, words.indices.to_numpy(zero_copy_only=False)
+        out_lens, out_data, at = [], [], 0
+        for n in map(len, lens):
+            own = codes[at : at + n]
+            out_lens.append(squeeze(count[own]))
+            out_data.append(squeeze(ids[spread(first, count, own)[0]]))
+            at += n
+        columns = {"lens": pa.array(out_lens, pa.binary()), "data": pa.array(out_data, pa.binary())}
+        done = pa.Table.from_arrays([columns.get(f.name, rows[f.name]) for f in _PACKED], schema=_PACKED)
+        return pa.concat_tables([done, group.filter(pc.invert(holds)).cast(_PACKED)])
 
     return run
 
@@ -196,12 +238,9 @@ def _reassemble(group: pa.Table) -> pa.Table:
     docs, values, sizes = [], [], []
     rest = group.filter(pc.is_null(group["data"]))
     for doc, seq in zip(rest["lens"].to_pylist(), rest["codes"].to_pylist(), strict=True):
-        seq = unsqueeze(seq)
-        n = count[seq]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        values.append(flat[np.repeat(first[seq] - (ends - n), n) + np.arange(total)])
-        sizes.append(total)
+        at, _ = spread(first, count, unsqueeze(seq))
+        values.append(flat[at])
+        sizes.append(len(at))
         docs.append(int(doc) if doc else None)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     flat_ids = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
