@@ -1,8 +1,10 @@
 """All queries of the library outside the corpus operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from piiguard.plans import elements, evaluation, pages, text
+from piiguard.plans.text import flagship
 
+_MODULES = (text, elements, evaluation, pages)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+__all__ = ["ORACLES", "QUERIES", "flagship"]
