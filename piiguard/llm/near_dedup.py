@@ -8,10 +8,10 @@ similarity, and pairs well below the threshold go. The rest is confirmed on the
 
 Links become components without listing all pairs of a group. Equal texts count as one. First each
 document is compared with one smaller document of its buckets and linked components are contracted.
-Then only documents outside the main component of a bucket are compared with members of other
-components there: one by one with the most similar member while that merges components, and finally
-with all that are left untested. Every candidate pair is so either confirmed, refuted, or inside one
-component. All tables stay distributed; rounds are cut by tables in the shared folder.
+Then the documents outside the main component of a bucket are compared with the members of other
+components there, chunk by chunk in cells of bounded size that give only links that join components.
+Every candidate pair is so confirmed, refuted, or inside one component. All tables stay distributed;
+rounds are cut by tables in the shared folder.
 
 Defined cases: a text of one to four words is one shingle; a null, empty or blank text has none, is
 linked with nothing and is kept; a null id takes no part: its component is null and it is kept; equal
@@ -39,8 +39,8 @@ BANDS = PERMUTATIONS // BAND_ROWS
 BITS = 2
 #: Estimated similarity below which a pair is not confirmed; over 4 standard errors under PERCENT.
 LEAST_ESTIMATE = 0.55
-#: Rounds of one-partner comparisons before all untested pairs are confirmed.
-ROUNDS = 4
+#: Rows of a side of a cell in the comparison of components, about.
+CHUNK = 256
 SLICE_BYTES = 4 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -199,6 +199,111 @@ def _relabel(ids: DataFrame, labels: DataFrame | None) -> DataFrame:
     return ids.join(labels.select(F.col("id").alias("rep"), F.col("label").alias("_label")), "rep", "left").withColumn("comp", F.coalesce("_label", "rep")).drop("_label")
 
 
+_CELL = [(c, pa.int64()) for c in ("bucket", "part", "id", "comp", "role", "s0", "s1", "s2", "s3")]
+
+
+def _cells(table_: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Each cell of a group: its rows, the places of its strays, the places of its members."""
+    bucket, part = table_["bucket"].to_numpy(), table_["part"].to_numpy()
+    order = np.lexsort((part, bucket))
+    edges = np.flatnonzero((np.diff(bucket[order], prepend=bucket[order[:1]] - 1) != 0) | (np.diff(part[order], prepend=part[order[:1]] - 1) != 0))
+    role = table_["role"].to_numpy()
+    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        own = order[a:b]
+        yield own, own[role[own] == 0], own[role[own] == 1]
+
+
+def _near_rows(group: pa.Table) -> pa.Table:
+    """The rows of those strays and members that some estimate brings together across components."""
+    group = group.combine_chunks()
+    sig = np.stack([group[f"s{i}"].to_numpy() for i in range(4)], 1)
+    comp = group["comp"].to_numpy()
+    most = PERMUTATIONS * (1 - LEAST_ESTIMATE) * (1 - 1.0 / (1 << BITS))
+    keep_ = np.zeros(group.num_rows, bool)
+    for _, x, y in _cells(group):
+        d = sig[x][:, None, :] ^ sig[y][None, :, :]
+        differ = np.bitwise_count(d[:, :, 0] | d[:, :, 2]).astype(np.int16) + np.bitwise_count(d[:, :, 1] | d[:, :, 3])
+        near = (differ <= most) & (comp[x][:, None] != comp[y][None, :])
+        keep_[x[near.any(1)]] = True
+        keep_[y[near.any(0)]] = True
+    return group.filter(pa.array(keep_))
+
+
+def _links(group: pa.Table) -> pa.Table:
+    """Links between components, confirmed on full sets; one for each two parts they join in a cell."""
+    group = group.combine_chunks()
+    ids, comp = group["id"].to_numpy(), group["comp"].to_numpy()
+    sig = np.stack([group[f"s{i}"].to_numpy() for i in range(4)], 1)
+    most = PERMUTATIONS * (1 - LEAST_ESTIMATE) * (1 - 1.0 / (1 << BITS))
+    found_a, found_b = [], []
+    for own, x, y in _cells(group):
+        if not len(x) or not len(y):
+            continue
+        texts = group["text"].combine_chunks().take(pa.array(own))
+        sets = dict(zip(own.tolist(), shingle_sets(texts), strict=True))
+        sizes = np.array([len(sets[j]) for j in y.tolist()])
+        flat, owner = np.concatenate([sets[j] for j in y.tolist()]), np.repeat(np.arange(len(y)), sizes)
+        parent = {c: c for c in set(comp[own].tolist())}
+
+        def root(c: int, parent: dict = parent) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for i in x.tolist():
+            d = sig[i] ^ sig[y]
+            differ = np.bitwise_count(d[:, 0] | d[:, 2]).astype(np.int16) + np.bitwise_count(d[:, 1] | d[:, 3])
+            near = np.flatnonzero((differ <= most) & (comp[y] != comp[i]))
+            if not len(near):
+                continue
+            own_set = sets[i]
+            if len(near) * 4 < len(y):
+                common = np.array([len(np.intersect1d(own_set, sets[y[k]], assume_unique=True)) for k in near])
+            else:
+                at = np.searchsorted(own_set, flat)
+                at[at == len(own_set)] = 0
+                common = np.bincount(owner[own_set[at] == flat], minlength=len(y))[near]
+            linked = 100 * common >= PERCENT * (len(own_set) + sizes[near] - common)
+            for k in near[linked]:
+                p, q = root(int(comp[i])), root(int(comp[y[k]]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found_a.append(min(ids[i], ids[y[k]]))
+                    found_b.append(max(ids[i], ids[y[k]]))
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+
+def _between(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that share buckets; joins no pairs.
+
+    In a bucket that several components share, documents outside its largest component are strays.
+    Strays and members are dealt into chunks of about CHUNK rows by hash, and a cell compares a chunk
+    of strays with a chunk of members: of each pair of different components one side is a stray, so
+    every pair meets. Cells are processed many to a task call, first by signatures alone, then, with
+    the texts of the rows that are left, on full sets.
+    """
+    spark = placed.sparkSession
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("_n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("_n", "comp")).alias("_m"), F.sum("_n").alias("_all"), F.count("*").alias("_k")).where("_k > 1")
+    mixed = materialize(mixed.select("bucket", F.col("_m.comp").alias("_main"), F.ceil((F.col("_all") - F.col("_m._n")) / CHUNK).cast("long").alias("_x"), F.ceil(F.col("_all") / CHUNK).cast("long").alias("_y")), "mixed")
+    open_ = materialize(placed.join(mixed, "bucket").withColumnRenamed("rep", "id"), "open")
+    own = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    names = [c for c, _ in _CELL]
+
+    def dealt(role: int, here: str, there: str, part: Column) -> DataFrame:
+        rows = open_.where("comp <> _main") if role == 0 else open_
+        rows = rows.withColumn("_own", own % F.col(here)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(there) - 1)))
+        return rows.withColumn("part", part).withColumn("role", F.lit(role).cast("long")).select(*names)
+
+    rows = dealt(0, "_x", "_y", F.col("_own") * F.col("_y") + F.col("_other")).unionByName(dealt(1, "_y", "_x", F.col("_other") * F.col("_y") + F.col("_own")))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), open_.count() // 4000)
+    key = F.pmod(F.xxhash64("bucket", "part"), F.lit(groups))
+    ddl = ", ".join(f"{c} long" for c in names)
+    near = materialize(rows.groupBy(key.alias("_g")).applyInArrow(_near_rows, ddl), "near")
+    told = near.join(texts, "id").select(*names, "text")
+    return materialize(told.groupBy(key.alias("_g")).applyInArrow(_links, "a long, b long"), "links")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
     signed = materialize(signatures(docs), "signed")
@@ -226,29 +331,10 @@ def components(docs: DataFrame) -> DataFrame:
     tested = materialize(confirm(first, texts), "tested")
     labels = contract(tested.where("linked").select("a", "b"))
 
-    for round_ in range(ROUNDS + 1):
-        placed = materialize(_relabel(members, labels), "placed")
-        sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("_n"))
-        mixed = materialize(sizes.groupBy("bucket").agg(F.max(F.struct("_n", "comp")).alias("_m"), F.count("*").alias("_k")).where("_k > 1").select("bucket", F.col("_m.comp").alias("main")), "mixed")
-        open_ = materialize(placed.join(mixed, "bucket"), "open")
-        stray = open_.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"), *[F.col(s).alias(f"a_{s}") for s in sig])
-        other = open_.select("bucket", F.col("rep").alias("y"), F.col("comp").alias("cy"), *[F.col(s).alias(f"b_{s}") for s in sig])
-        met = stray.join(other, "bucket").where((F.col("cx") != F.col("cy")) & (_estimate("a_", "b_") >= LEAST_ESTIMATE))
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y", "cx", "cy", _estimate("a_", "b_").alias("_e"))
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if round_ < ROUNDS:
-            # each stray and its most similar untested partner in each other component
-            best = pairs.groupBy("x", "cy").agg(F.max(F.struct("_e", "y", "a", "b")).alias("_m"))
-            fresh = best.select("_m.a", "_m.b").distinct()
-        else:
-            fresh = pairs.select("a", "b").distinct()
-        done = materialize(confirm(fresh, texts), "tested")
-        if done.isEmpty():
-            break
-        tested = tested.unionByName(done)
-        if done.where("linked").isEmpty():
-            continue
-        labels = contract(tested.where("linked").select("a", "b"))
+    placed = materialize(_relabel(members, labels), "placed")
+    more = _between(placed, texts)
+    if not more.isEmpty():
+        labels = contract(tested.where("linked").select("a", "b").unionByName(more))
 
     mapping = materialize(_relabel(reps.select("key", "rep"), labels).select("key", "comp"), "mapping")
     rows = signed.select("doc_id", "key", "n_shingles").join(mapping, "key", "left")
