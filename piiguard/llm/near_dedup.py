@@ -216,7 +216,7 @@ def _cells(table_: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]
 def _near_rows(group: pa.Table) -> pa.Table:
     """The rows of those strays and members that some estimate brings together across components."""
     group = group.combine_chunks()
-    sig = np.stack([group[f"s{i}"].to_numpy() for i in range(4)], 1)
+    sig = np.stack([group[f"s{i}"].to_numpy() for i in range(4)], 1).view(np.uint64)  # of signed numbers NumPy counts the bits of the absolute value
     comp = group["comp"].to_numpy()
     most = PERMUTATIONS * (1 - LEAST_ESTIMATE) * (1 - 1.0 / (1 << BITS))
     keep_ = np.zeros(group.num_rows, bool)
@@ -233,7 +233,7 @@ def _links(group: pa.Table) -> pa.Table:
     """Links between components, confirmed on full sets; one for each two parts they join in a cell."""
     group = group.combine_chunks()
     ids, comp = group["id"].to_numpy(), group["comp"].to_numpy()
-    sig = np.stack([group[f"s{i}"].to_numpy() for i in range(4)], 1)
+    sig = np.stack([group[f"s{i}"].to_numpy() for i in range(4)], 1).view(np.uint64)  # of signed numbers NumPy counts the bits of the absolute value
     most = PERMUTATIONS * (1 - LEAST_ESTIMATE) * (1 - 1.0 / (1 << BITS))
     found_a, found_b = [], []
     for own, x, y in _cells(group):
