@@ -37,8 +37,8 @@ PERMUTATIONS = 128
 BAND_ROWS = 4
 BANDS = PERMUTATIONS // BAND_ROWS
 BITS = 2
-#: Estimated similarity below which a pair is not confirmed; over 4 standard errors under PERCENT.
-LEAST_ESTIMATE = 0.55
+#: Estimated similarity below which a pair is not confirmed; over 5 standard errors under PERCENT.
+LEAST_ESTIMATE = 0.5
 #: Rows of a side of a cell in the comparison of components, about.
 CHUNK = 256
 SLICE_BYTES = 4 << 20
