@@ -3,9 +3,11 @@
 A text is cut before each run of white space into words (a run of white space and what follows it).
 No match of the vocabulary's pattern crosses such a cut, so a word's ids do not depend on its
 neighbours. Tasks gather whole texts into blocks, number each block's distinct words, and keep every
-text as the sequence of these numbers: the words' positions. The distinct words go through a shuffle
-by hash, where each is encoded once for all blocks of a group; its ids are joined back to the blocks,
-and each text is reassembled by position. Only distinct words and packed positions are shuffled.
+text as the sequence of these numbers: the words' positions. Frequent words have small numbers and
+whole texts are compressed many to a chunk, as the positions pass two shuffles. The distinct words go
+through a shuffle by hash, where each is encoded once for all blocks of a group; its ids are joined
+back to the blocks, and each text is reassembled by position. Only distinct words and packed positions
+are shuffled.
 
 Defined cases: a null or empty text has no ids; repeated rows and repeated ids of documents are kept
 row by row; a single very long text makes a block of its own; an empty table gives an empty table;
@@ -27,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text in a block, at which a task closes it (the text that crosses it included).
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 32 << 20
+#: Words of whole texts in a chunk, at which it is compressed (the text that crosses it included).
+CHUNK_WORDS = 1 << 18
 #: Groups that a block's distinct words are dealt to by hash.
-BUCKETS = 256
+BUCKETS = 128
 #: Map tasks whose blocks share one encoding of a word, so that no group grows with the corpus.
-TASKS_A_GROUP = 1 << 12
+TASKS_A_GROUP = 1 << 11
 
-_SQUEEZER = zstandard.ZstdCompressor(level=1)
+_SQUEEZER = zstandard.ZstdCompressor(level=6)
 _ENCODERS: dict[str, object] = {}
 
 
@@ -155,25 +159,50 @@ _PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("block", pa.
 PACKED_DDL = "part int, bucket long, block long, lens binary, data binary, codes binary"
 
 
+def _pack_ids(ids: list, counts: np.ndarray) -> bytes:
+    """The ids of a chunk's documents, which of them are null, and how many words each has."""
+    numbers = np.array([i or 0 for i in ids], np.int64)
+    return _SQUEEZER.compress(numbers.tobytes() + counts.astype(np.int64).tobytes() + bytes(i is None for i in ids))
+
+
+def _unpack_ids(data: bytes) -> tuple[list, np.ndarray]:
+    raw = zstandard.decompress(data)
+    n = len(raw) // 17
+    numbers = np.frombuffer(raw, np.int64, 2 * n)
+    return [None if null else i for i, null in zip(numbers[:n].tolist(), raw[16 * n :], strict=True)], numbers[n:]
+
+
 def _pack_block(block: int, ids: list, texts: pa.Array) -> pa.RecordBatch:
-    """A row for each hash bucket of the block's distinct words, and a row for each document."""
+    """A row for each hash bucket of the block's distinct words, and a row for each chunk of texts."""
     part = (block >> 32) // TASKS_A_GROUP
     lists = cut_all(texts)
     words = lists.flatten().dictionary_encode()
-    codes, offsets = words.indices.to_numpy(zero_copy_only=False).astype(np.uint32), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    keys = words.dictionary.cast(pa.binary()).to_pylist()
-    lens = np.fromiter(map(len, keys), np.uint32, len(keys))
-    hashes = np.fromiter(map(zlib.crc32, keys), np.uint32, len(keys)) % BUCKETS
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    entries = words.dictionary.cast(pa.binary())
+    sizes = pc.binary_length(entries).to_numpy(zero_copy_only=False).astype(np.uint32)
+    hashes = np.fromiter(map(zlib.crc32, entries.to_pylist()), np.uint32, len(entries)) % BUCKETS
+    place = np.empty(len(entries), np.int64)
+    place[pc.sort_indices(entries).to_numpy()] = np.arange(len(entries))
+    # frequent words first; equally frequent ones bucket by bucket, so that a bucket's numbers are runs
+    common = np.lexsort((place, sizes, hashes, -np.bincount(codes, minlength=len(entries))))
+    rank = np.empty(len(common), np.uint32)
+    rank[common] = np.arange(len(common), dtype=np.uint32)
+    codes, lens, hashes, keys = rank[codes], sizes[common], hashes[common], entries.take(pa.array(common)).to_pylist()
     order = np.argsort(hashes, kind="stable")
     edges = np.searchsorted(hashes[order], np.arange(BUCKETS + 1))
     rows = []
     for b in range(BUCKETS):
         at = order[edges[b] : edges[b + 1]]
         if len(at):
-            rows.append((part, b, block, squeeze(lens[at]), _SQUEEZER.compress(b"".join([keys[i] for i in at.tolist()])), squeeze(at)))
-    for i, doc in enumerate(ids):
-        # documents need no encoding: they are spread evenly and pass the word stage unread
-        rows.append((part, (block * 31 + i) % BUCKETS, block, b"" if doc is None else str(doc).encode(), None, squeeze(codes[offsets[i] : offsets[i + 1]])))
+            rows.append((part, b, block, squeeze(lens[at]), _SQUEEZER.compress(b"".join([keys[i] for i in at.tolist()])), squeeze(np.diff(at, prepend=0))))
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start, n = np.cumsum(counts), 0, 0
+    while start < len(ids):
+        base = int(ends[start - 1]) if start else 0
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + CHUNK_WORDS)) + 1), len(ids))
+        # chunks need no encoding: they are spread evenly and pass the word stage unread
+        rows.append((part, (block * 31 + n) % BUCKETS, block, _pack_ids(ids[start:stop], counts[start:stop]), None, squeeze(codes[base : int(ends[stop - 1])])))
+        start, n = stop, n + 1
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
@@ -230,18 +259,22 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 def _reassemble(group: pa.Table) -> pa.Table:
     """The ids of each document of one block, by position."""
     words = group.filter(pc.is_valid(group["data"]))
-    code, lens, flat = (np.concatenate([unsqueeze(x) for x in words[c].to_pylist()] or [np.zeros(0, np.uint32)]) for c in ("codes", "lens", "data"))
+    lens, flat = (np.concatenate([unsqueeze(x) for x in words[c].to_pylist()] or [np.zeros(0, np.uint32)]) for c in ("lens", "data"))
+    code = np.concatenate([np.cumsum(unsqueeze(x), dtype=np.int64) for x in words["codes"].to_pylist()] or [np.zeros(0, np.int64)])
     first = np.zeros(len(code), np.int64)
     first[code] = np.cumsum(lens, dtype=np.int64) - lens
     count = np.zeros(len(code), np.int64)
     count[code] = lens
     docs, values, sizes = [], [], []
     rest = group.filter(pc.is_null(group["data"]))
-    for doc, seq in zip(rest["lens"].to_pylist(), rest["codes"].to_pylist(), strict=True):
-        at, _ = spread(first, count, unsqueeze(seq))
+    for packed, seq in zip(rest["lens"].to_pylist(), rest["codes"].to_pylist(), strict=True):
+        ids, counts = _unpack_ids(packed)
+        at, ends = spread(first, count, unsqueeze(seq))
         values.append(flat[at])
-        sizes.append(len(at))
-        docs.append(int(doc) if doc else None)
+        docs += ids
+        # ids of a text: where those of its last word end, less where those of the texts before do
+        sizes.append(np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0))
+    sizes = np.concatenate(sizes or [np.zeros(0, np.int64)])
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     flat_ids = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
     return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat_ids)], schema=_ENCODED)
