@@ -1,0 +1,130 @@
+"""Single checks of action validation, and the regions and labels that they and the gate look at."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from piiguard.functions import actions as A, elements as E
+from piiguard.plans import elements as plans
+from piiguard.sources import html
+
+QUERIES, ORACLES = {}, {}
+_E, _A, _B = plans.ELEMENTS_SQL, plans.ACTIONS_SQL, plans.BOXES_SQL
+_KEYS = "action_id, action, target"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _check(spark, sf_dir, valid) -> DataFrame:
+    return plans.actions(spark, sf_dir).select("action_id", "action", "target", valid.alias("valid"))
+
+
+@query(f"SELECT {_KEYS}, origin = 'https://example.test' AS valid FROM ({_A})")
+def val_origin(spark, sf_dir):
+    return _check(spark, sf_dir, F.array_contains(F.array(F.lit("https://example.test")), F.col("origin")))
+
+
+@query(f"SELECT {_KEYS}, extra_key = '' AS valid FROM ({_A})")
+def val_schema(spark, sf_dir):
+    quoted = lambda name, value: F.concat(F.lit(f'"{name}": "'), value, F.lit('"'))
+    fields = [quoted("action", F.col("action")), quoted("target", F.col("target").cast("string")), quoted("reasoning_id", F.col("reasoning_id")), quoted("value_ref", F.col("value_ref"))]
+    more = F.when(F.col("extra_key") != "", F.concat(F.lit('"'), F.col("extra_key"), F.lit('": 1')))
+    return _check(spark, sf_dir, A.well_formed(F.concat(F.lit("{"), F.concat_ws(", ", *fields, more), F.lit("}"))))
+
+
+@query(f"SELECT {_KEYS}, action IN ('click', 'fill', 'scroll', 'focus', 'select') AS valid FROM ({_A})")
+def val_type(spark, sf_dir):
+    return _check(spark, sf_dir, F.col("action").isin(*A.ACTION_TYPES))
+
+
+@query(f"SELECT {_KEYS}, reasoning_id IN ('r1', 'r2') AS valid FROM ({_A})")
+def val_reasoning(spark, sf_dir):
+    known = spark.createDataFrame([("r1",), ("r2",)], "reasoning_id string").withColumn("known", F.lit(True))
+    a = plans.actions(spark, sf_dir).join(known, "reasoning_id", "left")
+    return a.select("action_id", "action", "target", F.coalesce("known", F.lit(False)).alias("valid"))
+
+
+@query(f"SELECT {_KEYS}, value_ref IN ('', 'v1') AS valid FROM ({_A})")
+def val_value_ref(spark, sf_dir):
+    store = spark.createDataFrame([("v1", "kept value")], "value_ref string, value string")
+    a = plans.actions(spark, sf_dir).join(store, "value_ref", "left")
+    return a.select("action_id", "action", "target", ((F.col("value_ref") == "") | F.coalesce(F.col("value") != "", F.lit(False))).alias("valid"))
+
+
+_SELECTORS = ("#e9", '[type="password"]', "[autocomplete]", "button", "input", "#e99", '[name="e3"]', "div > p")
+_MATCH = """CASE s.selector WHEN '#e9' THEN elem_idx = 9 WHEN '[type="password"]' THEN kind = 'password' WHEN '[autocomplete]' THEN autocomplete <> '' WHEN 'button' THEN tag = 'BUTTON'
+ WHEN 'input' THEN tag = 'INPUT' WHEN '[name="e3"]' THEN elem_idx = 3 ELSE false END"""
+
+
+@query(f"""SELECT c_custkey AS page_id, s.selector, CASE count(e.elem_idx) WHEN 0 THEN 'TARGET_NOT_FOUND' WHEN 1 THEN NULL ELSE 'AMBIGUOUS_TARGET' END AS reason
+FROM customer CROSS JOIN (SELECT unnest([{", ".join(f"'{s}'" for s in _SELECTORS)}]) AS selector) s LEFT JOIN ({_E}) e ON e.page_id = c_custkey AND {_MATCH} GROUP BY c_custkey, s.selector""")
+def val_resolve(spark, sf_dir):
+    """Targets by selector: an equality join of the selector's key with the keys of the page's elements."""
+    e = plans.elements(spark, sf_dir)
+    name, blank = F.concat(F.lit("e"), F.col("elem_idx").cast("string")), lambda c: F.nullif(F.col(c), F.lit(""))
+    keys = e.select("page_id", "elem_idx", F.explode(A.element_keys(F.col("tag"), {"id": name, "name": name, "type": blank("kind"), "autocomplete": blank("autocomplete")})).alias("k"))
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("page_id"), F.explode(F.array(*map(F.lit, _SELECTORS))).alias("selector"))
+    asked = asked.withColumn("key", A.selector_key(F.col("selector"))).select("page_id", "selector", "key.*")
+    met = asked.join(keys.select("page_id", "elem_idx", "k.*"), ["page_id", "name", "value"], "left").groupBy("page_id", "selector").agg(F.count("elem_idx").alias("n"))
+    return met.select("page_id", "selector", F.when(F.col("n") == 0, "TARGET_NOT_FOUND").when(F.col("n") > 1, "AMBIGUOUS_TARGET").alias("reason"))
+
+
+@query(f"SELECT a.action_id, a.action, a.target, e.style IS NULL OR e.style <> 'hidden' AS valid FROM ({_A}) a LEFT JOIN ({_E}) e ON e.page_id = a.page_id AND e.elem_idx = a.target")
+def val_visible(spark, sf_dir):
+    e = plans.elements(spark, sf_dir).select("page_id", F.col("elem_idx").alias("target"), "style")
+    a = plans.actions(spark, sf_dir).join(e, ["page_id", "target"], "left")
+    return a.select("action_id", "action", "target", F.coalesce(F.col("style") != "hidden", F.lit(True)).alias("valid"))
+
+
+@query(f"SELECT page_id, elem_idx, NOT (elem_idx = 9 AND page_id % 3 = 0 OR elem_idx = 8 AND page_id % 3 = 1 OR elem_idx = 7 AND page_id % 5 = 0) AS enabled FROM ({_E})")
+def val_enabled(spark, sf_dir):
+    at = lambda n, m, r: (F.col("elem_idx") == n) & (F.col("page_id") % m == r)
+    off, readonly, aria = F.when(at(9, 3, 0), "").when(at(9, 3, 1), "false"), F.when(at(8, 3, 1), "true"), F.when(at(7, 5, 0), "true").when(at(7, 5, 1), "")
+    return plans.elements(spark, sf_dir).select("page_id", "elem_idx", (~A.disabled(off, readonly, aria)).alias("enabled"))
+
+
+@query(f"SELECT page_id, elem_idx, lower(tag) || ' element with alt=\"' || label || '\" src=\"' || src[:50] || '\"' AS description FROM ({_E}) WHERE style = 'none' AND tag IN ('IMG', 'CANVAS', 'VIDEO', 'SVG')")
+def san_visual_meta(spark, sf_dir):
+    e = plans.elements(spark, sf_dir).where((F.col("style") == "none") & F.col("tag").isin(*E.VISUAL_TAGS))
+    return e.select("page_id", "elem_idx", F.concat(F.lower("tag"), F.lit(' element with alt="'), "label", F.lit('" src="'), F.substring("src", 1, 50), F.lit('"')).alias("description"))
+
+
+@query(f"SELECT page_id, box_id, w / 1024 * 512 AS w, h / 1024 * 512 AS h FROM ({_B}) WHERE w / 1024 * 512 BETWEEN 20 AND 1000 AND h / 1024 * 512 BETWEEN 20 AND 1000")
+def l3_convert(spark, sf_dir):
+    """Normalised boxes scaled to a region of 512 pixels; those without the size of a face go."""
+    scaled = plans.boxes(spark, sf_dir).select("page_id", "box_id", *[(F.col(c) / 1024.0 * 512.0).alias(c) for c in "wh"])
+    return scaled.where(F.col("w").between(20, 1000) & F.col("h").between(20, 1000))
+
+
+@query(f"""SELECT r.page_id, r.box_id, count(*) AS detections FROM ({_B}) r JOIN ({_B}) d ON r.page_id = d.page_id AND r.score < 0.5 AND d.score >= 0.5
+AND r.x < d.x + d.w AND d.x < r.x + r.w AND r.y < d.y + d.h AND d.y < r.y + r.h GROUP BY r.page_id, r.box_id""")
+def vis_perceive(spark, sf_dir):
+    """Regions with the number of detections that overlap them; regions with none go."""
+    b = plans.boxes(spark, sf_dir)
+    regions = b.where("score < 0.5").select("page_id", "box_id", *[F.col(c).alias(f"a{c}") for c in "xywh"])
+    found = b.where("score >= 0.5").select("page_id", *[F.col(c).alias(f"b{c}") for c in "xywh"])
+    return regions.join(found, "page_id").where(E.overlaps("a", "b")).groupBy("page_id", "box_id").agg(F.count("*").alias("detections"))
+
+
+@query()
+def el_label_text(spark, sf_dir):
+    e = html.walk(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return e.where("tag IN ('INPUT', 'TEXTAREA', 'SELECT')").select("page_id", "elem_idx", "label_text")
+
+
+@query()
+def el_aria_label(spark, sf_dir):
+    """The label that an element carries, else the text of the first element of its page that it names."""
+    e = html.walk(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    attr = lambda name: F.nullif(F.try_element_at("attributes", F.lit(name)), F.lit(""))
+    named = e.select("page_id", attr("id").alias("by"), "elem_idx", "text").where("by IS NOT NULL").groupBy("page_id", "by").agg(F.min_by("text", "elem_idx").alias("named"))
+    own = e.select("page_id", "elem_idx", attr("aria-label").alias("own"), attr("aria-labelledby").alias("by"))
+    return own.join(named, ["page_id", "by"], "left").select("page_id", "elem_idx", F.coalesce("own", "named").alias("aria_label"))

@@ -15,3 +15,14 @@ def test_walk():
 
 def test_empty():
     assert elements_of(1, None) == [] and elements_of(1, "") == []
+
+
+def test_labels_of_elements(spark, tmp_path):
+    from piiguard import registry
+
+    body = "<body><span id='n'>Your name</span><span id='n'>other</span><input aria-labelledby='n'><input aria-label='own' aria-labelledby='n'><label>Mail <input></label></body>"
+    spark.createDataFrame([(1, body), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    named = {r["elem_idx"]: r["aria_label"] for r in registry.QUERIES["el_aria_label"](spark, str(tmp_path)).collect()}
+    assert named == {0: None, 1: None, 2: "Your name", 3: "own", 4: None, 5: None}
+    labels = {r["elem_idx"]: r["label_text"] for r in registry.QUERIES["el_label_text"](spark, str(tmp_path)).collect()}
+    assert labels == {2: None, 3: None, 5: "Mail"}

@@ -18,7 +18,7 @@ def test_names_and_oracles():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["flagship", "l1_detect", "gate_decide", "strat_run", "val_action", "ev_metrics", "ev_security", "st_stats", "ex_category_strategy", "san_validate"])
+@pytest.mark.parametrize("name", ["flagship", "l1_detect", "gate_decide", "strat_run", "val_action", "ev_metrics", "ev_security", "st_stats", "ex_category_strategy", "san_validate", "val_origin", "val_schema", "val_type", "val_reasoning", "val_value_ref", "val_resolve", "val_visible", "val_enabled", "san_visual_meta", "l3_convert", "vis_perceive"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
