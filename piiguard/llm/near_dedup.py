@@ -15,9 +15,10 @@ rounds are cut by tables in the shared folder.
 
 Defined cases: a text of one to four words is one shingle; a null, empty or blank text has none, is
 linked with nothing and is kept; a null id takes no part: its component is null and it is kept; equal
-rows share a component; rows of one id with different texts
-go by their text, each with the component of that text; an empty table
-gives an empty table; extra columns are not read by :func:`components` and kept by :func:`keep`.
+rows share a component; rows of one id with different texts are documents of their own: each has the
+component of its text, named by the least id there, and ``kept`` compares ids only, while :func:`keep`
+leaves one (id, text) of a component, the one with the least id and then the least digest; an empty
+table gives an empty table; extra columns are not read by :func:`components` and kept by :func:`keep`.
 """
 
 from __future__ import annotations
@@ -146,10 +147,17 @@ def _estimate(a: str, b: str) -> Column:
     return ((F.lit(PERMUTATIONS) - differ) / float(PERMUTATIONS) - chance) / (1 - chance)
 
 
+def _body() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.encode(_body(), "utf-8"), 256))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Key, set size, packed signature and band keys of each row with an id."""
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(body, "utf-8"), 256)).alias("key"), F.encode(body, "utf-8").alias("_text"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("key"), F.encode(_body(), "utf-8").alias("_text"))
     return rows.mapInArrow(_sign, _SIGNED_DDL)
 
 
@@ -304,23 +312,32 @@ def _between(placed: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(told.groupBy(key.alias("_g")).applyInArrow(_links, "a long, b long"), "links")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
-    signed = materialize(signatures(docs), "signed")
+def _with_nodes(picked: DataFrame) -> DataFrame:
+    """Column ``rep``, the number of a text: its least id, or a 64-bit hash where that id has a lesser text."""
+    again = materialize(picked.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return picked.withColumn("rep", F.col("doc_id"))
+    least = picked.join(again, "doc_id").groupBy("doc_id").agg(F.min("key").alias("_least"))
+    own = F.coalesce(F.col("key") == F.col("_least"), F.lit(True))
+    return picked.join(least, "doc_id", "left").withColumn("rep", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("key"))).drop("_least")
+
+
+def _mapping(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """key, doc_id (the least of the text) and comp of each text that has shingles."""
     sig = ["s0", "s1", "s2", "s3"]
     picked = signed.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("doc_id", *sig, "bands")).alias("_m"))
-    reps = materialize(picked.select("key", F.col("_m.doc_id").alias("rep"), *[F.col(f"_m.{s}") for s in sig], F.col("_m.bands").alias("bands")), "reps")
+    picked = materialize(picked.select("key", F.col("_m.doc_id").alias("doc_id"), *[F.col(f"_m.{s}") for s in sig], F.col("_m.bands").alias("bands")), "picked")
+    reps = _with_nodes(picked)
 
     exploded = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket"), "buckets")
     member_ids = materialize(exploded.join(shared, "bucket"), "member_ids")
     members = materialize(member_ids.join(reps.select("rep", *sig), "rep"), "members")
 
-    needed = member_ids.select("rep").distinct().join(reps.select("rep", "key"), "rep").select(F.col("rep").alias("doc_id"), "key")
-    body = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
-    texts = whole.withColumn("key", F.unhex(F.sha2("text", 256))).join(needed, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    texts = materialize(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
+    needed = member_ids.select("rep").distinct().join(reps.select("rep", "doc_id", "key"), "rep")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(_body(), "utf-8").alias("text"))
+    texts = whole.withColumn("key", F.unhex(F.sha2("text", 256))).join(needed, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    texts = materialize(texts.select(F.col("rep").alias("id"), "text"), "texts")
 
     # round one: each member and the least member of one of its buckets
     centers = members.groupBy("bucket").agg(F.min(F.struct("rep", *sig)).alias("_c"))
@@ -335,20 +352,36 @@ def components(docs: DataFrame) -> DataFrame:
     more = _between(placed, texts)
     if not more.isEmpty():
         labels = contract(tested.where("linked").select("a", "b").unionByName(more))
+    return materialize(_relabel(reps.select("key", "doc_id", "rep"), labels).select("key", "doc_id", "rep", "comp"), "mapping")
+
+
+def _least_ids(mapping: DataFrame) -> DataFrame:
+    """key and component_id: the least id of the component, whose number may be a hash."""
+    hashed = mapping.where("rep <> doc_id").select("comp").distinct()
+    if hashed.isEmpty():
+        return mapping.select("key", F.col("comp").alias("component_id"))
+    names = mapping.join(hashed, "comp", "left_semi").groupBy("comp").agg(F.min("doc_id").alias("_least"))
+    return mapping.join(names, "comp", "left").select("key", F.coalesce("_least", "comp").alias("component_id"))
+
 
-    mapping = materialize(_relabel(reps.select("key", "rep"), labels).select("key", "comp"), "mapping")
-    rows = signed.select("doc_id", "key", "n_shingles").join(mapping, "key", "left")
-    comp = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
+    signed = materialize(signatures(docs), "signed")
+    rows = signed.select("doc_id", "key", "n_shingles").join(_least_ids(_mapping(docs, signed)), "key", "left")
+    comp = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = rows.select("doc_id", "n_shingles", comp.alias("component_id"))
     nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each component, and the rows without id; the columns of ``docs``."""
-    gone = components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component, each blank text of an id, and the rows without id; the columns of ``docs``."""
+    mapping = _mapping(docs, materialize(signatures(docs), "signed"))
+    first = mapping.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f.key").alias("_first"))
+    blank = F.btrim(_body(), F.lit(SEPARATORS)) == ""
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", _digest()).withColumn("_null", F.col("text").isNull())
+    left = rows.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_first")), "left").where(F.col("_id").isNotNull() | blank)
+    return left.dropDuplicates(["doc_id", "_key", "_null"]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 # ----------------------------------------------------------------------------------------------

@@ -212,6 +212,20 @@ def test_near_dedup(spark):
     assert near_dedup.components(df.where("doc_id = -1")).count() == 0
 
 
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    # (9, e) is near (4, e y); (9, f) is not
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, d), (8, d), (9, e), (4, e + " y"), (9, f), (12, f), (15, d + " z"), (20, None), (20, ""), (20, " "), (21, "q r s t"), (21, "q r s t u v w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = [(3, a), (7, b), (8, c), (8, d), (4, e + " y"), (9, f), (20, None), (20, ""), (20, " "), (21, "q r s t"), (21, "q r s t u v w")]
+    norm = lambda rows: sorted((i, str(t)) for i, t in rows)
+    assert norm(tuple(r) for r in near_dedup.keep(df).collect()) == norm(want)
+    named = {(r["doc_id"], r["component_id"]) for r in near_dedup.components(df).collect()}
+    assert named == {(3, 3), (7, 3), (7, 7), (8, 8), (9, 4), (4, 4), (9, 9), (12, 9), (15, 8), (20, 20), (21, 21)}
+    near = spark.createDataFrame([(14, d), (14, d + " y"), (30, d + " y z")], "doc_id long, text string")
+    assert [r["doc_id"] for r in near_dedup.keep(near).collect()] == [14]
+
+
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality_classifier, "quality")])
 def test_classifiers(spark, module, label):
     rng = random.Random(1)
