@@ -60,3 +60,16 @@ def sanitize_values(text: Column, values: Column) -> Column:
     literal = lambda v: F.concat(F.lit("(?i)\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     folded = F.aggregate(F.filter(values, lambda d: F.trim(d["value"]) != ""), text, lambda s, d: F.regexp_replace(s, literal(d["value"]), P.placeholder(d["type"])))
     return P.sanitize(folded)
+
+
+def detected_values(text: str) -> Column:
+    """All matches of the seven patterns as structs of value and type, in order of emission."""
+    found = F.flatten(F.array(*[_tagged(n, text) for n in P.PATTERNS]))
+    return F.transform(found, lambda d: F.struct(d["original_value"].alias("value"), d["type"].alias("type")))
+
+
+def leaks_values(text: Column, values: Column) -> Column:
+    """Fail closed like :func:`P.leaks`; also true where a detected value is left, or a password has no placeholder."""
+    left = F.exists(values, lambda d: (d["value"] != "") & (d["value"] != P.placeholder(d["type"])) & F.contains(text, d["value"]))
+    password = F.exists(values, lambda d: d["type"] == "password") & (text != "") & ~F.contains(text, F.lit("[PASSWORD]"))
+    return F.coalesce(P.leaks(text) | left | password, F.lit(True))

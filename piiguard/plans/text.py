@@ -88,6 +88,18 @@ def san_validate(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", P.leaks(F.col("text")).alias("leak_raw"), P.leaks(P.sanitize(F.col("text"))).alias("leak_sanitized"))
 
 
+def san_string_detected(spark, sf_dir):
+    """The whole of text sanitizing: detected values of all patterns, then the tail of ``san_string``."""
+    return _docs(spark, sf_dir).select("doc_id", T.sanitize_values(F.col("text"), T.detected_values("text")).alias("sanitized"))
+
+
+def san_validate_detected(spark, sf_dir):
+    """The whole leak check, with detected values and the password rule, of raw and wholly sanitized texts."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", T.detected_values("text").alias("_v"))
+    clean = T.sanitize_values(F.col("text"), F.col("_v"))
+    return rows.select("doc_id", T.leaks_values(F.col("text"), F.col("_v")).alias("leak_raw"), T.leaks_values(clean, F.col("_v")).alias("leak_sanitized"))
+
+
 def url_origin(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", P.url_origin(F.col("url")).alias("origin"))
 
@@ -110,7 +122,7 @@ _SAN = "regexp_replace(regexp_replace(text, {e}, '[EMAIL]', 'g'), {p}, '[PHONE]'
 _LEAK = "coalesce(regexp_matches({t}, {e}) OR regexp_matches({t}, {p}), true)"
 _leak = lambda t: _LEAK.format(t=t, e=_q(P.SANITIZE_EMAIL), p=_q(P.LEAK_PHONE))
 
-for _f in (l2_luhn, l2_find_matches, pipe_detect, red_placeholder, red_spans, red_infos, red_actions, san_string, san_string_turns, san_deep, san_validate, url_origin, flagship):
+for _f in (l2_luhn, l2_find_matches, pipe_detect, red_placeholder, red_spans, red_infos, red_actions, san_string, san_string_turns, san_deep, san_validate, san_string_detected, san_validate_detected, url_origin, flagship):
     QUERIES[_f.__name__] = _f
 ORACLES |= {
     "l2_luhn": "SELECT doc_id, candidate, " + LUHN_SQL.format(d="regexp_replace(candidate, '[^0-9]', '', 'g')") + " AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9 -]{11,22}[0-9]')) AS candidate FROM documents)",

@@ -50,6 +50,18 @@ def test_leak_check_fails_closed(spark):
     assert one(spark, P.leaks(F.col("t")), t="nothing") is False
 
 
+def test_detected_values_go_and_are_checked(spark):
+    card = "pay 4532015112830366 to P.O. Box 77"
+    clean = one(spark, T.sanitize_values(F.col("t"), T.detected_values("t")), t=card)
+    assert clean == "pay [CREDIT_CARD] to P.O. Box [PHONE]"
+    assert one(spark, P.leaks(F.col("t")), t=card) is False
+    assert one(spark, T.leaks_values(F.col("t"), T.detected_values("t")), t=card) is True
+    assert one(spark, T.leaks_values(F.lit(clean), T.detected_values("t")), t=card) is False
+    assert one(spark, T.leaks_values(F.col("t"), T.detected_values("t")), t=None) is True
+    password = F.array(F.struct(F.lit("hunter").alias("value"), F.lit("password").alias("type")))
+    assert [one(spark, T.leaks_values(F.col("t"), password), t=t) for t in ("secret", "[PASSWORD]", "")] == [True, False, False]
+
+
 def test_url_origin(spark):
     for url, origin in {"https://u:p@A.test:443/x?y": "https://a.test", "http://a.test:8080": "http://a.test:8080", "nonsense": "unknown"}.items():
         assert one(spark, P.url_origin(F.col("t")), t=url) == origin
