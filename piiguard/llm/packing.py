@@ -5,7 +5,8 @@ of descending powers of two. Every piece is a sequence of its own; as its length
 it needs no padding. Pieces of equal lengths are bucketed: their sequence ids are consecutive.
 
 Ids come from the byte-level BPE; of the texts tokenized together each distinct word is encoded once,
-as its ids do not depend on its neighbours (see :mod:`piiguard.llm.tokens`).
+as its ids do not depend on its neighbours (see :mod:`piiguard.llm.tokens`). Texts are first cut at the
+added tokens of the tokenizer's JSON file, which have ids of their own.
 
 Defined cases: a null or empty text is the end id alone, one piece of length 1; repeated rows are
 packed row by row; pieces of very long texts are many rows of at most ``SEQUENCE`` ids; an empty table
@@ -14,6 +15,10 @@ gives an empty table; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,15 +43,41 @@ def decompose(n: int, top: int = SEQUENCE) -> list[int]:
     return [top] * (n // top) + [1 << b for b in range(top.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
+@functools.cache
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the JSON file beside a rank file, longest first."""
+    with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that take in or need neighbours are not supported")
+    return {t["content"]: t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))}
+
+
 def tokenize(path: str, texts: pa.StringArray) -> list[np.ndarray]:
     """Ids of many texts, each followed by the end id; each distinct word is encoded once."""
+    added = added_tokens(path)
+    holds = np.zeros(len(texts), bool)
+    for token in added:
+        holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    end = np.array([END_ID], np.uint32)
+    plain = iter(_ids(path, texts.filter(pa.array(~holds))))
+    if not holds.any():
+        return [np.concatenate([x, end]) for x in plain]
+    cuts = [re.split("(" + "|".join(map(re.escape, added)) + ")", t) for t in texts.filter(pa.array(holds)).to_pylist()]
+    between = iter(_ids(path, pa.array([p for parts in cuts for p in parts[::2]], pa.string())))
+    joined = iter([np.concatenate([np.array([added[p]], np.uint32) if i % 2 else next(between) for i, p in enumerate(parts)]) for parts in cuts])
+    return [np.concatenate([next(joined if h else plain), end]) for h in holds.tolist()]
+
+
+def _ids(path: str, texts: pa.StringArray) -> list[np.ndarray]:
+    """Ids of texts without added tokens."""
     lists = cut_all(texts)
     words = lists.flatten().dictionary_encode()
     count, flat = encode_words(path, words.dictionary)
     at, ends = spread(np.cumsum(count) - count, count, words.indices.to_numpy(zero_copy_only=False))
     tokens, edges = flat[at], np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
     bounds = np.concatenate([[0], ends])[edges]
-    return [np.append(tokens[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _pieces(path: str, with_ids: bool, schema: pa.Schema):

@@ -78,6 +78,17 @@ def test_packing(spark, docs, path):
     assert packing.pack(empty(docs), path).count() == 0
 
 
+def test_packing_knows_added_tokens(path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "plain  text", "<|endoftext|>", "", "x<|endoftext|><|endoftext|>y \n z", "<|endoftext<|endoftext|>", "é <|endoftext|"]
+    assert [x.tolist() for x in packing.tokenize(path, pa.array(texts))] == [tk.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_decompose():
     for n in (1, 5, 1023, 1024, 1025, 5000):
         parts = packing.decompose(n)
