@@ -8,6 +8,10 @@ block takes the label of the nearest decided neighbours in its own container: go
 good at the least distance; in a container without decided blocks, an article or main element makes
 them good and anything else bad.
 
+Names of classes and ids mark furniture by any of their words; those of an article or main element and
+of the elements around one only if the whole name says so (``comments``, ``comments-area``), as their
+names tell of the page's layout and topic too (``has-sidebar``, ``comments-open``, ``category-social``).
+
 Defined cases: null or empty html gives an empty text; unclosed elements end with the page; an open
 tag, comment, script or style that the page's end cuts off is dropped; repeated rows are extracted
 row by row; an empty table gives an empty table; extra columns are not read. No text is capped.
@@ -44,6 +48,9 @@ FURNITURE_NAMES = frozenset(
 #: Names that hold the main text although a furniture word may be part of them.
 MAIN_NAMES = frozenset("article articlebody content entry maincontent mainbody post postbody story storybody".split())
 
+#: What may follow furniture words in a name that says as a whole that its element is furniture.
+NAME_ENDS = frozenset("area article articles block body box container content div entries inner item items latest list outer popular post posts primary recent secondary section stories thread wrap wrapper".split())
+
 LONG_CHARS = 60
 LOW_STOPS, MANY_STOPS = 0.12, 0.20
 MOST_LINKS = 0.5
@@ -55,8 +62,11 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = frozenset(STOP_WORDS)
 
 
-def _is_furniture(tag: str, attrs: str, in_main: bool) -> bool:
-    """Whether an element is page furniture. A header inside an article is part of it."""
+def _is_furniture(tag: str, attrs: str, in_main: bool, holds_main: bool) -> bool:
+    """Whether an element is page furniture. A header inside an article is part of it.
+
+    ``holds_main``: it is an article or main element or around one.
+    """
     if tag in FURNITURE_TAGS and not (tag == "header" and in_main):
         return True
     if not attrs:
@@ -71,6 +81,8 @@ def _is_furniture(tag: str, attrs: str, in_main: bool) -> bool:
             continue
         for name in value.split():
             parts = [p.lower() for p in _NAME_PARTS.findall(name)]
+            if holds_main and not (parts and parts[0] in FURNITURE_NAMES and FURNITURE_NAMES.union(NAME_ENDS).issuperset(parts)):
+                continue
             if parts and "".join(parts) not in MAIN_NAMES and FURNITURE_NAMES.intersection(parts) and tag not in ("html", "body") and not (in_main and parts == ["header"]):
                 return True
     return False
@@ -88,8 +100,19 @@ class Block:
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, with decoded and collapsed text; empty ones are left out."""
+    out, around = _blocks(page, frozenset())
+    # elements do not depend on what is furniture: a second reading knows which ones hold a main element
+    return _blocks(page, frozenset(around))[0] if around else out
+
+
+def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
+    """Blocks, and where the elements begin that are or hold an article or main element within furniture.
+
+    ``holding`` are such places, known from an earlier reading.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, furniture, container, link
+    around: set[int] = set()
+    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, furniture, container, link, place
     containers = 0
     now = Block(0, False)
 
@@ -157,16 +180,18 @@ def blocks_of(page: str) -> list[Block]:
                 if depth >= 0 and stack[depth][0] == "p":
                     del stack[depth:]
         top = stack[-1] if stack else ("", False, 0, False)
-        furniture = top[1] or _is_furniture(tag, attrs, top[2] > 0)
+        furniture = top[1] or _is_furniture(tag, attrs, top[2] > 0, pos in holding)
         container = top[2]
         if tag in MAIN_TAGS or 'role="main"' in attrs:
             containers += 1
             container = containers
-        stack.append((tag, furniture, container, top[3] or tag == "a"))
+            if furniture:
+                around.update([pos, *(s[4] for s in stack)])
+        stack.append((tag, furniture, container, top[3] or tag == "a", pos))
         if tag in BLOCK_TAGS or furniture != top[1]:
             close()
     close()
-    return out
+    return out, around
 
 
 def label(blocks: list[Block]) -> None:

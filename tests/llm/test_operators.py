@@ -161,6 +161,15 @@ def test_html():
     assert html_extract.main_text(None) == "" and html_extract.main_text("<p") == "" and html_extract.main_text("<article><p>cut &am") == "cut &am"
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "comments-open", "category-social", "tag-advertising", "content-sidebar-wrap"])
+def test_html_names_around_the_main_text(name):
+    inner = '<p>The main text of the page.</p><div class="share-bar">Share</div>'
+    for page in (f"<main class='{name}'>{inner}</main>", f"<div id={name}><div class='{name}'><article>{inner}</article></div><div class='{name}'>no</div></div>", f"<div class={name}><div role=\"main\">{inner}</div></div>"):
+        assert html_extract.main_text(f"<body>{page}</body>") == "The main text of the page."
+    for whole in ("comments", "comments-area", "related-posts"):
+        assert html_extract.main_text(f"<main>{inner}<div class='{whole}'><article class='comment-body'>{inner}</article></div></main>") == "The main text of the page."
+
+
 def test_html_without_article():
     page = "<body><ul><li><a href=a>Home</a></li></ul><div><p>" + "The cat and the dog of the house are in the garden with a friend. " * 2 + "</p><p>Short.</p></div></body>"
     assert html_extract.main_text(page).endswith("Short.") and "Home" not in html_extract.main_text(page)
