@@ -136,9 +136,14 @@ def verdict(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
+    """The rows of ``docs`` that pass, with their own columns only.
+
+    The filter also reads a row number: the optimizer moves no filter below a column that is not
+    deterministic, and so does not write every measure out again in place of ``kept``.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_body"))
-    return measure(packed, rules, text="_body", keep=("_row",)).where("kept").select("_row.*")
+    judged = measure(packed, rules, text="_body", keep=("_row",)).select("_row", "kept", F.monotonically_increasing_id().alias("_place"))
+    return judged.where("kept AND _place >= 0").select("_row.*")
 
 
 # ----------------------------------------------------------------------------------------------

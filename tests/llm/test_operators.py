@@ -116,6 +116,15 @@ def test_quality_rules(spark):
     assert quality_rules.keep(clash).columns == ["n_words", "text", "kept"]
 
 
+def test_quality_filter_stays_above_the_measures(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    splits = lambda df: plan(df).count("split(")
+    assert splits(quality_rules.keep(docs)) <= splits(quality_rules.measure(docs))
+    kept = {r["doc_id"] for r in quality_rules.measure(docs).where("kept").collect()}
+    assert kept == {r["doc_id"] for r in quality_rules.keep(docs).collect()} and kept
+
+
 def test_sharding_moves_only_into_the_new_shard(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 7 = 0 THEN NULL ELSE repeat('é', CAST(id % 5 AS INT)) END AS text")
     rows = sharding.shard(df).collect()
