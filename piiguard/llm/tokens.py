@@ -1,13 +1,18 @@
 """Byte-level BPE: encoding through a global shuffle of distinct words, decoding by the token table.
 
-A text is cut before each run of white space into words (a run of white space and what follows it).
-No match of the vocabulary's pattern crosses such a cut, so a word's ids do not depend on its
-neighbours. Tasks gather whole texts into blocks, number each block's distinct words, and keep every
-text as the sequence of these numbers: the words' positions. Frequent words have small numbers and
-whole texts are compressed many to a chunk, as the positions pass two shuffles. The distinct words go
-through a shuffle by hash, where each is encoded once for all blocks of a group; its ids are joined
-back to the blocks, and each text is reassembled by position. Only distinct words and packed positions
-are shuffled.
+Words are the matches of the vocabulary's pattern (pre-tokens). Tasks gather whole texts into blocks and
+number each block's distinct words; a text is the sequence of these numbers, the words' positions. The
+distinct words of all blocks, one row each, go through a shuffle by word: a task gets every row of a
+word, encodes it once and joins its ids to the blocks that hold it. Texts take no part in that: as
+packed sequences of numbers they meet the ids of their block's words only in the last shuffle, by block,
+where each is reassembled by position.
+
+The texts are read twice, once for their words and once for their sequences, as both together cost more
+to keep than to make again. So ``docs`` must be a stored table, whose partitions read alike each time;
+a block's number has a checksum of its words, and a block whose two readings differ is an error.
+
+Decoding joins the token-byte table in the tasks: as a join of rows every id would be a row, and texts
+would pass a shuffle a second time.
 
 Defined cases: a null or empty text has no ids; repeated rows and repeated ids of documents are kept
 row by row; a single very long text makes a block of its own; an empty table gives an empty table;
@@ -17,25 +22,22 @@ extra columns are not read.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Characters of text in a block, at which a task closes it (the text that crosses it included).
-BLOCK_CHARS = 32 << 20
+#: Bytes of text in a block, at which a task closes it (the text that crosses it included).
+BLOCK_BYTES = 16 << 20
 #: Words of whole texts in a chunk, at which it is compressed (the text that crosses it included).
 CHUNK_WORDS = 1 << 18
-#: Groups that a block's distinct words are dealt to by hash.
-BUCKETS = 128
-#: Map tasks whose blocks share one encoding of a word, so that no group grows with the corpus.
-TASKS_A_GROUP = 1 << 11
 
 _SQUEEZER = zstandard.ZstdCompressor(level=6)
 _ENCODERS: dict[str, object] = {}
@@ -60,39 +62,12 @@ def token_bytes(path: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
+_CUT = regex.compile(r"\s*\S+|\s+")
+
+
 def cut(text: str) -> list[str]:
-    """Words: each begins at a run of white space (or the start); joined they are the text."""
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts if text else []
-    words = [parts[0]] if parts[0] else []
-    open_space = ""  # white space that runs on into the next part
-    for i, p in enumerate(parts):
-        if i:
-            open_space += " "
-        elif not p:
-            continue
-        if i == 0:
-            if p[-1].isspace():
-                body = p.rstrip()
-                words = [body] if body else []
-                open_space = p[len(body):]
-            continue
-        if not p:
-            continue
-        if p[-1].isspace():
-            body = p.rstrip()
-            if body:
-                words.append(open_space + body)
-                open_space = p[len(body):]
-            else:
-                open_space += p
-        else:
-            words.append(open_space + p)
-            open_space = ""
-    if open_space:
-        words.append(open_space)
-    return words
+    """Pieces that each begin at a run of white space (or the start); joined they are the text."""
+    return _CUT.findall(text)
 
 
 _SPACE = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -155,100 +130,124 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("lens", pa.binary()), ("data", pa.binary()), ("codes", pa.binary())])
-PACKED_DDL = "part int, bucket long, block long, lens binary, data binary, codes binary"
-
-
-def _pack_ids(ids: list, counts: np.ndarray) -> bytes:
-    """The ids of a chunk's documents, which of them are null, and how many words each has."""
-    numbers = np.array([i or 0 for i in ids], np.int64)
-    return _SQUEEZER.compress(numbers.tobytes() + counts.astype(np.int64).tobytes() + bytes(i is None for i in ids))
+@functools.cache
+def _finder() -> Callable[[str], list[str]]:
+    import public_tokenizers
 
+    return regex.compile(public_tokenizers.PATTERN).findall
 
-def _unpack_ids(data: bytes) -> tuple[list, np.ndarray]:
-    raw = zstandard.decompress(data)
-    n = len(raw) // 17
-    numbers = np.frombuffer(raw, np.int64, 2 * n)
-    return [None if null else i for i, null in zip(numbers[:n].tolist(), raw[16 * n :], strict=True)], numbers[n:]
 
+def words_of_block(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of texts, frequent ones first, all words as numbers, and how many each text has.
 
-def _pack_block(block: int, ids: list, texts: pa.Array) -> pa.RecordBatch:
-    """A row for each hash bucket of the block's distinct words, and a row for each chunk of texts."""
-    part = (block >> 32) // TASKS_A_GROUP
+    No match of the pattern crosses a cut before white space, so it is applied to each distinct piece
+    between such cuts once.
+    """
+    find, place, flat, count = _finder(), {}, [], []
     lists = cut_all(texts)
-    words = lists.flatten().dictionary_encode()
-    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    entries = words.dictionary.cast(pa.binary())
-    sizes = pc.binary_length(entries).to_numpy(zero_copy_only=False).astype(np.uint32)
-    hashes = np.fromiter(map(zlib.crc32, entries.to_pylist()), np.uint32, len(entries)) % BUCKETS
-    place = np.empty(len(entries), np.int64)
-    place[pc.sort_indices(entries).to_numpy()] = np.arange(len(entries))
-    # frequent words first; equally frequent ones bucket by bucket, so that a bucket's numbers are runs
-    common = np.lexsort((place, sizes, hashes, -np.bincount(codes, minlength=len(entries))))
-    rank = np.empty(len(common), np.uint32)
-    rank[common] = np.arange(len(common), dtype=np.uint32)
-    codes, lens, hashes, keys = rank[codes], sizes[common], hashes[common], entries.take(pa.array(common)).to_pylist()
-    order = np.argsort(hashes, kind="stable")
-    edges = np.searchsorted(hashes[order], np.arange(BUCKETS + 1))
-    rows = []
-    for b in range(BUCKETS):
-        at = order[edges[b] : edges[b + 1]]
-        if len(at):
-            rows.append((part, b, block, squeeze(lens[at]), _SQUEEZER.compress(b"".join([keys[i] for i in at.tolist()])), squeeze(np.diff(at, prepend=0))))
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, start, n = np.cumsum(counts), 0, 0
-    while start < len(ids):
-        base = int(ends[start - 1]) if start else 0
-        stop = min(max(start + 1, int(np.searchsorted(ends, base + CHUNK_WORDS)) + 1), len(ids))
-        # chunks need no encoding: they are spread evenly and pass the word stage unread
-        rows.append((part, (block * 31 + n) % BUCKETS, block, _pack_ids(ids[start:stop], counts[start:stop]), None, squeeze(codes[base : int(ends[stop - 1])])))
-        start, n = stop, n + 1
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+    pieces = lists.flatten().dictionary_encode()
+    for piece in pieces.dictionary.to_pylist():
+        found = find(piece)
+        count.append(len(found))
+        flat += [place.setdefault(w, len(place)) for w in found]
+    count = np.array(count, np.int64)
+    at, ends = spread(np.cumsum(count) - count, count, pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    codes = np.array(flat, np.int64)[at]
+    common = np.argsort(-np.bincount(codes, minlength=len(place)), kind="stable")
+    rank = np.empty(len(common), np.int64)
+    rank[common] = np.arange(len(common))
+    words = list(place)
+    edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    return [words[i] for i in common.tolist()], rank[codes], np.diff(np.concatenate([[0], ends])[edges])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str], np.ndarray, np.ndarray]]:
+    """Number, ids of documents, words, codes and counts of each block of a task's texts."""
+    task, n, ids, texts, size = 0, 0, [], [], 0
+
+    def made() -> tuple:
+        words, codes, counts = words_of_block(pa.concat_arrays(texts))
+        mark = zlib.crc32("\0".join(words).encode())
+        # 31 bits of the checksum, 20 of the task (blocks of one number would have to have all words alike), 12 of the block
+        return mark >> 1 << 32 | (task & 0xFFFFF) << 12 | n & 0xFFF, ids, words, codes, counts
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column(2)[0].as_py()
         column = pc.fill_null(batch.column(1), "")
         lengths, docs, start = pc.binary_length(column).to_pylist(), batch.column(0).to_pylist(), 0
         for i, length in enumerate(lengths):
             size += length
-            if size >= BLOCK_CHARS or i + 1 == len(lengths):
+            if size >= BLOCK_BYTES or i + 1 == len(lengths):
                 ids += docs[start : i + 1]
                 texts.append(column.slice(start, i + 1 - start))
                 start = i + 1
-            if size >= BLOCK_CHARS:
-                yield _pack_block((task << 32) + n, ids, pa.concat_arrays(texts))
+            if size >= BLOCK_BYTES:
+                yield made()
                 ids, texts, size, n = [], [], 0, n + 1
     if ids:
-        yield _pack_block((task << 32) + n, ids, pa.concat_arrays(texts))
-
-
-def _strings(lens: np.ndarray, data: bytes) -> pa.StringArray:
-    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(lens), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
-
-
-def _encode_words(path: str):
-    def run(group: pa.Table) -> pa.Table:
-        """Encode each distinct word of the group once; give each block its words' ids."""
-        holds = pc.is_valid(group["data"])
-        rows = group.filter(holds)
-        if not rows.num_rows:
-            return group
-        lens = [unsqueeze(x) for x in rows["lens"].to_pylist()]
-        words = pa.concat_arrays([_strings(n, zstandard.decompress(d)) for n, d in zip(lens, rows["data"].to_pylist(), strict=True)]).dictionary_encode()
-        count, ids = encode_words(path, words.dictionary)
-        first, codes = np.cumsum(count) - count, words.indices.to_numpy(zero_copy_only=False)
-        out_lens, out_data, at = [], [], 0
-        for n in map(len, lens):
-            own = codes[at : at + n]
-            out_lens.append(squeeze(count[own]))
-            out_data.append(squeeze(ids[spread(first, count, own)[0]]))
-            at += n
-        columns = {"lens": pa.array(out_lens, pa.binary()), "data": pa.array(out_data, pa.binary())}
-        done = pa.Table.from_arrays([columns.get(f.name, rows[f.name]) for f in _PACKED], schema=_PACKED)
-        return pa.concat_tables([done, group.filter(pc.invert(holds)).cast(_PACKED)])
+        yield made()
+
+
+_WORDS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("word", pa.string())])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of each block."""
+    for block, _, words, _, _ in _blocks(batches):
+        for start in range(0, len(words), 1 << 16):
+            own = words[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(start, start + len(own), dtype=np.int32)), pa.array(own, pa.string())], schema=_WORDS)
+
+
+_JOINED = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("ids", pa.binary()), ("docs", pa.binary())])
+_JOINED_DDL = "block long, code int, ids binary, docs binary"
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of a block's texts: codes of words in ``ids``, whose they are in ``docs``."""
+    for block, ids, _, codes, counts in _blocks(batches):
+        ends, start = np.cumsum(counts), 0
+        while start < len(ids):
+            base = int(ends[start - 1]) if start else 0
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + CHUNK_WORDS)) + 1), len(ids))
+            row = (block, None, squeeze(codes[base : int(ends[stop - 1])]), _pack_ids(ids[start:stop], counts[start:stop]))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _JOINED, strict=True)], schema=_JOINED)
+            start = stop
+
+
+def _pack_ids(ids: list, counts: np.ndarray) -> bytes:
+    """The ids of a chunk's documents, which of them are null, and how many words each has."""
+    numbers = np.array([i or 0 for i in ids], np.int64)
+    return _SQUEEZER.compress(numbers.tobytes() + counts.astype(np.int64).tobytes() + bytes(i is None for i in ids))
+
+
+def _unpack_ids(data: bytes) -> tuple[list, np.ndarray]:
+    raw = zstandard.decompress(data)
+    n = len(raw) // 17
+    numbers = np.frombuffer(raw, np.int64, 2 * n)
+    return [None if null else i for i, null in zip(numbers[:n].tolist(), raw[16 * n :], strict=True)], numbers[n:]
+
+
+def _encode_sorted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of words that come in order: each distinct word of the partition is encoded once."""
+        last, last_ids = None, np.zeros(0, np.uint32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(2).dictionary_encode()
+            known = int(words.dictionary[0].as_py() == last)
+            count, ids = encode_words(path, words.dictionary.slice(known))
+            if known:
+                count, ids = np.concatenate([[len(last_ids)], count]), np.concatenate([last_ids, ids])
+            last, last_ids = words.dictionary[-1].as_py(), ids[len(ids) - int(count[-1]) :]
+            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            at, ends = spread(np.cumsum(count) - count, count, codes)
+            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids[at].astype("<u4").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column, pa.nulls(len(codes), pa.binary())], schema=_JOINED)
 
     return run
 
@@ -258,33 +257,35 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 def _reassemble(group: pa.Table) -> pa.Table:
     """The ids of each document of one block, by position."""
-    words = group.filter(pc.is_valid(group["data"]))
-    lens, flat = (np.concatenate([unsqueeze(x) for x in words[c].to_pylist()] or [np.zeros(0, np.uint32)]) for c in ("lens", "data"))
-    code = np.concatenate([np.cumsum(unsqueeze(x), dtype=np.int64) for x in words["codes"].to_pylist()] or [np.zeros(0, np.int64)])
-    first = np.zeros(len(code), np.int64)
-    first[code] = np.cumsum(lens, dtype=np.int64) - lens
-    count = np.zeros(len(code), np.int64)
-    count[code] = lens
-    docs, values, sizes = [], [], []
-    rest = group.filter(pc.is_null(group["data"]))
-    for packed, seq in zip(rest["lens"].to_pylist(), rest["codes"].to_pylist(), strict=True):
-        ids, counts = _unpack_ids(packed)
-        at, ends = spread(first, count, unsqueeze(seq))
-        values.append(flat[at])
+    own = group.filter(pc.is_valid(group["code"])).combine_chunks()
+    code = own["code"].to_numpy().astype(np.int64)
+    lens = pc.binary_length(own["ids"]).to_numpy().astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(own["ids"].to_pylist()), "<u4")
+    first, count = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    first[code], count[code] = np.cumsum(lens) - lens, lens
+    docs, values, sizes = [], [], [np.zeros(0, np.int64)]
+    rest = group.filter(pc.is_null(group["code"]))
+    for packed, seq in zip(rest["docs"].to_pylist(), rest["ids"].to_pylist(), strict=True):
+        (ids, counts), codes = _unpack_ids(packed), unsqueeze(seq)
+        if len(codes) and int(codes.max()) >= len(code):
+            raise ValueError("the documents did not read alike twice: encode a stored table")
+        at, ends = spread(first, count, codes)
+        values.append(flat[at].astype(np.int32))
         docs += ids
         # ids of a text: where those of its last word end, less where those of the texts before do
         sizes.append(np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0))
-    sizes = np.concatenate(sizes or [np.zeros(0, np.int64)])
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat_ids = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
-    return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat_ids)], schema=_ENCODED)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+    return pa.Table.from_arrays([pa.array(docs, pa.int64()), lists], schema=_ENCODED)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int) of each row of ``docs`` (doc_id, text)."""
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_explode, PACKED_DDL)
-    encoded = packed.groupBy("part", "bucket").applyInArrow(_encode_words(path), PACKED_DDL)
-    return encoded.groupBy("block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    """doc_id and ids (array of int) of each row of ``docs`` (doc_id, text), a stored table."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id())
+    words = texts.mapInArrow(_distinct, "block long, code int, word string")
+    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), _JOINED_DDL)
+    sequences = texts.mapInArrow(_sequences, _JOINED_DDL)
+    return encoded.unionByName(sequences).groupBy("block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -296,7 +297,7 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
 def decode(encoded: DataFrame, path: str, digests_only: bool = False) -> DataFrame:
     """doc_id and the bytes of each row of ``encoded`` (doc_id, ids): a join with the token-byte table.
 
-    The table has one row a token id, so it is joined in memory at each task. With ``digests_only``
+    The table has one row a token id; every task joins it to its rows in memory. With ``digests_only``
     the rows carry n_tokens and the digests of ids and bytes in place of the bytes. Null ids decode
     to no bytes; an id outside the table is an error.
     """
