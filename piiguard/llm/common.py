@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are maximal runs of anything but these ASCII white-space characters.
@@ -37,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what Arrow keeps of freed ones goes back to the system, as workers stay on."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def words_of(text: Column) -> Column:
     """The array of words of a text; empty for a null or blank one."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
@@ -53,7 +63,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Rows are those with the least hashes of doc_id outside the held-out fold, so the choice does
     not depend on partitioning. Texts above ``max_chars`` code points are left out of training
-    (never of scoring). Weights restore the class sizes. Null ids, labels and texts are ignored.
+    (never of scoring). Weights restore the class sizes. Null ids, labels and texts are ignored; of
+    several labels of an id the greatest counts, of several texts the least.
     """
     lab = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -67,7 +78,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     # the sample has at most 2 * per_class rows of two numbers
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(pick), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]).collect()
+        .join(F.broadcast(pick), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
     got = {y: sum(r["y"] == y for r in rows) for y in sizes}

@@ -1,16 +1,18 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct n-grams (N-gram sizes below) of its lower-case code points, hashed
-into 2**BITS columns. Each present feature has the value of its log-count ratio between the classes;
-a logistic model is trained on these values, and its margin is calibrated together with the log of the
-number of features, so that long texts don't gather chance weight.
+into 2**BITS columns. Each present feature has the value of its log-count ratio between the classes,
+zero if fewer than LEAST_TEXTS texts have it or the ratio is under LEAST_RATIO; a logistic model is trained
+on these values, and its margin is calibrated together with the log of the number of features, so that
+long texts don't gather chance weight. The margins to calibrate on come from models of the other folds.
 
 Training uses a bounded sample of labelled rows outside the held-out fold (``PER_CLASS`` rows of a
 class, texts of at most ``MAX_CHARS`` code points); scoring reads every whole text.
 
 Defined cases: a null or empty text has no features and gets the intercept's score; repeated rows are
-scored row by row; without labelled rows every score is 0.5 below the threshold's side (0.0); an empty
-table gives an empty table; extra columns are not read, and :func:`keep` returns the input's own.
+scored row by row; without labelled rows of both classes every score is 0.0 (``predicted`` 0, and
+:func:`keep` keeps all); an empty table gives an empty table; extra columns are not read, and
+:func:`keep` returns the input's own.
 """
 
 from __future__ import annotations
@@ -22,18 +24,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from piiguard.llm.common import held_out, labelled_sample, table
+from piiguard.llm.common import held_out, labelled_sample, released, table
 
 SIZES = (3, 4, 5)
 BITS = 18
+#: Code points whose n-grams are made at once.
+PIECE_CHARS = 1 << 20
 PER_CLASS = 2000
 MAX_CHARS = 60_000
 THRESHOLD = 0.5
+LEAST_TEXTS = 3
+LEAST_RATIO = 0.2
+#: Parts of the sample, each measured by a model of the others.
+FOLDS = 3
+ROUNDS = 50
+DECAY = 1e-3
 
 
 def features(text: str) -> np.ndarray:
-    """The distinct hashed n-grams of a text, as column numbers."""
+    """The distinct hashed n-grams of a text, as column numbers; long texts piece by piece."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(c) > PIECE_CHARS:
+        seen = np.zeros(1 << BITS, bool)
+        for start in range(0, len(c), PIECE_CHARS):
+            seen[_grams(c[start : start + PIECE_CHARS + max(SIZES) - 1])] = True
+        return np.flatnonzero(seen)
+    return _grams(c)
+
+
+def _grams(c: np.ndarray) -> np.ndarray:
+    """The distinct hashed n-grams of code points; they take about 60 bytes a code point."""
     found = []
     for n in SIZES:
         if len(c) < n:
@@ -53,59 +73,73 @@ def features(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    weights: bytes  # 2**BITS single floats: log-count ratio times linear weight
-    bias: float
+    weights: bytes  # 2**BITS single floats: log-count ratio times linear weight; none without both classes
+    bias: float = 0.0
     length_slope: float = 0.0
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """The score of each text, one at a time; null is empty."""
+        if not self.weights:
+            return np.zeros(len(texts))
         w = np.frombuffer(self.weights, np.float32)
         z = np.empty(len(texts))
         for i, t in enumerate(texts):
-            f = features(t)
+            f = features(t.as_py() or "")
             z[i] = w[f].sum(dtype=np.float64) + self.bias + self.length_slope * np.log1p(len(f))
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(sample: list[tuple[str, int, float]], rounds: int = 50, decay: float = 1e-3) -> Model:
-    """Log-count ratios from document counts, then a logistic fit by Adam on the scaled features."""
-    if len({y for _, y, _ in sample}) < 2:
-        return Model(np.zeros(1 << BITS, np.float32).tobytes(), -30.0)
-    cols = [features(t) for t, _, _ in sample]
-    y = np.array([s[1] for s in sample], np.float64)
-    # of a large sample every third row is kept from the fit, to calibrate on; of a small one none
-    fitted = np.arange(len(y)) % 3 > 0 if len(y) >= 600 else np.ones(len(y), bool)
-    every, sample_y = cols, y
-    cols, y = [c for c, f in zip(cols, fitted, strict=True) if f], y[fitted]
-    # each class carries half the weight while the slopes are fitted; the bias is set on true weights
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    sizes = np.array([len(c) for c in cols])
-    flat, row = np.concatenate(cols), np.repeat(np.arange(len(cols)), sizes)
+def ratios(columns: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Naive Bayes log-count ratio of each column, from the numbers of texts that have it."""
+    flat, row = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     pos = np.bincount(flat[y[row] == 1], minlength=1 << BITS)
     neg = np.bincount(flat[y[row] == 0], minlength=1 << BITS)
     ratio = np.log((pos + 1.0) / (y.sum() + 2.0)) - np.log((neg + 1.0) / ((1 - y).sum() + 2.0))
-    ratio[(pos + neg < 3) | (np.abs(ratio) < 0.2)] = 0.0
+    ratio[(pos + neg < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
+    return ratio
+
+
+def linear(columns: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight of each column, ratio times slope, and bias of a logistic fit by Adam on the ratios."""
+    ratio = ratios(columns, y)
+    # each class carries half the weight while the slopes are fitted; the calibration is on true weights
+    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    flat, row = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     use = ratio[flat] != 0
     flat, row = flat[use], row[use]
     value = ratio[flat]
-    w, b, m, v, mb, vb = np.zeros(1 << BITS), 0.0, np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
-    w += 0.02
-    for t in range(1, rounds + 1):
+    w, b, m, v, mb, vb = np.full(1 << BITS, 0.02), 0.0, np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
+    for t in range(1, ROUNDS + 1):
         z = np.bincount(row, weights=w[flat] * value, minlength=len(y)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        gw = np.bincount(flat, weights=g[row] * value, minlength=1 << BITS) + decay * w / len(y)
+        gw = np.bincount(flat, weights=g[row] * value, minlength=1 << BITS) + DECAY * w / len(y)
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, step = np.sqrt(1 - 0.99**t) / (1 - 0.9**t), 0.01
         w -= step * fix * m / (np.sqrt(v) + 1e-9)
         b -= 10 * step * fix * mb / (np.sqrt(vb) + 1e-9)
-    scaled = w * ratio
-    rows = np.flatnonzero(~fitted) if not fitted.all() else np.arange(len(sample_y))
-    z = np.array([scaled[every[i]].sum() for i in rows])
-    # calibrate slope and offsets of the margin on the class sizes of all labelled rows
-    x = np.stack([z + b, np.log1p([len(every[i]) for i in rows]), np.ones(len(rows))], 1)
-    a, slope, c = calibrate(x, sample_y[rows], np.array([sample[i][2] for i in rows]))
-    return Model((w * ratio * a).astype(np.float32).tobytes(), float(b * a + c), float(slope))
+    return w * ratio, b
+
+
+def train(sample: list[tuple[str, int, float]]) -> Model:
+    """A linear model of all rows, its margin calibrated on margins across folds and the true class sizes."""
+    if len({y for _, y, _ in sample}) < 2:
+        return Model(b"")
+    columns, y = [features(t) for t, _, _ in sample], np.array([s[1] for s in sample], np.float64)
+    fold, margin = np.empty(len(y), np.int64), np.empty(len(y))
+    for label in (0, 1):  # both classes are dealt out by themselves, so that each fold has its share
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    for k in sorted(set(fold.tolist())):
+        rest = np.flatnonzero(fold != k)
+        w, b = linear([columns[i] for i in rest], y[rest]) if len(rest) else (np.zeros(1 << BITS), 0.0)
+        for i in np.flatnonzero(fold == k):
+            margin[i] = w[columns[i]].sum() + b
+    x = np.stack([margin, np.log1p([len(c) for c in columns]), np.ones(len(y))], 1)
+    a, slope, c = calibrate(x, y, np.array([s[2] for s in sample]))
+    w, b = linear(columns, y)
+    return Model((w * a).astype(np.float32).tobytes(), float(b * a + c), float(slope))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -146,8 +180,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score([t or "" for t in batch.column(1).to_pylist()]), pa.float64())], schema=schema)
+        for batch in released(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1)), pa.float64())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -158,8 +192,8 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.score([t or "" for t in batch.column(at).to_pylist()]) < threshold))
+        for batch in released(batches):
+            yield batch.filter(pa.array(shared.value.score(batch.column(at)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
