@@ -1,16 +1,19 @@
 """Quality: a compression classifier.
 
-Two zstandard dictionaries hold text labelled good and text labelled bad. A text that is like the
-good ones shrinks more with the good dictionary than with the bad one or with none: the differences
-of its compressed sizes, divided by its length, become a score by a logistic calibration on labelled
-rows that are in neither dictionary.
+Two zstandard dictionaries hold text labelled good and text labelled bad. A text is compressed block by
+block with the good dictionary, the bad one and none, so that the dictionaries matter to the end of a
+long text too. The differences of these sizes, divided by the size without a dictionary and by the
+length, over the whole text and as extremes and median of its blocks, become a score by a logistic
+calibration; nothing but such differences goes into it.
 
 Training uses a bounded sample of labelled rows outside the held-out fold (``PER_CLASS`` rows of a
-class, texts of at most ``MAX_CHARS`` code points); scoring compresses every whole text.
+class, texts of at most ``MAX_CHARS`` code points). Dictionaries hold whole texts of it, in order of the
+sample, as many as ``DICTIONARY_BYTES`` take; for the calibration each half of the rows is measured with
+dictionaries of the other half, the final ones are of all rows. Scoring compresses every whole text.
 
-Defined cases: a null or empty text is calibrated like any other (its sizes are those of empty
-frames); repeated rows are scored row by row; without labelled rows of both classes every score is
-0.5; an empty table gives an empty table; extra columns are not read.
+Defined cases: a null or empty text is calibrated like any other (its sizes are those of empty frames);
+repeated rows are scored row by row; without labelled rows of both classes every score is 0.5 (so
+``predicted`` is 1); an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,34 +26,50 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from piiguard.llm.common import held_out, labelled_sample, table
+from piiguard.llm.common import held_out, labelled_sample, released, table
 from piiguard.llm.toxicity import calibrate
 
 PER_CLASS = 2000
 MAX_CHARS = 60_000
-#: Bytes of text in a dictionary, and the most that one text gives to it.
-DICTIONARY_BYTES = 512 << 10
-PIECE_BYTES = 1000
+#: Most bytes of a dictionary, and bytes of a block.
+DICTIONARY_BYTES = 1 << 20
+BLOCK_BYTES = 1024
+#: Blocks of fewer bytes do not count among a text's extremes if it has longer ones.
+LEAST_BYTES = 128
 LEVEL = 6
 THRESHOLD = 0.3
 
 
-def sizes_of(text: bytes, good, bad, plain) -> tuple[int, int, int]:
-    return len(good.compress(text)), len(bad.compress(text)), len(plain.compress(text))
+def compressors(good: bytes, bad: bytes) -> tuple:
+    def make(d: bytes) -> zstandard.ZstdCompressor:
+        held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False)
 
+    return make(good), make(bad), make(b"")
 
-def inputs(sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Normalised differences of the compressed sizes (good, bad, none), their squares, the length."""
-    n = np.maximum(lengths, 1).astype(np.float64)
-    good, bad, plain = sizes.T / n[:, None].T
-    x = np.stack([bad - good, plain - good, plain - bad], 1)
-    size = np.log((sizes[:, 2] + 8.0) / (n + 8.0))
-    return np.concatenate([x, np.sign(x) * np.sqrt(np.abs(x)), x * x, np.stack([size, size * size, np.log(n + 8), np.log(n + 8) ** 2, size * np.log(n + 8), np.ones(len(n))], 1)], 1)
 
+def block_sizes(text: bytes, tools: tuple) -> np.ndarray:
+    """A row for each block: compressed sizes (good, bad, no dictionary) and bytes."""
+    blocks = [text[i : i + BLOCK_BYTES] for i in range(0, max(len(text), 1), BLOCK_BYTES)]
+    return np.array([[*(len(t.compress(b)) for t in tools), len(b)] for b in blocks], np.float64)
+
+
+def _differences(sizes: np.ndarray) -> np.ndarray:
+    """The three differences of sizes (..., 4), normalised by compressed size and by length."""
+    good, bad, plain, n = np.moveaxis(sizes, -1, 0)
+    n = np.maximum(n, 1)
+    return np.stack([d / by for by in (plain, n) for d in (bad - good, plain - good, plain - bad)], -1)
 
-def compressors(good: bytes, bad: bytes):
-    make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None, write_checksum=False, write_content_size=False)
-    return make(good), make(bad), make(b"")
+
+def inputs(texts: list[np.ndarray]) -> np.ndarray:
+    """A row for each text's block sizes: its differences, those of its blocks, their roots and squares."""
+    rows = []
+    for sizes in texts:
+        n = sizes[:, 3]
+        own = _differences(sizes[n >= min(LEAST_BYTES, n.max())])
+        rows.append([*_differences(sizes.sum(0)), own[:, 0].max(), own[:, 0].min(), np.median(own[:, 0]), own[:, 3].max(), own[:, 3].min()])
+    x = np.array(rows, np.float64).reshape(len(rows), 11)
+    return np.concatenate([x, np.sign(x) * np.sqrt(np.abs(x)), x * x, np.ones((len(x), 1))], 1)
 
 
 @dataclass(frozen=True)
@@ -59,41 +78,46 @@ class Model:
     bad: bytes
     coefficients: tuple[float, ...]
 
-    def score(self, texts: list[str], cache: dict) -> np.ndarray:
+    def score(self, texts: pa.Array, cache: dict) -> np.ndarray:
+        """The score of each text, one at a time; null is empty."""
         if not self.coefficients:
             return np.full(len(texts), 0.5)
         if "c" not in cache:
             cache["c"] = compressors(self.good, self.bad)
-        raw = [t.encode("utf-8", "replace") for t in texts]
-        sizes = np.array([sizes_of(r, *cache["c"]) for r in raw], np.float64).reshape(-1, 3)
-        z = inputs(sizes, np.array([len(r) for r in raw])) @ np.array(self.coefficients)
+        sizes = [block_sizes((t.as_py() or "").encode("utf-8", "replace"), cache["c"]) for t in texts]
+        z = inputs(sizes) @ np.array(self.coefficients)
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    """Text of evenly many rows: a piece of each until the dictionary is full."""
+def _dictionary(texts: list[bytes]) -> bytes:
+    """Whole texts in order, as many as fit; those that do not fit are passed over."""
     out, size = [], 0
     for t in texts:
-        piece = t.encode("utf-8", "replace")[:PIECE_BYTES]
-        if size + len(piece) > DICTIONARY_BYTES:
-            break
-        out.append(piece)
-        size += len(piece)
+        if size + len(t) + 1 <= DICTIONARY_BYTES:
+            out.append(t)
+            size += len(t) + 1
     return b"\n".join(out)
 
 
 def train(sample: list[tuple[str, int, float]]) -> Model:
-    """Dictionaries from the even rows of each class, the calibration from the odd rows."""
+    """The calibration across two halves, and dictionaries of all rows."""
     if len({y for _, y, _ in sample}) < 2:
         return Model(b"", b"", ())
-    by = {y: [s for s in sample if s[1] == y] for y in (0, 1)}
-    good, bad = _dictionary([t for t, _, _ in by[1][::2]]), _dictionary([t for t, _, _ in by[0][::2]])
-    rest = [s for y in (0, 1) for s in (by[y][1::2] or by[y])]
-    tools = compressors(good, bad)
-    raw = [t.encode("utf-8", "replace") for t, _, _ in rest]
-    sizes = np.array([sizes_of(r, *tools) for r in raw], np.float64)
-    x = inputs(sizes, np.array([len(r) for r in raw]))
-    return Model(good, bad, tuple(calibrate(x, np.array([s[1] for s in rest]), np.array([s[2] for s in rest])).tolist()))
+    rows = [(t.encode("utf-8", "replace"), y, w) for t, y, w in sample]
+    # both classes are dealt out by themselves, so that each half has its share
+    half = {i: n % 2 for y in (0, 1) for n, i in enumerate(i for i, r in enumerate(rows) if r[1] == y)}
+
+    def dictionaries(kept: list) -> list[bytes]:
+        return [_dictionary([t for t, y, _ in kept if y == label]) for label in (1, 0)]
+
+    sizes: list = [None] * len(rows)
+    for side in (0, 1):
+        tools = compressors(*dictionaries([r for i, r in enumerate(rows) if half[i] != side]))
+        for i, (t, _, _) in enumerate(rows):
+            if half[i] == side:
+                sizes[i] = block_sizes(t, tools)
+    theta = calibrate(inputs(sizes), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    return Model(*dictionaries(rows), tuple(theta.tolist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -107,8 +131,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for batch in batches:
-            scores = shared.value.score([t or "" for t in batch.column(1).to_pylist()], cache)
+        for batch in released(batches):
+            scores = shared.value.score(batch.column(1), cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
