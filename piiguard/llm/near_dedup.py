@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from piiguard.llm.common import SEPARATORS, materialize, table
+from piiguard.llm.common import SEPARATORS, materialize, released, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -42,7 +42,8 @@ BITS = 2
 LEAST_ESTIMATE = 0.5
 #: Rows of a side of a cell in the comparison of components, about.
 CHUNK = 256
-SLICE_BYTES = 4 << 20
+#: Bytes of text whose shingles are made at once; they take about 50 bytes a byte of text.
+SLICE_BYTES = 1 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,7 +125,7 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * _P
-    for batch in batches:
+    for batch in released(batches):
         for part in _slices(batch, 2):
             sets = shingle_sets(part.column(2))
             m = np.stack([minima(s) if len(s) else np.zeros(PERMUTATIONS, np.uint32) for s in sets])
@@ -163,7 +164,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
-    for batch in batches:
+    for batch in released(batches):
         for part in _slices(batch, 2):
             linked = []
             for x, y in zip(shingle_sets(part.column(2)), shingle_sets(part.column(3)), strict=True):

@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from piiguard.llm.common import materialize
+from piiguard.llm.common import materialize, released
 from piiguard.llm.tokens import cut_all, encode_words, spread
 
 SEQUENCE = 1024
 END_ID = 0
 #: Characters of text that are tokenized at once.
-SLICE_CHARS = 16 << 20
+SLICE_CHARS = 4 << 20
 
 
 def decompose(n: int, top: int = SEQUENCE) -> list[int]:
@@ -83,7 +83,7 @@ def _ids(path: str, texts: pa.StringArray) -> list[np.ndarray]:
 def _pieces(path: str, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ranks = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in released(batches):
             texts = pc.fill_null(batch.column(1), "")
             ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
