@@ -1,16 +1,19 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass one decides a block by its place and its text:
-blocks inside page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments)
-and blocks that are mostly links are bad; long blocks with many stop words are good; long blocks with
-few are bad, unless an article or main element holds them; all others stay open. In pass two an open
-block takes the label of the nearest decided neighbours in its own container: good if either side is
-good at the least distance; in a container without decided blocks, an article or main element makes
-them good and anything else bad.
-
-Names of classes and ids mark furniture by any of their words; those of an article or main element and
-of the elements around one only if the whole name says so (``comments``, ``comments-area``), as their
-names tell of the page's layout and topic too (``has-sidebar``, ``comments-open``, ``category-social``).
+blocks inside page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
+bad; outside of article and main elements blocks that are mostly links are bad, long blocks with many
+stop words are good, and long ones with few are bad; inside of one only long blocks with many stop words
+are decided, as good. All others stay open. In pass two an open block takes the label of the nearest
+decided neighbours in its own container: good if either side is good at the least distance; in a
+container without decided blocks, an article or main element makes them good and anything else bad.
+So an article keeps its titles, link paragraphs, cells and formulas.
+
+Names of classes and ids mark furniture by any of their words. Those inside an article or main element,
+and those of such an element and of the elements around it, do so only if the whole name says so: if it
+has nothing but furniture words and what may follow them (``comments-area``, ``related-posts``), or,
+inside, if a furniture word ends it (``reader-comments``; but not ``post-header``). For names tell of the
+page's layout and topic too (``has-sidebar``, ``comments-open``, ``category-social``, ``related-work``).
 
 Defined cases: null or empty html gives an empty text; unclosed elements end with the page; an open
 tag, comment, script or style that the page's end cuts off is dropped; repeated rows are extracted
@@ -21,12 +24,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from piiguard.llm.common import released
 from piiguard.llm.quality_rules import STOP_WORDS
 
 # Element names by role.
@@ -34,7 +39,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
-RAW_TAGS = frozenset("script style noscript template iframe noframes noembed xmp textarea title svg math object canvas audio video select".split())
+RAW_TAGS = frozenset("script style noscript template iframe noframes noembed xmp textarea title svg object canvas audio video select".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form dialog menu button fieldset head".split())
 MAIN_TAGS = frozenset(["article", "main"])
@@ -49,7 +54,11 @@ FURNITURE_NAMES = frozenset(
 MAIN_NAMES = frozenset("article articlebody content entry maincontent mainbody post postbody story storybody".split())
 
 #: What may follow furniture words in a name that says as a whole that its element is furniture.
-NAME_ENDS = frozenset("area article articles block body box container content div entries inner item items latest list outer popular post posts primary recent secondary section stories thread wrap wrapper".split())
+NAME_ENDS = frozenset("area article articles bar block body box buttons container content div entries icons inner item items label latest links list outer popular post posts primary recent secondary section slot stories thread tools unit wrap wrapper".split())
+#: Words before a furniture word that say its absence, or that the name is of the layout or the topic.
+NAME_STARTS = frozenset("category has hide no tag topic with without".split())
+#: Inline elements that an open paragraph may end in.
+FORMATS = frozenset("b i em strong u span font small".split())
 
 LONG_CHARS = 60
 LOW_STOPS, MANY_STOPS = 0.12, 0.20
@@ -62,6 +71,17 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = frozenset(STOP_WORDS)
 
 
+def _says_furniture(parts: list[str], in_main: bool, holds_main: bool) -> bool:
+    """Whether the words of one name mark furniture."""
+    if not FURNITURE_NAMES.intersection(parts) or "".join(parts) in MAIN_NAMES or in_main and parts[-1] == "header":
+        return False
+    if not (in_main or holds_main):
+        return True
+    if parts[0] in FURNITURE_NAMES and FURNITURE_NAMES.union(NAME_ENDS).issuperset(parts):
+        return True
+    return not holds_main and parts[-1] in FURNITURE_NAMES and parts[0] not in NAME_STARTS
+
+
 def _is_furniture(tag: str, attrs: str, in_main: bool, holds_main: bool) -> bool:
     """Whether an element is page furniture. A header inside an article is part of it.
 
@@ -79,12 +99,8 @@ def _is_furniture(tag: str, attrs: str, in_main: bool, holds_main: bool) -> bool
             if value.lower() in FURNITURE_ROLES and not (value.lower() == "banner" and in_main):
                 return True
             continue
-        for name in value.split():
-            parts = [p.lower() for p in _NAME_PARTS.findall(name)]
-            if holds_main and not (parts and parts[0] in FURNITURE_NAMES and FURNITURE_NAMES.union(NAME_ENDS).issuperset(parts)):
-                continue
-            if parts and "".join(parts) not in MAIN_NAMES and FURNITURE_NAMES.intersection(parts) and tag not in ("html", "body") and not (in_main and parts == ["header"]):
-                return True
+        if tag not in ("html", "body") and any(_says_furniture([p.lower() for p in _NAME_PARTS.findall(name)], in_main, holds_main) for name in value.split()):
+            return True
     return False
 
 
@@ -112,8 +128,15 @@ def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
     """
     out: list[Block] = []
     around: set[int] = set()
-    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, furniture, container, link, place
+    stack: list[tuple[str, bool, int, bool, int, int]] = []  # tag, furniture, container, link, place, last one that is no format
+    opened: Counter[str] = Counter()  # how many elements of a tag are open
     containers = 0
+
+    def shut_from(depth: int) -> None:
+        for element in stack[depth:]:
+            opened[element[0]] -= 1
+        del stack[depth:]
+
     now = Block(0, False)
 
     def close() -> None:
@@ -147,11 +170,11 @@ def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
         if closing:
             if tag == "br":
                 now.parts.append(" ")
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
+            if opened[tag]:
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                 block = any(s[0] in BLOCK_TAGS for s in stack[depth:])
                 changed = stack[-1][1:3] != (stack[depth - 1][1:3] if depth else (False, 0))
-                del stack[depth:]
+                shut_from(depth)
                 if block or changed:
                     close()
             elif tag in BLOCK_TAGS:
@@ -174,11 +197,11 @@ def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
         if tag in BLOCK_TAGS:
             # an open paragraph, item or cell ends where the next block begins
             while stack and (stack[-1][0] == "p" or tag == stack[-1][0] and tag in ("li", "td", "th", "tr", "dt", "dd", "option")):
-                stack.pop()
-            if tag in ("p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] in ("b", "i", "em", "strong", "u", "span", "font", "small"):
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in ("b", "i", "em", "strong", "u", "span", "font", "small")), -1)
+                shut_from(len(stack) - 1)
+            if tag in ("p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] in FORMATS:
+                depth = stack[-1][5]
                 if depth >= 0 and stack[depth][0] == "p":
-                    del stack[depth:]
+                    shut_from(depth)
         top = stack[-1] if stack else ("", False, 0, False)
         furniture = top[1] or _is_furniture(tag, attrs, top[2] > 0, pos in holding)
         container = top[2]
@@ -186,8 +209,14 @@ def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
             containers += 1
             container = containers
             if furniture:
-                around.update([pos, *(s[4] for s in stack)])
-        stack.append((tag, furniture, container, top[3] or tag == "a", pos))
+                around.add(pos)
+                for element in reversed(stack):
+                    if element[4] in around:  # so are those around it
+                        break
+                    around.add(element[4])
+        plain = (stack[-1][5] if stack else -1) if tag in FORMATS else len(stack)
+        stack.append((tag, furniture, container, top[3] or tag == "a", pos, plain))
+        opened[tag] += 1
         if tag in BLOCK_TAGS or furniture != top[1]:
             close()
     close()
@@ -198,7 +227,7 @@ def label(blocks: list[Block]) -> None:
     """Both passes over the blocks of a page."""
     for b in blocks:
         words = b.text.split()
-        if b.bad or b.link_chars > MOST_LINKS * len(b.text):
+        if b.bad or not b.container and b.link_chars > MOST_LINKS * len(b.text):
             b.label = 0
             continue
         stops = sum(w.lower() in _STOPS for w in words) / len(words)
@@ -246,8 +275,8 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([main_text(h) for h in batch.column(2).to_pylist()], pa.string())], schema=schema)
+        for batch in released(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([main_text(h.as_py()) for h in batch.column(2)], pa.string())], schema=schema)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string").select("*", F.length("text").cast("long").alias("n_chars"))
