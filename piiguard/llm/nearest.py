@@ -8,8 +8,9 @@ of each cell are merged by one heap a query. The result is exact: nothing is cap
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no
 part; vectors of different lengths are not compared; a query's own row is any row with its vec_id;
-repeated query rows each get their list; equal scores rank by smaller vec_id; rows without vec_id take
-no part; an empty table gives an empty table; extra columns are not read.
+repeated query rows each get their list, and repeated candidate rows are candidates each; equal scores
+rank by smaller vec_id; rows without vec_id take no part; an empty table gives an empty table; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ K = 20
 CELL_QUERIES = 4096
 CELL_CANDIDATES = 8192
 LEAST_COLUMNS = 24
+#: Queries of a tile, and bytes of vectors that are gathered at once to compute surviving pairs again.
+TILE_QUERIES = 256
+GATHER_BYTES = 32 << 20
 #: Largest length at which int8 products add up exactly in single precision.
 SINGLE_DIMS = (1 << 24) // (127 * 127)
 
@@ -66,6 +70,30 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def pairs(q: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Exact products of rows of ``q`` and ``c``, in slices of bounded size."""
+    step = max(1, GATHER_BYTES // (8 * max(q.shape[1], 1)))
+    return np.concatenate([np.zeros(0), *(exact(q[row[i : i + step]], c[col[i : i + step]]) for i in range(0, len(row), step))])
+
+
+def can_win(c: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of candidates that can be among some query's ``k`` nearest, by vector and id alone.
+
+    Equal vectors have equal products and rank by id. Of one vector and id ``k`` rows are enough, and
+    of one vector the first 2 ``k`` rows, as a query's own id takes at most ``k`` of them away.
+    """
+    kinds = np.unique(np.ascontiguousarray(c).view(np.dtype((np.void, c.dtype.itemsize * c.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, kinds))
+    at = np.arange(len(order))
+
+    def rank(starts: np.ndarray) -> np.ndarray:
+        return at[: len(starts)] - np.maximum.accumulate(np.where(starts, at[: len(starts)], 0))
+
+    first = np.diff(kinds[order], prepend=-1) != 0
+    order = order[rank(first | (np.diff(ids[order], prepend=ids[order[:1]]) != 0)) < k]
+    return np.sort(order[rank(np.diff(kinds[order], prepend=-1) != 0) < 2 * k])
+
+
 def _cell(k: int):
     schema = pa.schema([("_q", pa.int64()), ("query_id", pa.int64()), ("vec_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
@@ -75,9 +103,11 @@ def _cell(k: int):
         dim = queries["_dim"][0].as_py()
         q, c = _matrix(queries["_v"], dim), _matrix(candidates["_v"], dim)
         q_key, q_id, c_id = (t[n].to_numpy() for t, n in ((queries, "_q"), (queries, "vec_id"), (candidates, "vec_id")))
+        able = can_win(c, c_id, k)
+        c, c_id = c[able], c_id[able]
         keys, ids, lists, scores = [], [], [], []
-        for at in range(0, len(q), 512):
-            part = slice(at, at + 512)
+        for at in range(0, len(q), TILE_QUERIES):
+            part = slice(at, at + TILE_QUERIES)
             near, bound = tile(q[part], c)
             own = q_id[part][:, None] == c_id[None, :]
             low = np.where(own, -np.inf, near - bound)
@@ -86,7 +116,7 @@ def _cell(k: int):
             else:
                 least = np.full(len(low), -np.inf)
             row, col = np.nonzero(~own & (near + bound >= least[:, None]))
-            score = exact(q[part][row], c[col])
+            score = pairs(q[part], c, row, col)
             order = np.lexsort((c_id[col], -score, row))
             row, col, score = row[order], col[order], score[order]
             edges = np.searchsorted(row, np.arange(len(low) + 1))
