@@ -40,8 +40,9 @@ BANDS = PERMUTATIONS // BAND_ROWS
 BITS = 2
 #: Estimated similarity below which a pair is not confirmed; over 5 standard errors under PERCENT.
 LEAST_ESTIMATE = 0.5
-#: Rows of a side of a cell in the comparison of components, about.
+#: Rows of a side of a cell in the comparison of components, and rows of cells in a group, about.
 CHUNK = 256
+GROUP_ROWS = 4096
 #: Bytes of text whose shingles are made at once; they take about 50 bytes a byte of text.
 SLICE_BYTES = 1 << 20
 
@@ -288,13 +289,16 @@ def _between(placed: DataFrame, texts: DataFrame) -> DataFrame:
     In a bucket that several components share, documents outside its largest component are strays.
     Strays and members are dealt into chunks of about CHUNK rows by hash, and a cell compares a chunk
     of strays with a chunk of members: of each pair of different components one side is a stray, so
-    every pair meets. Cells are processed many to a task call, first by signatures alone, then, with
-    the texts of the rows that are left, on full sets.
+    every pair meets. Cells are processed in groups of about GROUP_ROWS rows, counted as they are dealt,
+    first by signatures alone, then, with the texts of the rows that are left, on full sets. The cells of
+    a bucket are as many as its strays times its members: exact, and quadratic where none are linked.
     """
     spark = placed.sparkSession
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("_n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("_n", "comp")).alias("_m"), F.sum("_n").alias("_all"), F.count("*").alias("_k")).where("_k > 1")
-    mixed = materialize(mixed.select("bucket", F.col("_m.comp").alias("_main"), F.ceil((F.col("_all") - F.col("_m._n")) / CHUNK).cast("long").alias("_x"), F.ceil(F.col("_all") / CHUNK).cast("long").alias("_y")), "mixed")
+    mixed = mixed.select("bucket", F.col("_m.comp").alias("_main"), (F.col("_all") - F.col("_m._n")).alias("_strays"), "_all")
+    mixed = mixed.select("*", F.ceil(F.col("_strays") / CHUNK).cast("long").alias("_x"), F.ceil(F.col("_all") / CHUNK).cast("long").alias("_y"))
+    mixed = materialize(mixed, "mixed")
     open_ = materialize(placed.join(mixed, "bucket").withColumnRenamed("rep", "id"), "open")
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     names = [c for c, _ in _CELL]
@@ -305,7 +309,8 @@ def _between(placed: DataFrame, texts: DataFrame) -> DataFrame:
         return rows.withColumn("part", part).withColumn("role", F.lit(role).cast("long")).select(*names)
 
     rows = dealt(0, "_x", "_y", F.col("_own") * F.col("_y") + F.col("_other")).unionByName(dealt(1, "_y", "_x", F.col("_other") * F.col("_y") + F.col("_own")))
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), open_.count() // 4000)
+    dealt_rows = mixed.agg(F.coalesce(F.sum(F.col("_strays") * F.col("_y") + F.col("_all") * F.col("_x")), F.lit(0))).first()[0]
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt_rows // GROUP_ROWS)
     key = F.pmod(F.xxhash64("bucket", "part"), F.lit(groups))
     ddl = ", ".join(f"{c} long" for c in names)
     near = materialize(rows.groupBy(key.alias("_g")).applyInArrow(_near_rows, ddl), "near")
