@@ -2,10 +2,14 @@
 
 Words are the matches of the vocabulary's pattern (pre-tokens). Tasks gather whole texts into blocks and
 number each block's distinct words; a text is the sequence of these numbers, the words' positions. The
-distinct words of all blocks, one row each, go through a shuffle by word: a task gets every row of a
-word, encodes it once and joins its ids to the blocks that hold it. Texts take no part in that: as
-packed sequences of numbers they meet the ids of their block's words only in the last shuffle, by block,
-where each is reassembled by position.
+distinct words of all blocks are dealt into buckets by a hash of the word, a row for each bucket of a
+block, and shuffled by bucket: a task gets every block's words of a bucket, encodes each distinct word
+once in all and joins its ids to the blocks that hold it. Texts take no part in that: as packed sequences
+of numbers they meet the ids of their block's words only in the last shuffle, by block, where each is
+reassembled by position.
+
+A task of the word stage holds the distinct words of one bucket and a row at a time; buckets grow in
+number with the input's partitions.
 
 The texts are read twice, once for their words and once for their sequences, as both together cost more
 to keep than to make again. So ``docs`` must be a stored table, whose partitions read alike each time;
@@ -38,6 +42,9 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK_BYTES = 16 << 20
 #: Words of whole texts in a chunk, at which it is compressed (the text that crosses it included).
 CHUNK_WORDS = 1 << 18
+#: Buckets of words, at least; beyond, one for each so many partitions of the input.
+LEAST_BUCKETS = 512
+PARTITIONS_A_BUCKET = 64
 
 _SQUEEZER = zstandard.ZstdCompressor(level=6)
 _ENCODERS: dict[str, object] = {}
@@ -121,6 +128,10 @@ def spread(first: np.ndarray, count: np.ndarray, codes: np.ndarray) -> tuple[np.
     return np.repeat(first[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0), ends
 
 
+def compress(data: bytes) -> bytes:
+    return _SQUEEZER.compress(data)
+
+
 def squeeze(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by byte planes, compressed."""
     return _SQUEEZER.compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
@@ -137,39 +148,46 @@ def _finder() -> Callable[[str], list[str]]:
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
-def words_of_block(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of texts, frequent ones first, all words as numbers, and how many each text has.
+#: Pieces of nothing but Latin letters behind at most one space: matches of the pattern as they are.
+_LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+
+
+def words_of_block(texts: pa.StringArray) -> tuple[list[str], pa.DictionaryArray, pa.ListArray, list[int] | None, np.ndarray]:
+    """The distinct words of texts in order of first occurrence, and what :func:`sequence_of` needs.
 
     No match of the pattern crosses a cut before white space, so it is applied to each distinct piece
     between such cuts once.
     """
-    find, place, flat, count = _finder(), {}, [], []
     lists = cut_all(texts)
     pieces = lists.flatten().dictionary_encode()
-    for piece in pieces.dictionary.to_pylist():
-        found = find(piece)
-        count.append(len(found))
-        flat += [place.setdefault(w, len(place)) for w in found]
-    count = np.array(count, np.int64)
+    find, place, flat, count = _finder(), {}, [], []
+    for piece, whole in zip(pieces.dictionary.to_pylist(), pc.match_substring_regex(pieces.dictionary, _LETTERS).to_pylist(), strict=True):
+        if whole:
+            count.append(1)
+            flat.append(place.setdefault(piece, len(place)))
+        else:
+            found = find(piece)
+            count.append(len(found))
+            flat += [place.setdefault(w, len(place)) for w in found]
+    return list(place), pieces, lists, flat, np.array(count, np.int64)
+
+
+def sequence_of(pieces: pa.DictionaryArray, lists: pa.ListArray, flat: list[int], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a block's texts as numbers, and how many each text has."""
     at, ends = spread(np.cumsum(count) - count, count, pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-    codes = np.array(flat, np.int64)[at]
-    common = np.argsort(-np.bincount(codes, minlength=len(place)), kind="stable")
-    rank = np.empty(len(common), np.int64)
-    rank[common] = np.arange(len(common))
-    words = list(place)
     edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    return [words[i] for i in common.tolist()], rank[codes], np.diff(np.concatenate([[0], ends])[edges])
+    return np.array(flat, np.int64)[at], np.diff(np.concatenate([[0], ends])[edges])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str], np.ndarray, np.ndarray]]:
-    """Number, ids of documents, words, codes and counts of each block of a task's texts."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Number, ids of documents, words and what else :func:`words_of_block` gives of each block of a task's texts."""
     task, n, ids, texts, size = 0, 0, [], [], 0
 
     def made() -> tuple:
-        words, codes, counts = words_of_block(pa.concat_arrays(texts))
+        words, *rest = words_of_block(pa.concat_arrays(texts))
         mark = zlib.crc32("\0".join(words).encode())
         # 31 bits of the checksum, 20 of the task (blocks of one number would have to have all words alike), 12 of the block
-        return mark >> 1 << 32 | (task & 0xFFFFF) << 12 | n & 0xFFF, ids, words, codes, counts
+        return mark >> 1 << 32 | (task & 0xFFFFF) << 12 | n & 0xFFF, ids, words, rest
 
     for batch in batches:
         if not batch.num_rows:
@@ -190,29 +208,41 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield made()
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("word", pa.string())])
+_WORDS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("codes", pa.binary()), ("lens", pa.binary()), ("words", pa.binary())])
+_WORDS_DDL = "bucket long, block long, codes binary, lens binary, words binary"
+
 
+def _distinct(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket of a block's distinct words: their numbers, lengths and bytes."""
+        for block, _, words, _ in _blocks(batches):
+            raw = [w.encode() for w in words]
+            hashes = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)).astype(np.int64) % buckets
+            order = np.argsort(hashes, kind="stable")
+            edges = np.flatnonzero(np.diff(hashes[order], prepend=-1))
+            rows = []
+            for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+                own = [raw[i] for i in order[a:b].tolist()]
+                rows.append((int(hashes[order[a]]), block, squeeze(np.diff(order[a:b], prepend=0)), squeeze(np.array([len(w) for w in own])), compress(b"".join(own))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct word of each block."""
-    for block, _, words, _, _ in _blocks(batches):
-        for start in range(0, len(words), 1 << 16):
-            own = words[start : start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(start, start + len(own), dtype=np.int32)), pa.array(own, pa.string())], schema=_WORDS)
+    return run
 
 
-_JOINED = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("ids", pa.binary()), ("docs", pa.binary())])
-_JOINED_DDL = "block long, code int, ids binary, docs binary"
+_JOINED = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
+_JOINED_DDL = "block long, codes binary, lens binary, ids binary"
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of a block's texts: codes of words in ``ids``, whose they are in ``docs``."""
-    for block, ids, _, codes, counts in _blocks(batches):
+    """A row for each chunk of a block's texts: codes of words, and in ``lens`` whose they are; no ids."""
+    for block, ids, _, rest in _blocks(batches):
+        codes, counts = sequence_of(*rest)
         ends, start = np.cumsum(counts), 0
         while start < len(ids):
             base = int(ends[start - 1]) if start else 0
             stop = min(max(start + 1, int(np.searchsorted(ends, base + CHUNK_WORDS)) + 1), len(ids))
-            row = (block, None, squeeze(codes[base : int(ends[stop - 1])]), _pack_ids(ids[start:stop], counts[start:stop]))
+            row = (block, squeeze(codes[base : int(ends[stop - 1])]), _pack_ids(ids[start:stop], counts[start:stop]), None)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _JOINED, strict=True)], schema=_JOINED)
             start = stop
 
@@ -230,24 +260,31 @@ def _unpack_ids(data: bytes) -> tuple[list, np.ndarray]:
     return [None if null else i for i, null in zip(numbers[:n].tolist(), raw[16 * n :], strict=True)], numbers[n:]
 
 
-def _encode_sorted(path: str):
+def _strings(lens: np.ndarray, data: bytes) -> pa.StringArray:
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lens), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+
+
+def _encode_buckets(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids of words that come in order: each distinct word of the partition is encoded once."""
-        last, last_ids = None, np.zeros(0, np.uint32)
+        """Ids of the words of buckets that come one after another: each distinct word is encoded once."""
+        now, known, counts, ids = None, {}, [], []  # of the words of one bucket: place, and ids one after another
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(2).dictionary_encode()
-            known = int(words.dictionary[0].as_py() == last)
-            count, ids = encode_words(path, words.dictionary.slice(known))
-            if known:
-                count, ids = np.concatenate([[len(last_ids)], count]), np.concatenate([last_ids, ids])
-            last, last_ids = words.dictionary[-1].as_py(), ids[len(ids) - int(count[-1]) :]
-            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            at, ends = spread(np.cumsum(count) - count, count, codes)
-            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids[at].astype("<u4").tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column, pa.nulls(len(codes), pa.binary())], schema=_JOINED)
+            rows = []
+            for bucket, block, codes, lens, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != now:
+                    now, known, counts, ids = bucket, {}, [], []
+                words = _strings(unsqueeze(lens), zstandard.decompress(data)).to_pylist()
+                new = [w for w in words if w not in known]
+                if new:
+                    known.update((w, len(counts) + i) for i, w in enumerate(new))
+                    n, found = encode_words(path, pa.array(new, pa.string()))
+                    counts += n.tolist()
+                    ids += np.split(found, np.cumsum(n)[:-1])
+                own = [known[w] for w in words]
+                rows.append((block, codes, squeeze(np.array([counts[i] for i in own])), squeeze(np.concatenate([ids[i] for i in own]))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _JOINED, strict=True)], schema=_JOINED)
 
     return run
 
@@ -257,15 +294,15 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 def _reassemble(group: pa.Table) -> pa.Table:
     """The ids of each document of one block, by position."""
-    own = group.filter(pc.is_valid(group["code"])).combine_chunks()
-    code = own["code"].to_numpy().astype(np.int64)
-    lens = pc.binary_length(own["ids"]).to_numpy().astype(np.int64) // 4
-    flat = np.frombuffer(b"".join(own["ids"].to_pylist()), "<u4")
+    own = group.filter(pc.is_valid(group["ids"]))
+    lens, flat = (np.concatenate([unsqueeze(x) for x in own[c].to_pylist()] or [np.zeros(0, np.uint32)]) for c in ("lens", "ids"))
+    code = np.concatenate([np.cumsum(unsqueeze(x), dtype=np.int64) for x in own["codes"].to_pylist()] or [np.zeros(0, np.int64)])
+    lens = lens.astype(np.int64)
     first, count = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
     first[code], count[code] = np.cumsum(lens) - lens, lens
     docs, values, sizes = [], [], [np.zeros(0, np.int64)]
-    rest = group.filter(pc.is_null(group["code"]))
-    for packed, seq in zip(rest["docs"].to_pylist(), rest["ids"].to_pylist(), strict=True):
+    rest = group.filter(pc.is_null(group["ids"]))
+    for packed, seq in zip(rest["lens"].to_pylist(), rest["codes"].to_pylist(), strict=True):
         (ids, counts), codes = _unpack_ids(packed), unsqueeze(seq)
         if len(codes) and int(codes.max()) >= len(code):
             raise ValueError("the documents did not read alike twice: encode a stored table")
@@ -282,8 +319,9 @@ def _reassemble(group: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of each row of ``docs`` (doc_id, text), a stored table."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id())
-    words = texts.mapInArrow(_distinct, "block long, code int, word string")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), _JOINED_DDL)
+    buckets = max(LEAST_BUCKETS, docs.rdd.getNumPartitions() // PARTITIONS_A_BUCKET)
+    words = texts.mapInArrow(_distinct(buckets), _WORDS_DDL)
+    encoded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(path), _JOINED_DDL)
     sequences = texts.mapInArrow(_sequences, _JOINED_DDL)
     return encoded.unionByName(sequences).groupBy("block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
