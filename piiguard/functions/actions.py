@@ -9,40 +9,47 @@ ACTION_TYPES = ("click", "fill", "scroll", "focus", "select")
 ACTION_KEYS = ("action", "target", "parameters", "reasoning_id", "value_ref")
 REQUIRED_KEYS = ("action", "target", "reasoning_id")
 
-#: Stands for any value of an attribute, in keys of elements and of selectors.
-ANY = "*"
-
 
 def selector_key(selector: Column) -> Column:
-    """Struct of attribute and value that a selector asks for; both null for other selectors.
+    """What a selector asks for, in the words of :func:`element_keys`; null for none of the known forms.
 
-    Known forms are #id, [attribute], [attribute="value"] and a bare tag name.
+    Known forms are #id, [attribute], [attribute="value"] (an empty value asks for none) and a bare tag name.
     """
-    part = lambda pattern, n: F.nullif(F.regexp_extract(selector, pattern, n), F.lit(""))
-    valued, bare = r'^\[([\w-]+)="([^"]*)"\]$', r"^\[([\w-]+)\]$"
-    by_id, by_tag = part(r"^#([\w-]+)$", 1), F.upper(part(r"^([A-Za-z][A-Za-z0-9]*)$", 1))
-    name = F.when(by_id.isNotNull(), "id").when(by_tag.isNotNull(), "tag").otherwise(F.coalesce(part(valued, 1), part(bare, 1)))
-    value = F.coalesce(by_id, by_tag, F.when(selector.rlike(valued), F.regexp_extract(selector, valued, 2)), F.when(selector.rlike(bare), ANY))
-    return F.struct(name.alias("name"), value.alias("value"))
+    attribute = r'\[([^=]+)(?:="([^"]*)")?\]'
+    name, value = F.regexp_extract(selector, attribute, 1), F.regexp_extract(selector, attribute, 2)
+    bracketed = F.when(name != "", F.concat(F.lit("["), name, F.when(value != "", F.concat(F.lit("="), value)).otherwise(F.lit(""))))
+    tag = F.concat(F.lit("<"), selector)
+    return F.when(selector.startswith("#"), selector).when(selector.startswith("[") & selector.endswith("]"), bracketed).otherwise(tag)
+
+
+def element_keys(tag: Column, attributes: Column) -> Column:
+    """Every key by which a selector can reach an element; an empty attribute gives none."""
+    entries = F.filter(F.map_entries(attributes), lambda e: e["value"] != "")
+    has = F.transform(entries, lambda e: F.concat(F.lit("["), e["key"]))
+    valued = F.transform(entries, lambda e: F.concat(F.lit("["), e["key"], F.lit("="), e["value"]))
+    own_id = F.transform(F.filter(entries, lambda e: e["key"] == "id"), lambda e: F.concat(F.lit("#"), e["value"]))
+    return F.concat(F.array(F.concat(F.lit("<"), F.lower(tag))), own_id, has, valued)
 
 
-def element_keys(tag: Column, attributes: dict[str, Column]) -> Column:
-    """Every key by which a selector can reach an element; a null attribute gives none."""
-    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
-    found = [pair("tag", F.upper(tag))]
-    for name, value in attributes.items():
-        found += [F.when(value.isNotNull(), pair(name, value)), F.when(value.isNotNull(), pair(name, F.lit(ANY)))]
-    return F.array_compact(F.array(*found))
+def kind_of(raw: Column, key: str) -> Column:
+    """The kind of a top-level value of a JSON object: STRING, VOID (null), ...; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "variant"))
 
 
 def well_formed(raw: Column) -> Column:
-    """True where a raw JSON action has all required keys, as strings, and no unknown key."""
-    keys = F.json_object_keys(raw)
-    shaped = F.size(F.array_except(keys, F.array(*map(F.lit, ACTION_KEYS)))) == 0
-    for k in REQUIRED_KEYS:
-        # a string begins with a letter or sign in JSON text only behind its quote
-        shaped = shaped & F.array_contains(keys, F.lit(k)) & raw.rlike(rf'"{k}"\s*:\s*"')
-    return F.coalesce(shaped, F.lit(False))
+    """True where a raw JSON action has all required keys, as strings, optional ones of their kinds, and no other key."""
+    known = F.size(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, ACTION_KEYS)))) == 0
+    shaped = F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT") & known
+    for key in REQUIRED_KEYS:
+        shaped = shaped & F.coalesce(kind_of(raw, key) == "STRING", F.lit(False))
+    parameters, value_ref = kind_of(raw, "parameters"), kind_of(raw, "value_ref")
+    shaped = shaped & (parameters.isNull() | parameters.startswith("OBJECT") | parameters.startswith("ARRAY"))
+    return F.coalesce(shaped & (value_ref.isNull() | (value_ref == "STRING")), F.lit(False))
+
+
+def field(raw: Column, key: str) -> Column:
+    """A top-level value of a raw action as text."""
+    return F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "string")
 
 
 def disabled(off: Column, readonly: Column, aria: Column) -> Column:

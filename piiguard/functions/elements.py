@@ -10,26 +10,41 @@ INTERACTIVE_ROLES = (
     "button link menuitem tab checkbox radio slider spinbutton textbox searchbox combobox listbox option menuitemcheckbox menuitemradio".split()
 )
 IMPLICIT_ROLES = {
-    "A": "link", "BUTTON": "button", "INPUT": "textbox", "SELECT": "combobox", "TEXTAREA": "textbox", "IMG": "img", "H1": "heading", "H2": "heading", "H3": "heading", "H4": "heading", "H5": "heading",
-    "H6": "heading", "FORM": "form", "NAV": "navigation", "MAIN": "main", "ARTICLE": "article", "SECTION": "region", "ASIDE": "complementary", "HEADER": "banner", "FOOTER": "contentinfo",
+    "A": "link", "BUTTON": "button", "INPUT": "textbox", "SELECT": "combobox", "TEXTAREA": "textbox", "IMG": "img",
+    "H1": "heading", "H2": "heading", "H3": "heading", "H4": "heading", "H5": "heading", "H6": "heading",
+    "FORM": "form", "NAV": "navigation", "MAIN": "main", "ARTICLE": "article", "SECTION": "region",
+    "ASIDE": "complementary", "HEADER": "banner", "FOOTER": "contentinfo",
 }
+#: The sanitizer's roles: no headings; any other tag is its own role.
+CONTEXT_ROLES = {k: v for k, v in IMPLICIT_ROLES.items() if v != "heading"}
 TYPED_RULES = (
     ("password", "critical", "password", ("current-password", "new-password", "one-time-code")),
     ("email", "high", "email", ("email", "username")),
-    ("phone", "high", "tel", ("tel", "tel-national", "tel-area-code", "tel-country-code", "tel-local", "tel-local-prefix", "tel-local-suffix", "tel-extension")),
+    ("phone", "high", "tel", (
+        "tel", "tel-national", "tel-area-code", "tel-country-code", "tel-local", "tel-local-prefix", "tel-local-suffix", "tel-extension",
+    )),
     ("credit_card", "critical", None, ("cc-number", "cc-name", "cc-exp", "cc-exp-month", "cc-exp-year", "cc-csc", "cc-type")),
     ("ssn", "critical", None, ("ssn",)),
-    ("address", "medium", None, ("street-address", "address-line1", "address-line2", "address-line3", "address-level1", "address-level2", "address-level3", "address-level4", "postal-code", "country", "country-name")),
+    ("address", "medium", None, (
+        "street-address", "address-line1", "address-line2", "address-line3", "address-level1", "address-level2", "address-level3", "address-level4",
+        "postal-code", "country", "country-name",
+    )),
     ("name", "medium", None, ("name", "given-name", "additional-name", "family-name", "honorific-prefix", "honorific-suffix", "nickname")),
-)
+)
 LABEL_RULES = (
-    ("password", "password"), ("passcode", "password"), ("pin", "password"), ("secret", "password"), ("ssn", "ssn"), ("social security", "ssn"), ("credit card", "credit_card"), ("card number", "credit_card"),
-    ("cvv", "credit_card"), ("cvc", "credit_card"), ("expiration", "credit_card"), ("email", "email"), ("e-mail", "email"), ("phone", "phone"), ("telephone", "phone"), ("mobile", "phone"), ("address", "address"),
-    ("street", "address"), ("zip", "address"), ("postal", "address"),
+    ("password", "password"), ("passcode", "password"), ("pin", "password"), ("secret", "password"), ("ssn", "ssn"), ("social security", "ssn"),
+    ("credit card", "credit_card"), ("card number", "credit_card"), ("cvv", "credit_card"), ("cvc", "credit_card"), ("expiration", "credit_card"),
+    ("email", "email"), ("e-mail", "email"), ("phone", "phone"), ("telephone", "phone"), ("mobile", "phone"),
+    ("address", "address"), ("street", "address"), ("zip", "address"), ("postal", "address"),
 )
 GATE_KEYWORDS = {
-    "face": "face avatar profile portrait headshot".split(), "id": "id-card idcard passport driver license identity".split(), "document": "document document-upload upload-document verify-document kyc".split(),
-}
+    "face": "face avatar profile portrait headshot".split(),
+    "id": "id-card idcard passport driver license identity".split(),
+    "document": "document document-upload upload-document verify-document kyc".split(),
+}
+CANVAS_WORDS = ("face", "avatar", "portrait")
+REGIONS = {"IMG": "image", "CANVAS": "canvas", "VIDEO": "video", "SVG": "svg"}
+SENSITIVE_TYPES = ("password", "credit_card", "ssn", "email", "phone", "address", "name")
 FACE_WORDS = "face avatar profile portrait headshot id-card idcard passport driver".split()
 VISUAL_TAGS = ("IMG", "CANVAS", "VIDEO", "SVG")
 VIEW_WIDTH, VIEW_HEIGHT = 1024.0, 768.0
@@ -43,12 +58,27 @@ def any_in(text: Column, words) -> Column:
 
 
 def interactive(tag: Column, role: Column, tabindex: Column, editable: Column) -> Column:
-    return tag.isin(*INTERACTIVE_TAGS) | F.coalesce(role.isin(*INTERACTIVE_ROLES), F.lit(False)) | F.coalesce(tabindex != "-1", F.lit(False)) | F.coalesce(editable != "false", F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return tag.isin(*INTERACTIVE_TAGS) | yes(role.isin(*INTERACTIVE_ROLES)) | yes(tabindex != "-1") | yes(editable != "false")
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def role_of(tag: Column, role: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in IMPLICIT_ROLES.items() for x in kv])
-    return F.coalesce(role, F.try_element_at(table, tag))
+    """The role attribute, or where it is missing or empty the tag's own role."""
+    return F.coalesce(F.nullif(role, F.lit("")), _lookup(IMPLICIT_ROLES, tag))
+
+
+def context_role(tag: Column) -> Column:
+    return F.coalesce(_lookup(CONTEXT_ROLES, tag), F.lower(tag))
+
+
+def region_of(tag: Column, xmlns: Column, w: Column, h: Column) -> Column:
+    """The kind of visual region that an element of some size is; null for none."""
+    kind = F.coalesce(_lookup(REGIONS, tag), F.when(F.contains(xmlns, F.lit("svg")), F.lit("svg")))
+    return F.when((w != 0) & (h != 0), kind)
 
 
 def typed_field(tag: Column, kind: Column, autocomplete: Column, role: Column, label: Column) -> Column:
@@ -66,9 +96,19 @@ def typed_field(tag: Column, kind: Column, autocomplete: Column, role: Column, l
     return out
 
 
-def offscreen(position: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-    placed = position.isin("absolute", "fixed") & ((x < -VIEW_WIDTH) | (y < -VIEW_HEIGHT) | (x > 2 * VIEW_WIDTH) | (y > 2 * VIEW_HEIGHT))
-    return placed | (x + w < 0) | (y + h < 0) | (x > VIEW_WIDTH) | (y > VIEW_HEIGHT)
+def offscreen(position: Column, left: Column, top: Column, transform: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Placed or moved over two views away, or with no pixel inside the view."""
+    placed = position.isin("absolute", "fixed") & ((left < -VIEW_WIDTH) | (top < -VIEW_HEIGHT) | (left > 2 * VIEW_WIDTH) | (top > 2 * VIEW_HEIGHT))
+    moves = r"translate\(?\s*(-?\d+(?:\.\d+)?)px?\s*,\s*(-?\d+(?:\.\d+)?)px?\s*\)?"
+    by = lambda n: F.abs(F.regexp_extract(transform, moves, n).try_cast("double"))
+    moved = F.coalesce((by(1) > 2 * VIEW_WIDTH) | (by(2) > 2 * VIEW_HEIGHT), F.lit(False))
+    return placed | moved | (x + w <= 0) | (y + h <= 0) | (x >= VIEW_WIDTH) | (y >= VIEW_HEIGHT)
+
+
+def default_box(tag: Column) -> tuple[Column, Column]:
+    """Width and height where nothing is laid out."""
+    field = tag.isin("INPUT", "TEXTAREA", "SELECT", "BUTTON")
+    return F.when(field, 200.0).otherwise(100.0), F.when(field, 30.0).otherwise(20.0)
 
 
 def in_viewport(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -91,6 +131,19 @@ def overlaps(a: str, b: str) -> Column:
     return (c(a, "x") < c(b, "x") + c(b, "w")) & (c(b, "x") < c(a, "x") + c(a, "w")) & (c(a, "y") < c(b, "y") + c(b, "h")) & (c(b, "y") < c(a, "y") + c(a, "h"))
 
 
+def is_mouth(path: Column) -> Column:
+    """A curve that is named a mouth, or has the shape and place of one."""
+    curve = path.rlike(r"M\d+,\d+\s*Q\d+,\d+\s*\d+,\d+") & F.contains(path, F.lit("70"))
+    return F.coalesce(F.contains(path, F.lit("Q")) & (F.contains(path, F.lit("mouth")) | F.contains(path, F.lit("Mouth")) | curve), F.lit(False))
+
+
+def count_in(text: Column, words) -> Column:
+    out = F.lit(0)
+    for w in words:
+        out = out + F.contains(text, F.lit(w)).cast("int")
+    return out
+
+
 def face_confidence(indicators: Column) -> Column:
     return F.least(F.lit(0.9), F.lit(0.6) + F.lit(0.1) * indicators)
 
@@ -105,4 +158,5 @@ def nms(boxes: Column, most: int = 10, limit: float = 0.3) -> Column:
         return w * h > limit * (a["w"] * a["h"] + b["w"] * b["h"] - w * h)
 
     step = lambda kept, b: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: over(k, b)), kept).otherwise(F.array_append(kept, b))
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
+    kind = "array<struct<score:double,x:double,y:double,w:double,h:double,id:int>>"
+    return F.aggregate(ordered, F.array().cast(kind), step)

@@ -1,28 +1,68 @@
-"""Queries over page elements, the vision gate, strategies, geometry and action validation."""
+"""Queries over page elements, layers one and three, the vision gate and geometry."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from piiguard.functions import elements as E
+from piiguard.operators import pages as O
 from piiguard.plans import inputs as I
 
 QUERIES, ORACLES = {}, {}
-_DUCK = lambda sql: sql.replace("AS STRING)", "AS VARCHAR)")
-ELEMENTS_SQL, ACTIONS_SQL, BOXES_SQL = _DUCK(I.ELEMENTS), I.ACTIONS, I.BOXES
 _STR = lambda x: "'" + x + "'"
 _IN = lambda xs: "(" + ", ".join(map(_STR, xs)) + ")"
 _HAS = lambda col, xs: "(" + " OR ".join(f"contains({col}, '{x}')" for x in xs) + ")"
+_CASE = lambda col, table: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+#: Attributes of made elements: name and column.
+ATTRIBUTES = {
+    "id": "id", "name": "name", "class": "cls", "type": "kind", "autocomplete": "autocomplete", "role": "role", "src": "src", "alt": "alt", "accept": "accept", "aria-label": "aria_label",
+    "placeholder": "placeholder", "tabindex": "tabindex", "contenteditable": "editable", "xmlns": "xmlns", "r": "radius", "d": "path",
+}
+#: Attributes that count where they are there, even if they are empty.
+FLAGS = {"disabled": "disabled", "readonly": "readonly", "aria-disabled": "aria_disabled"}
 
 
 def _sql(spark, sf_dir, text: str, *tables: str):
-    return spark.sql(text.replace("FROM customer", "FROM {customer}").replace("FROM events", "FROM {events}").replace("FROM lineitem", "FROM {lineitem}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    text = text.replace("\\", "\\\\")  # Spark's string literals take a backslash for an escape
+    text = text.replace("{", "{{").replace("}", "}}")
+    for t in tables:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
-def elements(spark, sf_dir):
+def raw_elements(spark, sf_dir):
+    """The made elements as a browser would give them: style and box by columns."""
     return _sql(spark, sf_dir, I.ELEMENTS, "customer")
 
 
+def hidden_rule():
+    """Columns offscreen and visible of the made elements."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    off = E.offscreen(F.col("position"), F.col("css_left"), F.col("css_top"), F.col("transform"), x, y, w, h)
+    visibility = F.when(F.col("style") == "hidden", "hidden").otherwise("visible")
+    return off, E.visible(F.col("display"), visibility, F.col("opacity"), w, h, off)
+
+
+def elements(spark, sf_dir):
+    """The made elements in the form that the page operators read."""
+    raw = raw_elements(spark, sf_dir)
+    given = [F.struct(F.lit(k).alias("key"), F.nullif(F.col(c), F.lit("")).alias("value")) for k, c in ATTRIBUTES.items()]
+    given += [F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in FLAGS.items()]
+    given.append(F.struct(F.lit("value").alias("key"), F.when(F.col("tag") == "INPUT", F.nullif("text", F.lit(""))).alias("value")))
+    attributes = F.map_from_entries(F.filter(F.array(*given), lambda e: e["value"].isNotNull()))
+    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    interactive = E.interactive(F.col("tag"), F.col("role"), F.col("tabindex"), F.col("editable"))
+    return raw.select(
+        "page_id", "elem_idx", F.when(F.col("id") != "", F.concat(F.lit("#"), "id")).alias("selector"), "tag", attributes.alias("attributes"), blank("text"), blank("aria_label"), blank("label_text"),
+        "form_id", hidden_rule()[1].alias("visible"), interactive.alias("interactive"), "x", "y", "w", "h", "svg_idx",
+    )
+
+
+def pages(spark, sf_dir):
+    return _sql(spark, sf_dir, I.PAGES, "customer")
+
+
 def actions(spark, sf_dir):
     return _sql(spark, sf_dir, I.ACTIONS, "events")
 
@@ -41,90 +81,100 @@ def query(sql: str | None = None):
     return add
 
 
-_ROLE = "coalesce(role, CASE tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.IMPLICIT_ROLES.items()) + " END)"
-_TYPED = "CASE " + " ".join(
-    f"WHEN tag IN ('INPUT', 'TEXTAREA') AND ({(f'kind = {_STR(t)} OR ' if t else '') + _HAS('lower(autocomplete)', tokens)}) THEN '{n}|{s}|l1_{n}'" for n, s, t, tokens in E.TYPED_RULES
-) + " WHEN coalesce(role IN ('password', 'searchbox'), false) THEN 'password|critical|l1_role' " + " ".join(f"WHEN contains(lower(label), '{w}') THEN '{n}|high|l1_label'" for w, n in E.LABEL_RULES) + " END"
-_L1 = f"SELECT * FROM (SELECT *, {_TYPED} AS d FROM ({ELEMENTS_SQL}) WHERE style = 'none') WHERE d IS NOT NULL"
+# ---- the same in SQL ----------------------------------------------------------------------------
+_TRANSLATE = r"translate\(?\s*(-?\d+(?:\.\d+)?)px?\s*,\s*(-?\d+(?:\.\d+)?)px?\s*\)?"
+_MOVED = " OR ".join(f"coalesce(abs(try_cast(nullif(regexp_extract(transform, '{_TRANSLATE}', {n}), '') AS DOUBLE)) > {far}, false)" for n, far in ((1, 2048), (2, 1536)))
+_OFF = f"(position IN ('absolute', 'fixed') AND (css_left < -1024 OR css_top < -768 OR css_left > 2048 OR css_top > 1536) OR {_MOVED} OR x + w <= 0 OR y + h <= 0 OR x >= 1024 OR y >= 768)"
+_VISIBLE = f"NOT (display = 'none' OR style = 'hidden' OR opacity = '0' OR (w = 0 AND h = 0) OR {_OFF})"
+_ROLE = f"coalesce(nullif(role, ''), {_CASE('tag', E.IMPLICIT_ROLES)})"
+_ACTIVE = f"(tag IN {_IN(E.INTERACTIVE_TAGS)} OR coalesce(role IN {_IN(E.INTERACTIVE_ROLES)}, false) OR coalesce(tabindex <> '-1', false) OR coalesce(editable <> 'false', false))"
+_REGION = f"CASE WHEN {_VISIBLE} AND w <> 0 AND h <> 0 THEN coalesce({_CASE('tag', E.REGIONS)}, CASE WHEN contains(xmlns, 'svg') THEN 'svg' END) END"
+_RAW = I.ELEMENTS.replace("AS STRING)", "AS VARCHAR)")
+ELEMENTS_SQL = f"SELECT *, {_VISIBLE} AS visible, {_OFF} AS offscreen, {_ACTIVE} AS interactive, {_ROLE} AS full_role, {_REGION} AS region FROM ({_RAW})"
+PAGES_SQL, ACTIONS_SQL, BOXES_SQL = I.PAGES, I.ACTIONS, I.BOXES
+_TYPED = " ".join(
+    f"WHEN tag IN ('INPUT', 'TEXTAREA') AND ({(f'(tag = {_STR('INPUT')} AND kind = {_STR(t)}) OR ' if t else '') + _HAS('lower(autocomplete)', tokens)}) THEN '{n}|{s}|l1_{n}'"
+    for n, s, t, tokens in E.TYPED_RULES
+)
+_LABELLED = " ".join(f"WHEN contains(lower(aria_label || ' ' || label_text), '{w}') THEN '{n}|high|l1_label'" for w, n in E.LABEL_RULES)
+_L1 = f"""SELECT page_id, elem_idx, id, form_id, text, x, y, w, h, split_part(r, '|', 1) AS type, split_part(r, '|', 2) AS severity, split_part(r, '|', 3) AS rule
+FROM (SELECT *, CASE {_TYPED} WHEN coalesce(full_role IN ('password', 'searchbox'), false) THEN 'password|critical|l1_role' {_LABELLED} END AS r FROM ({ELEMENTS_SQL}) WHERE visible) WHERE r IS NOT NULL"""
 
 
-@query(f"SELECT page_id, elem_idx, {_ROLE} AS role FROM ({ELEMENTS_SQL})")
+@query(f"SELECT page_id, elem_idx, {_ROLE} AS role FROM ({_RAW})")
 def el_role(spark, sf_dir):
-    return elements(spark, sf_dir).select("page_id", "elem_idx", E.role_of(F.col("tag"), F.col("role")).alias("role"))
+    return raw_elements(spark, sf_dir).select("page_id", "elem_idx", E.role_of(F.col("tag"), F.col("role")).alias("role"))
 
 
-@query(f"SELECT page_id, elem_idx, tag IN {_IN(E.INTERACTIVE_TAGS)} OR coalesce(role IN {_IN(E.INTERACTIVE_ROLES)}, false) AS interactive FROM ({ELEMENTS_SQL})")
+@query(f"SELECT page_id, elem_idx, {_ACTIVE} AS interactive FROM ({_RAW})")
 def el_interactive(spark, sf_dir):
-    null = F.lit(None).cast("string")
-    return elements(spark, sf_dir).select("page_id", "elem_idx", E.interactive(F.col("tag"), F.col("role"), null, null).alias("interactive"))
+    return raw_elements(spark, sf_dir).select("page_id", "elem_idx", E.interactive(F.col("tag"), F.col("role"), F.col("tabindex"), F.col("editable")).alias("interactive"))
 
 
-@query(f"SELECT page_id, elem_idx, CASE WHEN tag = 'INPUT' THEN coalesce(nullif(kind, ''), 'text') END AS input_type, nullif(autocomplete, '') AS autocomplete FROM ({ELEMENTS_SQL})")
+@query(f"SELECT page_id, elem_idx, CASE WHEN tag = 'INPUT' THEN coalesce(nullif(kind, ''), 'text') END AS input_type, nullif(autocomplete, '') AS autocomplete FROM ({_RAW})")
 def el_input_type(spark, sf_dir):
-    e = elements(spark, sf_dir)
     kind = F.when(F.col("tag") == "INPUT", F.coalesce(F.nullif(F.col("kind"), F.lit("")), F.lit("text")))
-    return e.select("page_id", "elem_idx", kind.alias("input_type"), F.nullif(F.col("autocomplete"), F.lit("")).alias("autocomplete"))
+    return raw_elements(spark, sf_dir).select("page_id", "elem_idx", kind.alias("input_type"), F.nullif(F.col("autocomplete"), F.lit("")).alias("autocomplete"))
 
 
-@query(f"SELECT page_id, elem_idx, CASE WHEN tag IN ('INPUT', 'TEXTAREA', 'SELECT', 'BUTTON') THEN 200.0 ELSE 100.0 END::DOUBLE AS width, CASE WHEN tag IN ('INPUT', 'TEXTAREA', 'SELECT', 'BUTTON') THEN 30.0 ELSE 20.0 END::DOUBLE AS height FROM ({ELEMENTS_SQL})")
+_FIELD = "tag IN ('INPUT', 'TEXTAREA', 'SELECT', 'BUTTON')"
+
+
+@query(f"SELECT page_id, elem_idx, CASE WHEN {_FIELD} THEN 200.0 ELSE 100.0 END::DOUBLE AS width, CASE WHEN {_FIELD} THEN 30.0 ELSE 20.0 END::DOUBLE AS height FROM ({_RAW})")
 def el_bbox(spark, sf_dir):
-    field = F.col("tag").isin("INPUT", "TEXTAREA", "SELECT", "BUTTON")
-    return elements(spark, sf_dir).select("page_id", "elem_idx", F.when(field, 200.0).otherwise(100.0).alias("width"), F.when(field, 30.0).otherwise(20.0).alias("height"))
+    """Boxes of pages without layout: fields are 200 by 30, all else 100 by 20."""
+    width, height = E.default_box(F.col("tag"))
+    return raw_elements(spark, sf_dir).select("page_id", "elem_idx", width.alias("width"), height.alias("height"))
 
 
-@query(f"SELECT page_id, elem_idx, (x + w < 0 OR y + h < 0 OR x > 1024 OR y > 768) AS offscreen, (x >= 0 AND y >= 0 AND x + w <= 1024 AND y + h <= 768) AS in_viewport, NOT (style = 'hidden' OR x + w < 0 OR y + h < 0 OR x > 1024 OR y > 768) AS visible FROM ({ELEMENTS_SQL})")
+@query(f"SELECT page_id, elem_idx, offscreen, (x >= 0 AND y >= 0 AND x + w <= 1024 AND y + h <= 768) AS in_viewport, visible FROM ({ELEMENTS_SQL})")
 def el_visible(spark, sf_dir):
-    x, y, w, h = (F.col(c) for c in "xywh")
-    off = E.offscreen(F.lit("static"), x, y, w, h)
-    return elements(spark, sf_dir).select("page_id", "elem_idx", off.alias("offscreen"), E.in_viewport(x, y, w, h).alias("in_viewport"), E.visible(F.lit("block"), F.when(F.col("style") == "hidden", "hidden").otherwise("visible"), F.lit("1"), w, h, off).alias("visible"))
+    off, shown = hidden_rule()
+    inside = E.in_viewport(*(F.col(c) for c in "xywh"))
+    return raw_elements(spark, sf_dir).select("page_id", "elem_idx", off.alias("offscreen"), inside.alias("in_viewport"), shown.alias("visible"))
 
 
 def l1(spark, sf_dir):
-    e = elements(spark, sf_dir).where("style = 'none'")
-    d = E.typed_field(F.col("tag"), F.col("kind"), F.col("autocomplete"), F.col("role"), F.col("label"))
-    return e.withColumn("d", d).where("d IS NOT NULL").select("page_id", "elem_idx", "form_id", "d.*")
+    e = raw_elements(spark, sf_dir).where(hidden_rule()[1])
+    label = F.concat(F.col("aria_label"), F.lit(" "), F.col("label_text"))
+    d = E.typed_field(F.col("tag"), F.when(F.col("tag") == "INPUT", F.col("kind")), F.col("autocomplete"), E.role_of(F.col("tag"), F.col("role")), label)
+    return e.select("page_id", "elem_idx", d.alias("d")).where("d IS NOT NULL").select("page_id", "elem_idx", "d.*")
 
 
-@query(f"SELECT page_id, elem_idx, split_part(d, '|', 1) AS type, split_part(d, '|', 2) AS severity, split_part(d, '|', 3) AS rule FROM ({_L1})")
+@query(f"SELECT page_id, elem_idx, type, severity, rule FROM ({_L1})")
 def l1_detect(spark, sf_dir):
-    return l1(spark, sf_dir).drop("form_id")
+    return l1(spark, sf_dir)
 
 
 for _rule in [f"l1_{r[0]}" for r in E.TYPED_RULES] + ["l1_role", "l1_label"]:
     QUERIES[_rule] = lambda spark, sf_dir, r=_rule: l1(spark, sf_dir).where(F.col("rule") == r).select("page_id", "elem_idx", "type", "severity")
-    ORACLES[_rule] = f"SELECT page_id, elem_idx, split_part(d, '|', 1) AS type, split_part(d, '|', 2) AS severity FROM ({_L1}) WHERE split_part(d, '|', 3) = '{_rule}'"
+    ORACLES[_rule] = f"SELECT page_id, elem_idx, type, severity FROM ({_L1}) WHERE rule = '{_rule}'"
 
+_WORDS = "lower(src || ' ' || alt || ' ' || cls || ' ' || id)"
 _SIGNALS = " UNION ALL ".join(
-    [f"SELECT page_id, elem_idx, lower(tag) || '_element' AS signal FROM ({ELEMENTS_SQL}) WHERE style = 'none' AND tag IN {_IN(E.VISUAL_TAGS)}"]
-    + [f"SELECT page_id, elem_idx, '{k}_keyword' AS signal FROM ({ELEMENTS_SQL}) WHERE style = 'none' AND tag IN {_IN(E.VISUAL_TAGS)} AND contains(lower(src || ' ' || label), '{w}')" for k, ws in E.GATE_KEYWORDS.items() for w in ws]
-    + [f"SELECT page_id, elem_idx, 'upload_control' AS signal FROM ({ELEMENTS_SQL}) WHERE style = 'none' AND kind = 'file' AND (contains(accept, 'image/') OR contains(accept, 'video/'))"]
+    [f"SELECT page_id, elem_idx, region || '_element' AS signal FROM ({ELEMENTS_SQL}) WHERE region IS NOT NULL"]
+    + [f"SELECT page_id, elem_idx, '{k}_keyword' AS signal FROM ({ELEMENTS_SQL}) WHERE region IS NOT NULL AND contains({_WORDS}, '{w}')" for k, ws in E.GATE_KEYWORDS.items() for w in ws]
+    + [f"SELECT page_id, elem_idx, 'upload_control' AS signal FROM ({ELEMENTS_SQL}) WHERE visible AND tag = 'INPUT' AND kind = 'file' AND (contains(accept, 'image/') OR contains(accept, 'video/'))"]
 )
 
 
-def signals(spark, sf_dir):
-    e = elements(spark, sf_dir).where("style = 'none'")
-    text, media = F.lower(F.concat_ws(" ", "src", "label")), F.col("tag").isin(*E.VISUAL_TAGS)
-    words = F.array(*[F.when(media & F.contains(text, F.lit(w)), F.lit(f"{k}_keyword")) for k, ws in E.GATE_KEYWORDS.items() for w in ws])
-    upload = F.when((F.col("kind") == "file") & E.any_in(F.col("accept"), ("image/", "video/")), F.lit("upload_control"))
-    found = F.array_compact(F.concat(F.array(F.when(media, F.concat(F.lower("tag"), F.lit("_element"))), upload), words))
-    return e.select("page_id", "elem_idx", F.explode(found).alias("signal"))
-
-
 @query(_SIGNALS)
 def gate_signals(spark, sf_dir):
-    return signals(spark, sf_dir)
+    return elements(spark, sf_dir).select("page_id", "elem_idx", F.explode(O.signals()).alias("signal"))
 
 
-_GATE = f"""SELECT c_custkey AS page_id, CASE WHEN coalesce(bool_or(signal LIKE '%_keyword'), false) THEN 'visual_content_with_pii_indicators' WHEN coalesce(bool_or(signal = 'upload_control'), false) THEN 'document_upload_control_present'
- WHEN coalesce(bool_or(signal LIKE '%_element'), false) THEN 'visual_content_present' ELSE 'no_visual_content_requiring_inspection' END AS reason, count(signal) > 0 AS should_run FROM customer LEFT JOIN ({_SIGNALS}) s ON s.page_id = c_custkey GROUP BY c_custkey"""
+_SOME = lambda test: f"coalesce(bool_or({test}), false)"
+_GATE = f"""SELECT c_custkey AS page_id, CASE WHEN {_SOME("signal LIKE '%_keyword'")} THEN 'visual_content_with_pii_indicators' WHEN {_SOME("signal = 'upload_control'")} THEN 'document_upload_control_present'
+ WHEN {_SOME("signal LIKE '%_element'")} THEN 'visual_content_present' ELSE 'no_visual_content_requiring_inspection' END AS reason, count(signal) > 0 AS should_run
+FROM customer LEFT JOIN ({_SIGNALS}) s ON s.page_id = c_custkey GROUP BY c_custkey"""
 
 
 def gate(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("page_id"))
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     s = F.col("signal")
     reason = F.when(some(s.endswith("_keyword")), "visual_content_with_pii_indicators").when(some(s == "upload_control"), "document_upload_control_present").when(some(s.endswith("_element")), "visual_content_present")
-    return pages.join(signals(spark, sf_dir), "page_id", "left").groupBy("page_id").agg(reason.otherwise("no_visual_content_requiring_inspection").alias("reason"), (F.count("signal") > 0).alias("should_run"))
+    joined = pages(spark, sf_dir).select("page_id").join(gate_signals(spark, sf_dir), "page_id", "left")
+    return joined.groupBy("page_id").agg(reason.otherwise("no_visual_content_requiring_inspection").alias("reason"), (F.count("signal") > 0).alias("should_run"))
 
 
 @query(_GATE)
@@ -137,41 +187,45 @@ def ex_gate_reasons(spark, sf_dir):
     return gate(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-_WORDS = " + ".join(f"contains(lower(src || ' ' || label), '{w}')::INT" for w in E.FACE_WORDS)
-_FACES = f"SELECT page_id, elem_idx, least(0.9, 0.6::DOUBLE + 0.1::DOUBLE * n) AS confidence FROM (SELECT *, CASE WHEN tag = 'IMG' THEN {_WORDS} ELSE 0 END AS n FROM ({ELEMENTS_SQL}) WHERE style = 'none' AND w BETWEEN 20 AND 1000 AND h BETWEEN 20 AND 1000) WHERE n > 0"
+_COUNT = lambda text, words: " + ".join(f"contains({text}, '{w}')::INT" for w in words)
+_SHAPES = f"""SELECT page_id AS p, svg_idx AS s, count(*) FILTER (tag = 'CIRCLE' AND try_cast(radius AS DOUBLE) > 2 AND try_cast(radius AS DOUBLE) < 20) AS eyes,
+ count(*) FILTER (tag = 'CIRCLE' AND try_cast(radius AS DOUBLE) > 20 AND try_cast(radius AS DOUBLE) < 60) AS faces,
+ count(*) FILTER (tag = 'PATH' AND contains(path, 'Q') AND (contains(path, 'mouth') OR contains(path, 'Mouth') OR (regexp_matches(path, 'M\\d+,\\d+\\s*Q\\d+,\\d+\\s*\\d+,\\d+') AND contains(path, '70')))) AS mouths
+FROM ({_RAW}) WHERE svg_idx IS NOT NULL GROUP BY page_id, svg_idx"""
+_INDICATORS = f"""SELECT e.*, CASE tag WHEN 'IMG' THEN {_COUNT(_WORDS, E.FACE_WORDS)} WHEN 'CANVAS' THEN {_HAS("lower(cls || ' ' || id)", E.CANVAS_WORDS)}::INT
+ WHEN 'SVG' THEN CASE WHEN eyes >= 2 AND faces >= 1 THEN 2 ELSE 0 END + CASE WHEN mouths >= 1 THEN 1 ELSE 0 END ELSE 0 END AS n
+FROM ({ELEMENTS_SQL}) e LEFT JOIN ({_SHAPES}) ON p = page_id AND s = elem_idx"""
+_FACES = f"SELECT page_id, elem_idx, id, x, y, w, h, least(0.9::DOUBLE, 0.6::DOUBLE + 0.1::DOUBLE * n) AS confidence FROM ({_INDICATORS}) WHERE region IS NOT NULL AND w BETWEEN 20 AND 1000 AND h BETWEEN 20 AND 1000 AND n > 0"
 
 
-def faces(spark, sf_dir):
-    e = elements(spark, sf_dir).where("style = 'none' AND w BETWEEN 20 AND 1000 AND h BETWEEN 20 AND 1000")
-    text, n = F.lower(F.concat_ws(" ", "src", "label")), F.lit(0)
-    for word in E.FACE_WORDS:
-        n = n + F.contains(text, F.lit(word)).cast("int")
-    e = e.withColumn("n", F.when(F.col("tag") == "IMG", n).otherwise(0)).withColumn("confidence", E.face_confidence(F.col("n")))
-    return e.where("n > 0 AND confidence >= 0.7").select("page_id", "elem_idx", "confidence")
+@query(f"SELECT page_id, elem_idx, n::INTEGER AS indicators FROM ({_INDICATORS}) WHERE tag IN ('IMG', 'CANVAS', 'SVG')")
+def l3_indicators(spark, sf_dir):
+    rows = O.with_face_indicators(elements(spark, sf_dir)).where("tag IN ('IMG', 'CANVAS', 'SVG')")
+    return rows.select("page_id", "elem_idx", F.coalesce("indicators", F.lit(0)).cast("int").alias("indicators"))
 
 
-@query(_FACES)
+@query(f"SELECT page_id, elem_idx, confidence FROM ({_FACES})")
 def l3_face_heuristic(spark, sf_dir):
-    return faces(spark, sf_dir)
+    rows = O.with_face_indicators(elements(spark, sf_dir)).select("page_id", "elem_idx", F.explode(O.seen()).alias("d"))
+    return rows.select("page_id", "elem_idx", "d.confidence")
 
 
-@query(f"SELECT page_id, elem_idx, lower(tag) AS region FROM ({ELEMENTS_SQL}) WHERE style = 'none' AND tag IN {_IN(E.VISUAL_TAGS)} AND w <> 0 AND h <> 0")
+@query(f"SELECT page_id, elem_idx, region FROM ({ELEMENTS_SQL}) WHERE region IS NOT NULL")
 def l3_regions(spark, sf_dir):
-    return elements(spark, sf_dir).where((F.col("style") == "none") & F.col("tag").isin(*E.VISUAL_TAGS) & (F.col("w") != 0) & (F.col("h") != 0)).select("page_id", "elem_idx", F.lower("tag").alias("region"))
+    return elements(spark, sf_dir).select("page_id", "elem_idx", O.region().alias("region")).where("region IS NOT NULL")
 
 
-@query(f"""WITH g AS ({_GATE}), d AS (SELECT page_id, 1 AS layer FROM ({_L1}) UNION ALL SELECT page_id, 3 FROM ({_FACES})), s AS (SELECT unnest(['dom_only', 'unconditional_vision', 'dom_gated_vision']) AS strategy)
-SELECT strategy, count(*) FILTER (strategy = 'unconditional_vision' OR (strategy = 'dom_gated_vision' AND should_run)) AS invocations, sum(n)::BIGINT AS detections FROM (
- SELECT s.strategy, g.page_id, g.should_run, count(d.layer) FILTER (layer = 1 OR s.strategy = 'unconditional_vision' OR (s.strategy = 'dom_gated_vision' AND should_run)) AS n
- FROM g CROSS JOIN s LEFT JOIN d ON d.page_id = g.page_id GROUP BY ALL) GROUP BY strategy""")
-def strat_run(spark, sf_dir):
-    found = l1(spark, sf_dir).select("page_id", F.lit(1).alias("layer")).unionByName(faces(spark, sf_dir).select("page_id", F.lit(3).alias("layer")))
-    per_page = found.groupBy("page_id").agg(F.count_if(F.col("layer") == 1).alias("dom"), F.count_if(F.col("layer") == 3).alias("seen"))
-    pages = gate(spark, sf_dir).join(per_page, "page_id", "left")
-    each = pages.withColumn("strategy", F.explode(F.array(*map(F.lit, ("dom_only", "unconditional_vision", "dom_gated_vision")))))
-    runs = (F.col("strategy") == "unconditional_vision") | ((F.col("strategy") == "dom_gated_vision") & F.col("should_run"))
-    n = F.coalesce("dom", F.lit(0)) + F.when(runs, F.coalesce("seen", F.lit(0))).otherwise(0)
-    return each.groupBy("strategy").agg(F.count_if(runs).alias("invocations"), F.sum(n).alias("detections"))
+@query(f"""SELECT e.page_id, e.elem_idx, round(e.x + f.bx * e.w, 6) AS x, round(e.y + f.by * e.h, 6) AS y, round(f.bw * e.w, 6) AS w, round(f.bh * e.h, 6) AS h, f.score
+FROM ({ELEMENTS_SQL}) e JOIN (SELECT page_id, box_id, x / 512 AS bx, y / 512 AS by, w / 512 AS bw, h / 512 AS bh, score FROM ({BOXES_SQL})) f ON f.page_id = e.page_id
+WHERE e.region IS NOT NULL AND f.bw * e.w BETWEEN 20 AND 1000 AND f.bh * e.h BETWEEN 20 AND 1000""")
+def l3_convert(spark, sf_dir):
+    """A model's normalised boxes of each visual region, scaled to it; those without the size of a face go."""
+    regions = elements(spark, sf_dir).where(O.region().isNotNull()).select("page_id", "elem_idx", *[F.col(c).alias(f"r{c}") for c in "xywh"])
+    found = boxes(spark, sf_dir).select("page_id", "score", *[(F.col(c) / 512).alias(f"b{c}") for c in "xywh"])
+    w, h = F.col("bw") * F.col("rw"), F.col("bh") * F.col("rh")
+    sized = regions.join(found, "page_id").where(w.between(O.MIN_FACE, O.MAX_FACE) & h.between(O.MIN_FACE, O.MAX_FACE))
+    at = {"x": F.col("rx") + F.col("bx") * F.col("rw"), "y": F.col("ry") + F.col("by") * F.col("rh"), "w": w, "h": h}
+    return sized.select("page_id", "elem_idx", *[F.round(v, 6).alias(k) for k, v in at.items()], "score")
 
 
 _PAIR = f"SELECT a.page_id, a.box_id AS a_id, b.box_id AS b_id, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS byy, b.w AS bw, b.h AS bh FROM ({BOXES_SQL}) a JOIN ({BOXES_SQL}) b ON a.page_id = b.page_id AND a.box_id < b.box_id"
@@ -209,59 +263,14 @@ def geo_threshold(spark, sf_dir):
     return boxes(spark, sf_dir).where("score >= 0.5").select("page_id", "box_id", "x", "y", (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
 
 
-@query()
+_IOU = "greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y))"
+
+
+@query(f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, x DESC, y DESC, w DESC, h DESC, box_id DESC) AS n FROM ({BOXES_SQL})),
+r(page_id, n, kept) AS (SELECT page_id, n, [{{'x': x, 'y': y, 'w': w, 'h': h, 'id': box_id, 'score': score}}] FROM b WHERE n = 1 UNION ALL SELECT b.page_id, b.n,
+ CASE WHEN len(kept) >= 10 OR len(list_filter(kept, lambda k: {_IOU} > 0.3 * (k.w * k.h + b.w * b.h - {_IOU}))) > 0 THEN kept ELSE list_append(kept, {{'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h, 'id': b.box_id, 'score': b.score}}) END
+ FROM r JOIN b ON b.page_id = r.page_id AND b.n = r.n + 1)
+SELECT page_id, k.id AS box_id, k.score AS score FROM (SELECT page_id, unnest(last(kept ORDER BY n)) AS k FROM r GROUP BY page_id)""")
 def geo_nms(spark, sf_dir):
     packed = boxes(spark, sf_dir).groupBy("page_id").agg(F.collect_list(F.struct("score", "x", "y", "w", "h", F.col("box_id").alias("id"))).alias("b"))
     return packed.select("page_id", F.explode(E.nms(F.col("b"))).alias("k")).select("page_id", F.col("k.id").alias("box_id"), F.col("k.score").alias("score"))
-
-
-_VALID = f"""WITH a AS ({ACTIONS_SQL}), e AS ({ELEMENTS_SQL}), s AS (SELECT page_id, elem_idx, form_id, split_part(d, '|', 1) AS type, split_part(d, '|', 2) AS severity FROM ({_L1})),
-f AS (SELECT page_id, form_id, bool_or(severity IN ('high', 'critical')) AS hot FROM s WHERE form_id <> '' GROUP BY ALL)
-SELECT a.action_id, a.action, a.target, CASE WHEN origin <> 'https://example.test' THEN 'ORIGIN_MISMATCH' WHEN extra_key <> '' THEN 'INVALID_SCHEMA' WHEN a.action NOT IN ('click', 'fill', 'scroll', 'focus', 'select') THEN 'UNSUPPORTED_ACTION'
- WHEN reasoning_id NOT IN ('r1', 'r2') THEN 'MISSING_REASONING_ID' WHEN e.elem_idx IS NULL THEN 'TARGET_NOT_FOUND' WHEN e.style = 'hidden' THEN 'INVISIBLE_TARGET' WHEN s.type IS NOT NULL OR coalesce(f.hot, false) THEN 'SENSITIVE_ACTION'
- WHEN value_ref NOT IN ('', 'v1') THEN 'INVALID_VALUE_REF' END AS reason
-FROM a LEFT JOIN e ON e.page_id = a.page_id AND e.elem_idx = a.target LEFT JOIN s ON s.page_id = a.page_id AND s.elem_idx = a.target LEFT JOIN f ON f.page_id = a.page_id AND f.form_id = e.form_id"""
-
-
-def validated(spark, sf_dir):
-    """Actions joined with their targets; the first failing check of the ordered list is the reason."""
-    e = elements(spark, sf_dir).select("page_id", F.col("elem_idx").alias("target"), "style", "form_id")
-    found = l1(spark, sf_dir)
-    own = found.select("page_id", F.col("elem_idx").alias("target"), "type")
-    hot = found.where("form_id <> ''").groupBy("page_id", "form_id").agg(F.bool_or(F.col("severity").isin("high", "critical")).alias("hot"))
-    a = actions(spark, sf_dir).join(e, ["page_id", "target"], "left").join(own, ["page_id", "target"], "left").join(hot, ["page_id", "form_id"], "left")
-    reason = (
-        F.when(F.col("origin") != "https://example.test", "ORIGIN_MISMATCH").when(F.col("extra_key") != "", "INVALID_SCHEMA").when(~F.col("action").isin("click", "fill", "scroll", "focus", "select"), "UNSUPPORTED_ACTION")
-        .when(~F.col("reasoning_id").isin("r1", "r2"), "MISSING_REASONING_ID").when(F.col("style").isNull(), "TARGET_NOT_FOUND").when(F.col("style") == "hidden", "INVISIBLE_TARGET")
-        .when(F.col("type").isNotNull() | F.coalesce("hot", F.lit(False)), "SENSITIVE_ACTION").when(~F.col("value_ref").isin("", "v1"), "INVALID_VALUE_REF")
-    )
-    return a.select("action_id", "action", "target", reason.alias("reason"))
-
-
-@query(_VALID)
-def val_action(spark, sf_dir):
-    return validated(spark, sf_dir)
-
-
-@query(f"SELECT action, reason, count(*) AS n FROM ({_VALID}) GROUP BY ALL")
-def val_summary(spark, sf_dir):
-    return validated(spark, sf_dir).groupBy("action", "reason").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) - 1)::BIGINT AS n, {_ROLE} AS role, coalesce(nullif(label, ''), nullif(src, ''), '') AS label FROM ({ELEMENTS_SQL}) WHERE style = 'none'")
-def san_structured(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = elements(spark, sf_dir).where("style = 'none'")
-    n = (F.row_number().over(Window.partitionBy("page_id").orderBy("elem_idx")) - 1).cast("long")
-    blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    return e.select("page_id", n.alias("n"), E.role_of(F.col("tag"), F.col("role")).alias("role"), F.coalesce(blank("label"), blank("src"), F.lit("")).alias("label"))
-
-
-@query(f"SELECT page_id, min(elem_idx) FILTER (tag = 'BUTTON') AS submit, min(elem_idx) FILTER (tag IN ('INPUT', 'TEXTAREA') AND kind NOT IN ('password', 'email', 'tel') AND autocomplete = '') AS fillable, CASE WHEN count(*) FILTER (tag = 'BUTTON') > 0 THEN 'click' ELSE 'wait' END AS action FROM ({ELEMENTS_SQL}) WHERE style = 'none' GROUP BY page_id")
-def rsn_decide(spark, sf_dir):
-    e = elements(spark, sf_dir).where("style = 'none'")
-    button = F.col("tag") == "BUTTON"
-    field = F.col("tag").isin("INPUT", "TEXTAREA") & ~F.col("kind").isin("password", "email", "tel") & (F.col("autocomplete") == "")
-    at = lambda c: F.min(F.when(c, F.col("elem_idx")))
-    return e.groupBy("page_id").agg(at(button).alias("submit"), at(field).alias("fillable"), F.when(F.count_if(button) > 0, "click").otherwise("wait").alias("action"))

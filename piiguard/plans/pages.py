@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from piiguard.functions import elements as E, patterns as P
+from piiguard.operators import pages as O
 from piiguard.sources import html
 
 QUERIES, ORACLES = {}, {}
@@ -21,15 +22,32 @@ def el_selector(spark, sf_dir):
 
 
 def el_to_metadata(spark, sf_dir):
-    role = F.try_element_at("attributes", F.lit("role"))
-    return _elements(spark, sf_dir).select("page_id", "elem_idx", "tag", E.role_of(F.col("tag"), role).alias("role"), F.try_element_at("attributes", F.lit("aria-label")).alias("aria_label"), E.interactive(F.col("tag"), role, F.try_element_at("attributes", F.lit("tabindex")), F.try_element_at("attributes", F.lit("contenteditable"))).alias("is_interactive"), "text")
+    return as_elements(_elements(spark, sf_dir)).select("page_id", "elem_idx", "tag", E.role_of(F.col("tag"), O.attribute("role")).alias("role"), "aria_label", F.col("interactive").alias("is_interactive"), "text")
+
+
+def as_elements(walked):
+    """Walked elements in the form that the page operators read: no layout, so default boxes at the origin; hidden by inline style."""
+    width, height = E.default_box(F.col("tag"))
+    style = F.lower(F.coalesce(O.attribute("style"), F.lit("")))
+    hidden = style.rlike(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:[^.0-9]|$)")
+    interactive = E.interactive(F.col("tag"), O.attribute("role"), O.attribute("tabindex"), O.attribute("contenteditable"))
+    return walked.select(
+        "page_id", "elem_idx", "selector", "tag", "attributes", "text", O.attribute("aria-label").alias("aria_label"), "label_text", "form_id", (~hidden).alias("visible"),
+        interactive.alias("interactive"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), width.alias("w"), height.alias("h"), "svg_idx",
+    )
+
+
+def pipe_detect_pages(spark, sf_dir):
+    """The detection pipeline over the parsed pages."""
+    found = O.detections(O.with_layers(as_elements(_elements(spark, sf_dir))))
+    return found.select("page_id", "seq", "elem_idx", "type", "source", "confidence", "severity", "original_value")
 
 
 def el_tag_counts(spark, sf_dir):
-    return _elements(spark, sf_dir).where("tag IN ('LI', 'A')").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return _elements(spark, sf_dir).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-def san_context(spark, sf_dir):
+def san_context_pages(spark, sf_dir):
     """One row a page: origin, its sanitized elements in order, whether anything leaks."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", P.url_origin(F.col("url")).alias("url"))
     e = _elements(spark, sf_dir).select("page_id", F.struct("elem_idx", "tag", P.sanitize(F.col("text")).alias("text")).alias("e"))
@@ -38,6 +56,9 @@ def san_context(spark, sf_dir):
     return out.select("page_id", "url", F.to_json("elements").alias("elements"), F.exists("elements", lambda x: x["text"].isNotNull() & P.leaks(x["text"])).alias("leaks"))
 
 
-for _f in (src_dom_walk, el_selector, el_to_metadata, el_tag_counts, san_context):
+for _f in (src_dom_walk, el_selector, el_to_metadata, el_tag_counts, san_context_pages, pipe_detect_pages):
     QUERIES[_f.__name__] = _f
-ORACLES["el_tag_counts"] = " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, n FROM (SELECT page_id, len(regexp_extract_all(html, '<{t.lower()}[ >]'))::BIGINT AS n FROM pages) WHERE n > 0" for t in ("LI", "A"))
+# the start tags behind the body's, without scripts, styles and comments
+_BODY = "regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)<!--.*?-->|(<script[^>]*>).*?</script>|(<style[^>]*>).*?</style>', '', 'g')"
+ORACLES["el_tag_counts"] = f"""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, upper(unnest(regexp_extract_all({_BODY}, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages)
+WHERE tag NOT IN ('SCRIPT', 'STYLE', 'NOSCRIPT', 'META', 'LINK', 'HEAD', 'TITLE') GROUP BY ALL"""

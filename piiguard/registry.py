@@ -1,9 +1,9 @@
 """All queries of the library outside the corpus operators."""
 
-from piiguard.plans import actions, elements, evaluation, pages, text
+from piiguard.plans import contexts, elements, evaluation, pages, results, text
 from piiguard.plans.text import flagship
 
-_MODULES = (text, elements, actions, evaluation, pages)
+_MODULES = (text, elements, contexts, evaluation, pages, results)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 

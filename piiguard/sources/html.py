@@ -9,44 +9,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values.
+# The elements of these tags are skipped, not what is inside them.
 SKIPPED = frozenset(("script", "style", "noscript", "meta", "link", "head", "title"))
+#: Open elements that end where another begins: by the tag that begins, those it ends.
+ENDS = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"),
+    "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody"),
+}
+#: A paragraph ends where one of these begins.
+BLOCKS = frozenset(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("elem_idx", pa.int32()), ("parent_idx", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())),
-    ("text", pa.string()), ("selector", pa.string()), ("form_id", pa.string()), ("label_text", pa.string()),
+    ("text", pa.string()), ("selector", pa.string()), ("form_id", pa.string()), ("label_text", pa.string()), ("svg_idx", pa.int32()),
 ])
-DDL = "page_id long, elem_idx int, parent_idx int, tag string, attributes map<string,string>, text string, selector string, form_id string, label_text string"
+DDL = "page_id long, elem_idx int, parent_idx int, tag string, attributes map<string,string>, text string, selector string, form_id string, label_text string, svg_idx int"
 
 
 class _Walk(HTMLParser):
-    """Elements in document order, below the body."""
+    """Elements in document order. An element's text is a range of the page's pieces of text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found, self.open = [], []
+        self.found, self.open, self.pieces = [], [], []
+
+    def _shut(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            self.found[i]["last"] = len(self.pieces)
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        while self.open and tag in ("p", "li") and self.found[self.open[-1]]["tag"] == tag:
-            self.open.pop()
+        if tag in BLOCKS and self.open and self.found[self.open[-1]]["tag"] == "p":
+            self._shut(len(self.open) - 1)
+        while self.open and self.found[self.open[-1]]["tag"] in ENDS.get(tag, ()):
+            self._shut(len(self.open) - 1)
         parent = self.open[-1] if self.open else None
-        self.found.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parent": parent, "text": []})
+        self.found.append({"tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}, "parent": parent, "first": len(self.pieces), "last": len(self.pieces)})
         if tag not in VOID:
             self.open.append(len(self.found) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._shut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.found[self.open[i]]["tag"] == tag:
-                del self.open[i:]
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.found[self.open[depth]]["tag"] == tag:
+                self._shut(depth)
                 return
 
     def handle_data(self, data):
-        for i in self.open:  # an element's text is that of its whole subtree
-            self.found[i]["text"].append(data)
+        self.pieces.append(data)
+
+    def close(self):
+        super().close()
+        self._shut(0)
+
+    def text(self, i: int) -> str:
+        e = self.found[i]
+        return "".join(self.pieces[e["first"] : e["last"]])
 
 
 def elements_of(page_id, html: str | None) -> list[tuple]:
@@ -54,23 +78,28 @@ def elements_of(page_id, html: str | None) -> list[tuple]:
     walk.feed(html or "")
     walk.close()
     found, rows, number, nth = walk.found, [], {}, {}
-    labels = {e["attrs"]["for"]: "".join(e["text"]).strip() for e in found if e["tag"] == "label" and "for" in e["attrs"]}
+    labels: dict[str, str] = {}
+    for i, e in enumerate(found):
+        if e["tag"] == "label" and "for" in e["attrs"]:
+            labels.setdefault(e["attrs"]["for"], walk.text(i).strip())
     for i, e in enumerate(found):
         place = (e["parent"], e["tag"])
         nth[place] = e["nth"] = nth.get(place, 0) + 1
-        up = found[e["parent"]] if e["parent"] is not None else None
+        i_up = e["parent"]
+        up = found[i_up] if i_up is not None else None
         e["form"] = e["attrs"].get("id", "") if e["tag"] == "form" else up and up["form"]
-        e["label"] = "".join(e["text"]).strip() if e["tag"] == "label" else up and up["label"]
+        e["label"] = walk.text(i).strip() if e["tag"] == "label" else up and up["label"]
         own = f"#{e['attrs']['id']}" if e["attrs"].get("id") else f"{e['tag']}:nth-of-type({e['nth']})"
         e["selector"] = own if own[0] == "#" or up is None or up["tag"] == "body" else f"{up['selector']} > {own}"
+        e["svg"] = up and (i_up if up["tag"] == "svg" else up["svg"])
         e["in_body"] = up is not None and (up["tag"] == "body" or up["in_body"])
         if e["tag"] in SKIPPED or not e["in_body"]:
             continue
         number[i] = len(rows)
         a, field = e["attrs"], e["tag"] in ("input", "textarea", "select")
-        text = a.get("value", "") if field else "".join(e["text"]).strip() or None
+        text = a.get("value", "") if field else walk.text(i).strip() or None
         label = (labels.get(a.get("id")) or e["label"]) if field else None
-        rows.append((page_id, number[i], number.get(e["parent"]), e["tag"].upper(), list(a.items()), text, e["selector"], e["form"], label))
+        rows.append((page_id, number[i], number.get(e["parent"]), e["tag"].upper(), list(a.items()), text, e["selector"], e["form"], label, number.get(e["svg"])))
     return rows
 
 

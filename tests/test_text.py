@@ -35,6 +35,23 @@ def test_redaction_keeps_first_of_overlapping(spark):
     assert [r["redacted"] for r in row[1:]] == ["", ""]
 
 
+def test_control_characters_do_not_move_spans(spark):
+    row = T.redact_spans(spark.createDataFrame([(1, "a\x01b\x02 x@y.org\x01 12")], "id int, t string"), "id", "t", ["l2_email", "l2_phone_e164"]).first()
+    assert row["redacted"] == "a\x01b\x02 [EMAIL]\x01 [PHONE]" and [(i["start"], i["end"]) for i in row["infos"]] == [(5, 12), (14, 21)]
+
+
+def test_missing_offsets_insert_at_the_start(spark):
+    infos = F.array(F.struct(F.lit("email").alias("type"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+    assert one(spark, T.redact_values(F.col("t"), infos), t="abc") == "[EMAIL]abc"
+
+
+def test_plans_search_once(spark):
+    """Each pattern once in extraction and once in the split of texts that have it; nothing is written out twice."""
+    docs = spark.createDataFrame([(1, "x")], "id int, t string")
+    plan = T.redact_spans(docs, "id", "t", ["l2_email", "l2_phone_nanp", "l2_credit_card"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 3 and plan.count("split(") == 3
+
+
 def test_adjacent_spans_both_go(spark):
     spans = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(i).alias("ordinal"), F.lit(e).alias("end"), F.lit("email").alias("type")) for i, (s, e) in enumerate([(0, 3), (3, 6), (1, 5)])])
     assert [(k["start"], k["end"]) for k in one(spark, T.keep_disjoint(spans), t="")] == [(0, 3), (3, 6)]
@@ -63,5 +80,5 @@ def test_detected_values_go_and_are_checked(spark):
 
 
 def test_url_origin(spark):
-    for url, origin in {"https://u:p@A.test:443/x?y": "https://a.test", "http://a.test:8080": "http://a.test:8080", "nonsense": "unknown"}.items():
+    for url, origin in {"https://u:p@A.test:443/x?y": "https://a.test", "http://a.test:8080": "http://a.test:8080", "nonsense": "unknown", "mailto:a@b.org": "null", "wss://A.test:443": "wss://a.test"}.items():
         assert one(spark, P.url_origin(F.col("t")), t=url) == origin
