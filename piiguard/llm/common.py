@@ -1,64 +1,21 @@
-"""Shared plumbing of the corpus operators: the shared folder, cut lineage, salted lookups."""
+"""Shared plumbing of the corpus operators: words, the held-out fold, training samples, freed memory."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from piiguard.shared import clean_up, materialize, shared_dir
+
+__all__ = ["clean_up", "held_out", "labelled_sample", "materialize", "released", "shared_dir", "table", "words_of"]
+
 #: Words are maximal runs of anything but these ASCII white-space characters.
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 
 
-@functools.cache
-def _local_base() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="piiguard-")
-
-
-def _run_dir(spark: SparkSession) -> str:
-    """The URI of the run's folder below the one that driver and executors share.
-
-    That is the session's ``spark.checkpoint.dir``. Only on a local master (tests on one machine) a
-    temporary folder takes its place where it is unset; on a cluster that is an error.
-    """
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _local_base()
-    return f"{base.rstrip('/')}/piiguard/{spark.sparkContext.applicationId}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI in the run's folder."""
-    return f"{_run_dir(spark)}/{uuid.uuid4().hex}"
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application, once its results are written elsewhere."""
-    files, path = fs.FileSystem.from_uri(_run_dir(spark))
-    if files.get_file_info(path).type == fs.FileType.Directory:
-        files.delete_dir(path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage is cut, executors may go.
-
-    The result reads that table, which stays until :func:`clean_up`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from piiguard import shared
 from piiguard.llm import common, near_dedup as N
 
 
@@ -79,11 +80,11 @@ def test_shared_folder(spark, monkeypatch):
         conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError, match="checkpoint"):
-        common._run_dir(Session())
+        shared._run_dir(Session())
 
 
 def test_clean_up_leaves_nothing(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "_run_dir", lambda spark: f"file://{tmp_path}/run")
+    monkeypatch.setattr(shared, "_run_dir", lambda spark: f"file://{tmp_path}/run")
     common.materialize(spark.range(3), "t")
     assert list(tmp_path.rglob("*.parquet"))
     common.clean_up(spark)
@@ -105,4 +106,4 @@ def test_local_folder_where_none_is_set(spark):
     class Session:
         conf, sparkContext = Conf(), Context()
 
-    assert common._run_dir(Session()) == common._run_dir(Session()) and common._run_dir(Session()).startswith("file:///")
+    assert shared._run_dir(Session()) == shared._run_dir(Session()) and shared._run_dir(Session()).startswith("file:///")
