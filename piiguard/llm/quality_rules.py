@@ -38,7 +38,7 @@ class Rule:
 
 #: The production threshold table.
 RULES = (
-    Rule("length", "n_words", 20, 1_000_000),
+    Rule("length", "n_words", 20, None),
     Rule("word_length", "mean_word_chars", 2.0, 12.0),
     Rule("symbols", "symbol_ratio", None, 0.10),
     Rule("stop_words", "stop_word_ratio", 0.06, None, 40),
@@ -174,7 +174,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
 k AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
              (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= 1000000 AND word_chars / greatest(n_words, 1) BETWEEN 2.0 AND 12.0
+       NOT base_failed AND word_chars / greatest(n_words, 1) BETWEEN 2.0 AND 12.0
        AND n_symbols / greatest(word_chars, 1) <= 0.10
        AND (n_words < 40 OR n_stop / greatest(n_words, 1) >= 0.06)
        AND n_dup_lines / greatest(len(lines), 1) <= 0.50 AS kept
