@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text in a block, at which a task closes it (the text that crosses it included).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Words of whole texts in a chunk, at which it is compressed (the text that crosses it included).
 CHUNK_WORDS = 1 << 18
 #: Buckets of words, at least; beyond, one for each so many partitions of the input.
