@@ -310,19 +310,28 @@ def _means() -> list[Column]:
 LEFT JOIN (SELECT {_CATEGORY} AS category, coalesce(round(avg(precision), 5), 1) AS redaction_precision FROM ({RED_SQL}) GROUP BY ALL) USING (category)
 LEFT JOIN (SELECT {_CATEGORY} AS category, round(avg(({_PASS})::INT), 5) AS security_pass_rate FROM ({SECURITY_SQL}) GROUP BY ALL) USING (category)""")
 def ev_category(spark, sf_dir):
+    return category_table(scores(spark, sf_dir), redactions(spark, sf_dir), security(spark, sf_dir))
+
+
+def category_table(scored: DataFrame, redacted: DataFrame, secured: DataFrame) -> DataFrame:
     """Macro averages of the scored samples, mean redaction precision and security pass rate, by category."""
-    own = scores(spark, sf_dir).where("scope = 'overall'").groupBy("category").agg(F.count_if("scored").alias("samples"), F.count_if(~F.col("scored")).alias("deferred"), *_means())
-    red = redactions(spark, sf_dir).groupBy(F.expr(_CATEGORY).alias("category")).agg(F.coalesce(F.round(F.avg("precision"), 5), F.lit(1.0)).alias("redaction_precision"))
-    safe = security(spark, sf_dir).groupBy(F.expr(_CATEGORY).alias("category")).agg(F.round(F.avg(F.expr(_PASS).cast("int")), 5).alias("security_pass_rate"))
+    own = scored.where("scope = 'overall'").groupBy("category").agg(F.count_if("scored").alias("samples"), F.count_if(~F.col("scored")).alias("deferred"), *_means())
+    red = redacted.groupBy(F.expr(_CATEGORY).alias("category")).agg(F.coalesce(F.round(F.avg("precision"), 5), F.lit(1.0)).alias("redaction_precision"))
+    safe = secured.groupBy(F.expr(_CATEGORY).alias("category")).agg(F.round(F.avg(F.expr(_PASS).cast("int")), 5).alias("security_pass_rate"))
     return own.join(red, "category", "left").join(safe, "category", "left")
 
 
 @query(f"""SELECT c.category, g.scope, g.name, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(f1, 0) AS f1 FROM (SELECT unnest(range(1, 7)) AS category) c CROSS JOIN ({_GRID}) g
 LEFT JOIN (SELECT category, scope, name, {_MEANS} FROM ({_SCORED}) GROUP BY ALL) m ON m.category = c.category AND m.scope = g.scope AND m.name = g.name WHERE g.scope <> 'overall'""")
 def ev_breakdown(spark, sf_dir):
+    return breakdown_table(scores(spark, sf_dir))
+
+
+def breakdown_table(scored: DataFrame) -> DataFrame:
     """By category and type or layer: averages over the scored samples that expect or find any there; zeros elsewhere."""
+    spark = scored.sparkSession
     dense = spark.range(1, 7).select(F.col("id").alias("category")).join(F.broadcast(grid(spark).where("scope <> 'overall'")))
-    have = scores(spark, sf_dir).groupBy("category", "scope", "name").agg(*_means())
+    have = scored.groupBy("category", "scope", "name").agg(*_means())
     joined = dense.join(have, ["category", "scope", "name"], "left")
     return joined.select("category", "scope", "name", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -330,9 +339,13 @@ def ev_breakdown(spark, sf_dir):
 @query(f"""SELECT * FROM (SELECT count(*) AS samples, count(*) FILTER (scored) AS evaluated, count(*) FILTER (NOT scored) AS deferred, {_MEANS} FROM ({_SCORED}) WHERE scope = 'overall'),
 (SELECT coalesce(round(avg(precision), 5), 1) AS redaction_precision FROM ({RED_SQL}))""")
 def ev_full(spark, sf_dir):
+    return full_table(scores(spark, sf_dir), redactions(spark, sf_dir))
+
+
+def full_table(scored: DataFrame, redacted: DataFrame) -> DataFrame:
     """One row: numbers of samples and macro averages."""
-    own = scores(spark, sf_dir).where("scope = 'overall'").agg(F.count("*").alias("samples"), F.count_if("scored").alias("evaluated"), F.count_if(~F.col("scored")).alias("deferred"), *_means())
-    red = redactions(spark, sf_dir).agg(F.coalesce(F.round(F.avg("precision"), 5), F.lit(1.0)).alias("redaction_precision"))
+    own = scored.where("scope = 'overall'").agg(F.count("*").alias("samples"), F.count_if("scored").alias("evaluated"), F.count_if(~F.col("scored")).alias("deferred"), *_means())
+    red = redacted.agg(F.coalesce(F.round(F.avg("precision"), 5), F.lit(1.0)).alias("redaction_precision"))
     return own.withColumn("_one", F.lit(1)).join(red.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from piiguard import sinks
 from piiguard.operators import pages as O
 from piiguard.plans import evaluation as EV
-from piiguard.shared import shared_dir
+from piiguard.shared import materialize, shared_dir
 from piiguard.sources import dataset, html
 
 QUERIES, ORACLES = {}, {}
@@ -77,7 +77,9 @@ UNION ALL SELECT 4, strategy, strategy || ' | ' || invocations || ' | ' || {_PCT
 FROM ({EV.ORACLES['ex_strategy_summary']}) UNION ALL SELECT 5, stage, stage || ': ' || printf('%.6f', mean) || ' ± ' || printf('%.6f', std_dev) || ' ms (n=' || count || ')' FROM ({EV.ORACLES['bm_summary']})""")
 def snk_summary_text(spark, sf_dir):
     """The text summaries of evaluation, strategies and benchmark, line by line."""
-    text = sinks.evaluation_text(EV.ev_full(spark, sf_dir), EV.ev_category(spark, sf_dir), EV.ev_breakdown(spark, sf_dir))
+    # a row a sample each, read several times: kept in the shared folder
+    scored, redacted, secured = (materialize(f(spark, sf_dir), f.__name__) for f in (EV.scores, EV.redactions, EV.security))
+    text = sinks.evaluation_text(EV.full_table(scored, redacted), EV.category_table(scored, redacted, secured), EV.breakdown_table(scored))
     return text.unionByName(sinks.strategy_text(EV.ex_strategy_summary(spark, sf_dir))).unionByName(sinks.benchmark_text(EV.bm_summary(spark, sf_dir)))
 
 
