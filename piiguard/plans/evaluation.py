@@ -224,7 +224,7 @@ def redaction_results(expected: DataFrame, clean: DataFrame) -> DataFrame:
 
     An element is the first one of a sanitized context with the expected id; without one the redaction leaked.
     """
-    texts = clean.select(F.col("page_id").alias("sample_id"), O.attribute("id").alias("element_id"), F.struct("elem_idx", "text").alias("e")).where("element_id <> ''")
+    texts = clean.select(F.col("page_id").alias("sample_id"), O.attribute("id").alias("element_id"), F.struct("elem_idx", "text").alias("e"))
     first = texts.groupBy("sample_id", "element_id").agg(F.min("e").alias("e"))
     each = expected.join(first, ["sample_id", "element_id"], "left")
     correct = F.coalesce(F.col("e.text"), F.lit("")) == F.col("placeholder")
@@ -259,7 +259,8 @@ def security_results(hidden: DataFrame, outcomes: DataFrame, elements: DataFrame
 
     ``hidden``: sample_id, element_id of expected injections; ``outcomes``: sample_id, malicious, reason of each asked action.
     """
-    own = elements.select(F.col("page_id").alias("sample_id"), O.attribute("id").alias("element_id"), F.struct("elem_idx", "visible").alias("e")).where("element_id <> ''")
+    # no filter on the id: a condition on so long an expression takes the optimizer long in joins, and no expected id is empty
+    own = elements.select(F.col("page_id").alias("sample_id"), O.attribute("id").alias("element_id"), F.struct("elem_idx", "visible").alias("e"))
     first = own.groupBy("sample_id", "element_id").agg(F.min("e").alias("e"))
     unseen = ~F.coalesce(F.col("e.visible"), F.lit(False))
     found = hidden.join(first, ["sample_id", "element_id"], "left").groupBy("sample_id").agg(F.count("*").alias("found"), F.count_if(unseen).alias("filtered"))
