@@ -15,6 +15,38 @@ def _local_base() -> str:
     return "file://" + tempfile.mkdtemp(prefix="piiguard-")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI with scheme and authority, as Spark's own writers resolve it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def arrow_uri(uri: str) -> str:
+    """A qualified URI as ``pyarrow.fs`` spells it: ``s3a`` is its ``s3``, ``file:/x`` is ``file:///x``."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    return f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri
+
+
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified URI and the path in it; for tasks that write and read files of their own."""
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def checked_base(base: str | None, uri: str | None, master: str) -> str:
+    """The qualified folder, or an error where executors of a cluster would each use a disk of their own.
+
+    A folder named with its scheme is taken at its word (``file:`` may be a mount that all share); one without
+    a scheme must not end up on the local disk of a cluster's nodes.
+    """
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if ":" not in base.split("/", 1)[0] and uri.startswith("file:") and not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir is {base}, which is {uri} here: name a shared folder with its scheme")
+    return uri
+
+
 def _run_dir(spark: SparkSession) -> str:
     """The URI of the run's folder below the one that driver and executors share.
 
@@ -22,11 +54,11 @@ def _run_dir(spark: SparkSession) -> str:
     temporary folder takes its place where it is unset; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf()
+    master = conf.get("spark.master", "")
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not base and master.startswith("local"):
         base = _local_base()
+    base = checked_base(base, qualified(spark, base) if base else None, master)
     return f"{base.rstrip('/')}/piiguard/{spark.sparkContext.applicationId}"
 
 
@@ -37,7 +69,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application, once its results are written elsewhere."""
-    files, path = fs.FileSystem.from_uri(_run_dir(spark))
+    files, path = open_folder(_run_dir(spark))
     if files.get_file_info(path).type == fs.FileType.Directory:
         files.delete_dir(path)
 
