@@ -1,10 +1,10 @@
-"""The queries of the ten operators and the SQL that DuckDB can check them by."""
+"""The queries of the operators and the SQL that DuckDB can check them by."""
 
 from __future__ import annotations
 
-from piiguard.llm import html_extract, near_dedup, nearest, packing, quality_classifier, quality_rules, sharding, tokens, toxicity, warc
+from piiguard.llm import centroids, html_extract, near_dedup, nearest, packing, quality_classifier, quality_rules, sharding, tokens, toxicity, warc
 
-_MODULES = (tokens, quality_rules, warc, quality_classifier, near_dedup, html_extract, nearest, sharding, packing, toxicity)
+_MODULES = (tokens, quality_rules, warc, quality_classifier, near_dedup, html_extract, nearest, sharding, packing, toxicity, centroids)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
