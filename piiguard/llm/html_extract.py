@@ -4,9 +4,11 @@ A page is cut into blocks at block-level tags. Pass one decides a block by its p
 blocks inside page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
 bad; outside of article and main elements blocks that are mostly links are bad, long blocks with many
 stop words are good, and long ones with few are bad; inside of one only long blocks with many stop words
-are decided, as good. All others stay open. In pass two an open block takes the label of the nearest
-decided neighbours in its own container: good if either side is good at the least distance; in a
-container without decided blocks, an article or main element makes them good and anything else bad.
+are decided, as good. Stop words are of few languages: long blocks in other scripts than Latin, or on a
+page whose long blocks all lack stop words, are good where they hold the end of a sentence. All others
+stay open. In pass two an open block takes the label of the nearest decided neighbours in its own
+container: good if either side is good at the least distance; in a container without decided blocks, an
+article or main element makes them good and anything else bad.
 So an article keeps its titles, link paragraphs, cells and formulas.
 
 Names of classes and ids mark furniture by any of their words. Those inside an article or main element,
@@ -40,7 +42,11 @@ BLOCK_TAGS = frozenset(
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 RAW_TAGS = frozenset("script style noscript template iframe noframes noembed xmp textarea title svg object canvas audio video select".split())
+#: Of these, elements that a page's end does not swallow when they are never closed.
+PARSED_TAGS = frozenset("svg object canvas audio video select".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Only these, and what is inside of math, can close themselves.
+FOREIGN_TAGS = frozenset(["svg", "math"])
 FURNITURE_TAGS = frozenset("nav header footer aside form dialog menu button fieldset head".split())
 MAIN_TAGS = frozenset(["article", "main"])
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -65,10 +71,15 @@ LOW_STOPS, MANY_STOPS = 0.12, 0.20
 MOST_LINKS = 0.5
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)""", re.S)
+#: A slash at the end that is part of an unquoted value.
+_UNQUOTED_SLASH = re.compile(r"""=\s*[^\s"'=]*/$""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = frozenset(STOP_WORDS)
+#: Letters of scripts beyond Latin, and ends of sentences in any.
+_OTHER_LETTERS = re.compile(r"[^\W\d_\u0000-\u036f\u1e00-\u1eff]")
+_SENTENCE_END = re.compile(r"""[.!?…](?=[\s"'»”’)\]]|$)|[。！？｡।॥؟۔։።៕]""")
 
 
 def _says_furniture(parts: list[str], in_main: bool, holds_main: bool) -> bool:
@@ -180,9 +191,14 @@ def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
             elif tag in BLOCK_TAGS:
                 close()
             continue
-        if tag in RAW_TAGS and not attrs.endswith("/"):
+        if tag in FOREIGN_TAGS or opened["math"]:
+            if attrs.endswith("/") and not _UNQUOTED_SLASH.search(attrs):
+                continue
+        if tag in RAW_TAGS:
             over = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(page, pos)
             if not over:
+                if tag in PARSED_TAGS:
+                    continue
                 break
             pos = over.end()
             now.parts.append(" ")
@@ -190,7 +206,7 @@ def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
         if tag == "br":
             now.parts.append(" ")
             continue
-        if tag in VOID_TAGS or attrs.endswith("/") and tag not in BLOCK_TAGS:
+        if tag in VOID_TAGS:
             if tag in BLOCK_TAGS:
                 close()
             continue
@@ -223,17 +239,26 @@ def _blocks(page: str, holding: frozenset[int]) -> tuple[list[Block], set[int]]:
     return out, around
 
 
+def _stop_share(text: str) -> float:
+    words = text.split()
+    return sum(w.lower() in _STOPS for w in words) / len(words)
+
+
 def label(blocks: list[Block]) -> None:
     """Both passes over the blocks of a page."""
+    judged = [(b, _stop_share(b.text)) for b in blocks if not b.bad and len(b.text) >= LONG_CHARS and (b.container or b.link_chars <= MOST_LINKS * len(b.text))]
+    known = any(share >= LOW_STOPS for _, share in judged)
     for b in blocks:
-        words = b.text.split()
         if b.bad or not b.container and b.link_chars > MOST_LINKS * len(b.text):
             b.label = 0
-            continue
-        stops = sum(w.lower() in _STOPS for w in words) / len(words)
-        if len(b.text) >= LONG_CHARS and stops >= MANY_STOPS:
+    for b, share in judged:
+        if share >= MANY_STOPS:
             b.label = 1
-        elif len(b.text) >= LONG_CHARS and stops < LOW_STOPS and not b.container:
+        elif b.container:
+            continue
+        elif not known or 2 * len(_OTHER_LETTERS.findall(b.text)) > len(b.text):
+            b.label = 1 if _SENTENCE_END.search(b.text) else None  # stop words tell nothing of this language
+        elif share < LOW_STOPS:
             b.label = 0
     groups: dict[int, list[Block]] = {}
     for b in blocks:

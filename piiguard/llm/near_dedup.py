@@ -385,9 +385,12 @@ def keep(docs: DataFrame) -> DataFrame:
     mapping = _mapping(docs, materialize(signatures(docs), "signed"))
     first = mapping.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f.key").alias("_first"))
     blank = F.btrim(_body(), F.lit(SEPARATORS)) == ""
-    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", _digest()).withColumn("_null", F.col("text").isNull())
-    left = rows.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_first")), "left").where(F.col("_id").isNotNull() | blank)
-    return left.dropDuplicates(["doc_id", "_key", "_null"]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
+    # rows travel as one column each, so that no column of the caller's meets a name used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    named = docs.where(F.col("doc_id").isNotNull())
+    rows = named.select(row, F.col("doc_id").alias("_doc"), _digest().alias("_key"), F.col("text").isNull().alias("_null"), blank.alias("_blank"))
+    left = rows.join(first, (F.col("_doc") == F.col("_id")) & (F.col("_key") == F.col("_first")), "left").where(F.col("_id").isNotNull() | F.col("_blank"))
+    return left.dropDuplicates(["_doc", "_key", "_null"]).select("_row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 # ----------------------------------------------------------------------------------------------

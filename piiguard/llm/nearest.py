@@ -1,21 +1,26 @@
 """Nearest neighbours of a stated query set: a block matrix join over int8 tiles.
 
-Queries and candidates are dealt to the rows and columns of a grid; a cell multiplies its vectors as
-int8 tiles. Each product has an error bound from the rounding of both vectors, so a pair whose upper
-bound is below the k-th largest lower bound of its query can't be among the k nearest of the cell.
-The surviving pairs are computed again in double precision, component after component, and the k best
-of each cell are merged by one heap a query. The result is exact: nothing is capped.
+Queries and candidates are dealt to the rows and columns of a grid whose sides hold about as many vectors
+as the root of the input, up to ``SIDE_BYTES``: a row is copied to as many cells as the other side has,
+so copies grow with the root until a side is full. A cell multiplies its vectors as int8 tiles and carries
+the k best scores of each query from tile to tile. Each product has an error bound from the rounding of
+both vectors, so a pair whose upper bound is below the k-th largest lower bound of its query in the tile,
+or below its k-th best score so far, can't be among the k nearest. The surviving pairs are computed again
+in double precision, component after component, and the k best of each cell are merged by one heap a
+query. The result is exact: nothing is capped.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no
 part; vectors of different lengths are not compared; a query's own row is any row with its vec_id;
 repeated query rows each get their list, and repeated candidate rows are candidates each; equal scores
-rank by smaller vec_id; rows without vec_id take no part; an empty table gives an empty table; extra
+rank by smaller vec_id; a product beyond the range of double precision is infinite and ranks as that,
+and one that is no number (infinities that cancel) as the least; rows without vec_id take no part; an empty table gives an empty table; extra
 columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 K = 20
-#: Queries and candidates of a cell, about, and the least number of candidate columns.
-CELL_QUERIES = 4096
-CELL_CANDIDATES = 8192
+#: Vectors of a side of a cell: a multiple of the input's root, from ``LEAST_SIDE`` up to ``SIDE_BYTES`` in doubles; and
+#: the least number of candidate columns.
+ROOTS, LEAST_SIDE, SIDE_BYTES = 16, 4096, 64 << 20
 LEAST_COLUMNS = 24
-#: Queries of a tile, and bytes of vectors that are gathered at once to compute surviving pairs again.
-TILE_QUERIES = 256
+#: Queries and candidates of a tile, and bytes of vectors that are gathered at once to compute surviving pairs again.
+TILE_QUERIES, TILE_CANDIDATES = 256, 8192
 GATHER_BYTES = 32 << 20
 #: Largest length at which int8 products add up exactly in single precision.
 SINGLE_DIMS = (1 << 24) // (127 * 127)
@@ -94,6 +99,29 @@ def can_win(c: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[rank(np.diff(kinds[order], prepend=-1) != 0) < 2 * k])
 
 
+def _carry(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, held: tuple, k: int) -> tuple:
+    """Query row, vec_id and score of the ``k`` best of ``held`` (the like, of earlier tiles) and this tile, by row and rank."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        near, bound = tile(q, c)
+        low, high = near - bound, near + bound
+        low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf  # beyond double precision: no bound
+    own = q_id[:, None] == c_id[None, :]
+    low[own] = -np.inf
+    least = np.partition(low, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(q), -np.inf)
+    full = np.flatnonzero(np.bincount(held[0], minlength=len(q)) == k)
+    least[full] = np.maximum(least[full], held[2][np.searchsorted(held[0], full, side="right") - 1])
+    row, col = np.nonzero(~own & (high >= least[:, None]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = pairs(q, c, row, col)
+    score[np.isnan(score)] = -np.inf
+    row, ids, score = (np.concatenate(x) for x in zip(held, (row, c_id[col], score), strict=True))
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    first = np.searchsorted(row, row)
+    best = np.arange(len(row)) - first < k
+    return row[best], ids[best], score[best]
+
+
 def _cell(k: int):
     schema = pa.schema([("_q", pa.int64()), ("query_id", pa.int64()), ("vec_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
@@ -108,24 +136,16 @@ def _cell(k: int):
         keys, ids, lists, scores = [], [], [], []
         for at in range(0, len(q), TILE_QUERIES):
             part = slice(at, at + TILE_QUERIES)
-            near, bound = tile(q[part], c)
-            own = q_id[part][:, None] == c_id[None, :]
-            low = np.where(own, -np.inf, near - bound)
-            if len(c) > k:
-                least = np.partition(low, len(c) - k, axis=1)[:, len(c) - k]
-            else:
-                least = np.full(len(low), -np.inf)
-            row, col = np.nonzero(~own & (near + bound >= least[:, None]))
-            score = pairs(q[part], c, row, col)
-            order = np.lexsort((c_id[col], -score, row))
-            row, col, score = row[order], col[order], score[order]
-            edges = np.searchsorted(row, np.arange(len(low) + 1))
-            for i in range(len(low)):
-                take = slice(edges[i], min(edges[i + 1], edges[i] + k))
+            n = len(q[part])
+            held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for low in range(0, len(c), TILE_CANDIDATES):
+                held = _carry(q[part], q_id[part], c[low : low + TILE_CANDIDATES], c_id[low : low + TILE_CANDIDATES], held, k)
+            edges = np.searchsorted(held[0], np.arange(n + 1))
+            for i in range(n):
                 keys.append(q_key[at + i])
                 ids.append(q_id[at + i])
-                lists.append(c_id[col[take]])
-                scores.append(score[take])
+                lists.append(held[1][edges[i] : edges[i + 1]])
+                scores.append(held[2][edges[i] : edges[i + 1]])
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((keys, ids, lists, scores), schema, strict=True)], schema=schema)
 
     return run
@@ -157,8 +177,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     v = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("_v"), is_query.alias("_is")).where(F.col("vec_id").isNotNull() & usable(F.col("_v")))
     rows = rows.withColumn("_dim", F.size("_v"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("_is").alias("q")).first()
-    down, across = max(1, -(-sizes["q"] // CELL_QUERIES)), max(LEAST_COLUMNS, -(-sizes["n"] // CELL_CANDIDATES))
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if("_is").alias("q"), F.coalesce(F.max("_dim"), F.lit(1)).alias("dim")).first()
+    side = min(max(LEAST_SIDE, ROOTS * math.isqrt(sizes["n"])), max(1, SIDE_BYTES // (8 * sizes["dim"])))
+    down, across = max(1, -(-sizes["q"] // side)), max(LEAST_COLUMNS, -(-sizes["n"] // side))
     queries = rows.where("_is").select("vec_id", "_v", "_dim", F.monotonically_increasing_id().alias("_q"))
     queries = queries.withColumn("_down", F.pmod(F.xxhash64("_q"), F.lit(down))).withColumn("_across", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
     place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(across))

@@ -26,10 +26,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from piiguard.llm.common import shared_dir
+from piiguard.llm.common import materialize, shared_dir
+from piiguard.shared import open_folder
 
 #: Bytes of an archive that one reading task scans.
 RANGE_BYTES = 16 << 20
@@ -37,8 +37,8 @@ RANGE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 0
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
-#: Copies of the table of repeated digests, which the rows of one payload are spread over.
-SALTS = 16
+#: A payload is hot beyond this share of all records (so at most as many are) and ``HOT_ROWS``; its records are spread over ``SALTS`` keys.
+HOT_SHARE, HOT_ROWS, SALTS = 10_000, 1_000, 4096
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -46,11 +46,16 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     """page_id, html, and of each row whether it revisits (``_revisit``) and what (``_refers``)."""
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("_body"))
-    keys = rows.where(F.octet_length("_body") >= min_bytes).select("page_id", F.unhex(F.sha2("_body", 256)).alias("_key"))
-    repeated = keys.groupBy("_key").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    spread = repeated.select("_key", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumn("_key", F.when(F.octet_length("_body") >= min_bytes, F.unhex(F.sha2("_body", 256)))).withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(spread, ["_key", "_salt"], "left")
+    key = F.when(F.octet_length("_body") >= min_bytes, F.unhex(F.sha2("_body", 256)))
+    keys = rows.select("page_id", key.alias("_key")).where(F.col("_key").isNotNull())
+    counted = materialize(keys.groupBy("_key").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")), "payloads")
+    least = max(HOT_ROWS, (counted.agg(F.sum("_n")).first()[0] or 0) // HOT_SHARE)
+    hot = counted.where(F.col("_n") > least).select(F.col("_key").alias("_hot_key"), F.col("_first").alias("_hot"), F.lit(True).alias("_is_hot"))
+    cold = counted.where((F.col("_n") > 1) & (F.col("_n") <= least)).select("_key", "_first", F.lit(0).cast("long").alias("_salt"))
+    # at most HOT_SHARE rows; hot payloads then need no partner in the second join, over which they are spread
+    marked = rows.withColumn("_key", key).join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_is_hot") | F.col("_key").isNull(), 1 + F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    joined = salted.join(cold, ["_key", "_salt"], "left").withColumn("_first", F.coalesce("_first", "_hot"))
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select("page_id", "url", "_body", revisit.alias("_revisit"), F.when(revisit, F.col("_first")).alias("_refers"))
 
@@ -72,7 +77,7 @@ def _record(page_id: int | None, url: str | None, body: bytes, refers: int | Non
 def write(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Write the records of ``pages`` below ``folder``; the manifest: path and bytes of each archive."""
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
-    files, root = fs.FileSystem.from_uri(folder)
+    files, root = open_folder(folder)
     files.create_dir(f"{root}/archives", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +85,7 @@ def write(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
         for batch in batches:
             for page_id, url, body, revisit, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if out is None:
-                    own, base = fs.FileSystem.from_uri(folder)
+                    own, base = open_folder(folder)
                     name = f"archives/{uuid.uuid4().hex}.warc.gz"
                     out = own.open_output_stream(f"{base}/{name}", compression=None)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -179,7 +184,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True, range_bytes: i
         return int(digits) if digits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = open_folder(folder)
         for batch in batches:
             for path, size, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 rows, held = [], 0

@@ -57,3 +57,14 @@ def test_pipeline_keeps_columns_and_takes_odd_rows(spark, tmp_path):
         table = spark.read.parquet(f"{tmp_path}/{name}.parquet")
         table.where("doc_id = -1").write.parquet(f"{tmp_path}/empty/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_warc_spreads_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 5)
+    rows = [(i, "u", "hot" if i < 400 else f"page {i // 2}", "x") for i in range(600)] + [(None, "u", "hot", "x"), (700, "u", None, "x"), (701, "u", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _first string").repartition(5)
+    got = {(r["page_id"], r["_revisit"], r["_refers"]) for r in warc.mark_revisits(pages).collect()}
+    last = {}
+    for i, _, body, _ in rows:
+        last[body or ""] = max(last.get(body or "", -1), -1 if i is None else i)
+    assert got == {(i, i != last[b or ""], last[b or ""] if i != last[b or ""] else None) for i, _, b, _ in rows}

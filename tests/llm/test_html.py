@@ -97,3 +97,60 @@ def test_table_edge_cases(spark):
     whole = " ".join([LINE] * 20_000)
     assert got == sorted([("1", "u", "", 0)] * 2 + [("2", None, "", 0), ("None", "v", "a b", 3)] + [("3", "w", whole, len(whole))] * 2)
     assert H.extract(pages.where("page_id = 9")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Before.</p><script src='a.js'/>var a=1;</script><p>After.</p></article>", "Before. After."),
+        ("<article><p>Before.</p><script src=/js/>var a=1;</script><p>After.</p></article>", "Before. After."),
+        ("<article><p>Before.</p><style media=all/>p {}</style><p>After.</p></article>", "Before. After."),
+        ("<article><p>Before <svg/>and <svg a=b /><math><mi/>x</math> after.</p><svg a=b/>no</svg></article>", "Before and x after."),
+        ("<article><p>One <span/>two</span> three</p><video src=x/><p>Four</p></article>", "One two three Four"),
+    ],
+)
+def test_only_void_and_foreign_elements_close_themselves(page, want):
+    assert " ".join(H.main_text(page).split()) == want
+
+
+def test_unquoted_links_count_as_links():
+    links = "".join(f"<p><a href=/topic/{i}/>The page of the river and of the house in the garden {i}</a></p>" for i in range(4))
+    assert H.main_text(f"<body><div>{links}</div><p>{LINE}</p></body>") == LINE
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["今天早上我们在河边散步，看到了很多美丽的花朵和小鸟。后来下雨了，我们就回家吃饭，并且谈到了明天的计划以及下个月的旅行，大家都非常高兴。",
+     "Сегодня утром мы гуляли у реки и видели много красивых цветов. Потом пошёл дождь, и мы вернулись домой.",
+     "Tänään kävelimme joen rannalla ja näimme paljon kauniita kukkia. Sitten alkoi sataa, joten menimme kotiin syömään."],
+)
+def test_languages_without_stop_words(line):
+    assert len(line) >= H.LONG_CHARS
+    assert H.main_text(f"<body><nav><a href=x>home</a></nav><p>{line}</p><footer>{line}</footer></body>") == line
+    assert H.main_text(f"<body><div><a href=x>{line}</a></div></body>") == ""
+    assert H.main_text(f"<body><p>{LINE}</p><p>{'keyword casino bonus ' * 5}</p></body>") == LINE
+
+
+class Bare(Tree):
+    """Pages without article or main: paragraphs of stop words are main text, link lists and furniture are not."""
+
+    def page(self):
+        parts = []
+        for _ in range(self.rng.randint(1, 6)):
+            kind = self.rng.randint(0, 2)
+            if kind == 0:
+                parts.append(self.furniture())
+            elif kind == 1:
+                parts.append("<ul>" + "".join(f"<li><a href={self.rng.choice(['x', '/x/', chr(39) + 'x' + chr(39)])}>{html.escape(LINE)}</a>" for _ in range(3)) + "</ul>")
+            else:
+                text = " ".join([LINE, self.words(3), LINE])
+                self.want.append(text)
+                parts.append(f"<p>{html.escape(text)}</p>")
+        return "<html><head><title>no</title></head><body>" + "\n".join(parts) + "</body></html>"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages_without_article(seed):
+    tree = Bare(seed)
+    page = tree.page()
+    assert H.main_text(page) == " ".join(tree.want)

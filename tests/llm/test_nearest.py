@@ -55,3 +55,28 @@ def test_pairs_are_gathered_in_slices(monkeypatch):
     q, c = np.random.default_rng(1).normal(size=(2, 9, 4))
     row, col = np.repeat(np.arange(9), 9), np.tile(np.arange(9), 9)
     assert np.array_equal(nearest.pairs(q, c, row, col), nearest.exact(q[row], c[col]))
+
+
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_tiles_carry_the_best(monkeypatch, k):
+    monkeypatch.setattr(nearest, "TILE_CANDIDATES", 7)
+    rng = np.random.default_rng(k)
+    q, c = rng.integers(-3, 4, (5, 3)).astype(float), rng.integers(-3, 4, (60, 3)).astype(float)
+    q_id, c_id = np.arange(5), rng.permutation(60)
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for low in range(0, 60, 7):
+        held = nearest._carry(q, q_id, c[low : low + 7], c_id[low : low + 7], held, k)
+    want = [(i, v, s) for i in range(5) for s, v in sorted(((float(q[i] @ c[j]), -int(c_id[j])) for j in range(60) if c_id[j] != i), reverse=True)[:k] for v in [-v]]
+    assert list(zip(*(x.tolist() for x in held), strict=True)) == want
+
+
+def test_products_beyond_double_precision(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.0]), (2, [1e200, -1e200]), (3, [1.0, 1.0]), (4, [-1e200, 1.0])]
+    out = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 4).collect()
+    inf = float("inf")
+    assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(1, inf), (3, 2e200), (2, -inf), (4, -inf)]
+
+
+def test_copies_grow_with_the_root():
+    side = lambda n: min(max(nearest.LEAST_SIDE, nearest.ROOTS * int(n**0.5)), nearest.SIDE_BYTES // (8 * 64))
+    assert side(10**4) == nearest.LEAST_SIDE and side(10**7) == nearest.ROOTS * int(10**3.5) and side(10**12) == 131072
