@@ -15,7 +15,7 @@ def test_walk():
     assert tags == ["FORM", "LABEL", "INPUT", "LABEL", "INPUT", "DIV", "P", "B", "P"]
     first = next(r for r in rows.values() if r[3] == "INPUT")
     assert first[5] == "x" and first[6] == "#a" and first[7] == "f" and first[8] == "Mail"
-    assert next(r for r in rows.values() if r[3] == "B")[6] == "div:nth-of-type(1) > p:nth-of-type(1) > b:nth-of-type(1)"
+    assert next(r for r in rows.values() if r[3] == "B")[6] == "div > p:nth-of-type(1) > b"
 
 
 def test_empty():
@@ -67,9 +67,9 @@ def test_walk_equals_a_tree(seed):
         parts = []
         while node is not body:  # the selector, from the element up to the first one with an id
             if node.get("id"):
-                parts.append(f"#{node.get('id')}")
+                parts.append(f"{node.tag}#{node.get('id')}" if parts else f"#{node.get('id')}")
                 break
             same = [c for c in up[node] if c.tag == node.tag]
-            parts.append(f"{node.tag}:nth-of-type({same.index(node) + 1})")
+            parts.append(node.tag + (f":nth-of-type({same.index(node) + 1})" if len(same) > 1 else ""))
             node = up[node]
         assert row[6] == " > ".join(reversed(parts))
