@@ -46,13 +46,15 @@ BLOCK_BYTES = 4 << 20
 #: Distinct keys of a task's table of counts, at which it is sent on; and bytes of shards a task keeps that are not mapped.
 TABLE_KEYS = 1 << 21
 CACHE_BYTES = 256 << 20
+#: Segments that are joined for a call of the piece model.
+JOINED_SEGMENTS = 2048
 #: The mark that stands for a space in pieces.
 SPACE_MARK = "▁"
 
 
 @functools.cache
 def _pieces(path: str):
-    """The processor of a piece model, the bytes of each id, and their lengths."""
+    """The processor of a piece model, the bytes of each id, their lengths, and the id of the lone space."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -60,7 +62,44 @@ def _pieces(path: str):
     if any(SPACE_MARK in n.lstrip(SPACE_MARK) for n in names):
         raise ValueError("a piece goes on behind a space: segments can't be tokenized apart")
     table = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace(SPACE_MARK, " ").encode() for i, n in enumerate(names)]
-    return model, table, np.array([len(b) for b in table], np.int64), model.piece_to_id(SPACE_MARK)
+    return model, pa.array(table, pa.large_binary()), np.array([len(b) for b in table], np.int64), model.piece_to_id(SPACE_MARK)
+
+
+@functools.cache
+def _names(path_a: str, path_b: str) -> tuple[pa.LargeStringArray, int]:
+    """Decimal ids with what follows them: A's before a comma and a bar, then B's before a comma and a semicolon; A's number."""
+    n, m = len(_lengths(path_a)), len(_pieces(path_b)[2])
+    return pa.array([f"{i}{mark}" for size, marks in ((n, ",|"), (m, ",;")) for mark in marks for i in range(size)], pa.large_string()), n
+
+
+def _raw(texts: pa.Array) -> np.ndarray:
+    """The bytes of texts one after another."""
+    wide = texts.cast(pa.large_binary())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    return np.frombuffer(wide.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(wide) else np.zeros(0, np.uint8)
+
+
+def _encode_pieces(path: str, segments_: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids of the piece model each segment has, and all ids in order; segments start with a space.
+
+    Segments that end in no space are joined for a call, as none of their tokens reaches into the next.
+    """
+    model, _, lengths, space = _pieces(path)
+    alone = pc.or_(pc.ends_with(segments_, " "), pc.match_substring(segments_, SPACE_MARK))  # the mark changes lengths
+    words = segments_.filter(pc.invert(alone))
+    texts, size = words.to_pylist(), pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = ["".join(texts[i : i + JOINED_SEGMENTS])[1:] for i in range(0, len(texts), JOINED_SEGMENTS)]
+    ids = np.array([i for found in model.encode(joined, num_threads=1) for i in found], np.int64)
+    ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(size), side="left") + 1
+    flags = alone.to_numpy(zero_copy_only=False)
+    if not flags.any():
+        return np.diff(ends, prepend=0), ids
+    single = [b or [space] for b in model.encode([w[1:] for w in segments_.filter(alone).to_pylist()], num_threads=1)]  # the added space alone is no token to the model
+    count = np.zeros(len(flags), np.int64)
+    count[~flags], count[flags] = np.diff(ends, prepend=0), [len(b) for b in single]
+    owner, out = np.repeat(flags, count), np.zeros(int(count.sum()), np.int64)
+    out[~owner], out[owner] = ids, [i for b in single for i in b]
+    return count, out
 
 
 @functools.cache
@@ -89,47 +128,58 @@ class Aligned:
     """Distinct segments of a block, tokenized by both and linked; those whose bytes B changes have no links."""
 
     def __init__(self, path_a: str, path_b: str, distinct: pa.StringArray):
-        model, table, lengths_b, space = _pieces(path_b)
-        words = distinct.to_pylist()
-        found = model.encode([w[1:] for w in words], num_threads=1)
-        found = [b if b else [space] for b in found]  # the added space alone is no token to the model
-        raw = [w.encode() for w in words]
-        self.same = np.array([b"".join([table[i] for i in b]) == w for b, w in zip(found, raw, strict=True)], bool)
-        same = distinct.filter(pa.array(self.same))
-        count_a, self.a = encode_words(path_a, same)
-        found = [b for b, ok in zip(found, self.same.tolist(), strict=True) if ok]
-        count_b = np.array([len(b) for b in found], np.int64)
-        self.b = np.array([i for b in found for i in b], np.int64)
+        _, table, lengths_b, _ = _pieces(path_b)
+        count_b, self.b = _encode_pieces(path_b, distinct)
+        size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.same = np.ones(len(distinct), bool)
+        made = table.take(pa.array(self.b))
+        if not np.array_equal(_raw(made), _raw(distinct)):
+            edges = np.concatenate([[0], np.cumsum(count_b)]).tolist()
+            self.same = np.array([b"".join(made[a:b].to_pylist()) == w.encode() for a, b, w in zip(edges, edges[1:], distinct.to_pylist(), strict=False)], bool)
+            self.b, count_b, size, distinct = self.b[np.repeat(self.same, count_b)], count_b[self.same], size[self.same], distinct.filter(pa.array(self.same))
+        count_a, self.a = encode_words(path_a, distinct)
         ends_a, ends_b = np.cumsum(_lengths(path_a)[self.a]), np.cumsum(lengths_b[self.b])
-        if len(same) and ends_a[-1] != ends_b[-1]:
+        if len(distinct) and ends_a[-1] != ends_b[-1]:
             raise ValueError("the byte-level tokens do not join to the text")
-        ends = np.union1d(ends_a, ends_b)  # of links
-        self.at_a, self.at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        # ends of links: each is an end of A or of B, or of both, where a group ends
+        is_a, is_b = (np.zeros(int(size.sum()) + 1, bool) for _ in range(2))
+        is_a[ends_a], is_b[ends_b] = True, True
+        ends = np.flatnonzero(is_a | is_b)
+        self.common = (is_a & is_b)[ends]
+        self.at_a = np.cumsum(is_a[ends]) - is_a[ends]
+        self.at_b = np.cumsum(is_b[ends]) - is_b[ends]
         self.keys = self.b[self.at_b] << np.int64(32) | self.a[self.at_a].astype(np.int64)
-        self.common = np.isin(ends, ends_a, assume_unique=True) & np.isin(ends, ends_b, assume_unique=True)
-        edges = np.cumsum(pc.binary_length(same).to_numpy(zero_copy_only=False).astype(np.int64))
         #: Place of each distinct segment among those with tokens, and how many A and B tokens, links and groups these have.
         self.place = np.cumsum(self.same) - 1
-        self.last = np.searchsorted(ends, edges, side="right")  # links up to the end of each segment
+        self.last = np.searchsorted(ends, np.cumsum(size), side="right")  # links up to the end of each segment
         self.n_a, self.n_b = count_a.astype(np.int64), count_b
         self.n_links = np.diff(self.last, prepend=0)
         self.n_groups = self.per_segment(self.common)
+        self.paths = path_a, path_b
 
     def per_segment(self, of_link: np.ndarray) -> np.ndarray:
         """Sums over the links of each segment."""
         sums = np.concatenate([[0], np.cumsum(of_link, dtype=np.int64)])
         return np.diff(sums[self.last], prepend=0)
 
-    def texts(self) -> list[str]:
-        """The groups of each segment: A ids, a bar and B ids, groups divided by semicolons."""
-        groups, a_from, b_from = [], 0, 0
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        for at in np.flatnonzero(self.common).tolist():
-            a_to, b_to = int(self.at_a[at]) + 1, int(self.at_b[at]) + 1
-            groups.append(",".join(a[a_from:a_to]) + "|" + ",".join(b[b_from:b_to]))
-            a_from, b_from = a_to, b_to
-        ends = np.cumsum(self.n_groups).tolist()
-        return [";".join(groups[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+    def texts(self) -> pa.LargeStringArray:
+        """The groups of each segment: A ids, a bar and B ids, each group followed by a semicolon.
+
+        The names of all ids, with what follows each, are put in the order of the groups; a segment is a stretch of them.
+        """
+        names, n = _names(*self.paths)
+        last_a, last_b = self.at_a[self.common], self.at_b[self.common]  # of each group
+        code_a, code_b = self.a.astype(np.int64), self.b + 2 * n
+        code_a[last_a] += n
+        code_b[last_b] += (len(names) - 2 * n) // 2
+        of_a = np.searchsorted(last_a, np.arange(len(code_a)))
+        of_b = np.searchsorted(last_b, np.arange(len(code_b)))
+        order = np.zeros(len(code_a) + len(code_b), np.int64)
+        order[np.arange(len(code_a)) + np.concatenate([[0], last_b + 1])[of_a]] = code_a
+        order[np.arange(len(code_b)) + last_a[of_b] + 1] = code_b
+        put = names.take(pa.array(order))
+        offsets = np.frombuffer(put.buffers()[1], np.int64)[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])]
+        return pa.LargeStringArray.from_buffers(len(self.n_a), pa.py_buffer(offsets.tobytes()), put.buffers()[2])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[tuple]:
@@ -302,14 +352,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False)
             counts[looked] = counted.counts(keys)[at]
             highest = looked & (counts == best[np.minimum(aligned.keys >> 32, len(best) - 1)])
             facts = np.stack([aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links, aligned.per_segment(highest), aligned.per_segment(counts)])
-            place, lists = aligned.place[codes], aligned.texts()
-            sums, groups = np.zeros((6, len(able)), np.int64), []
-            for i, (ok, a, b) in enumerate(zip(able.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                groups.append(";".join([lists[j] for j in place[a:b].tolist()]) if ok else "")
-                if ok:
-                    sums[:, i] = facts[:, place[a:b]].sum(1)
-            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            columns = [doc_ids, *[pa.array(s) for s in sums], pa.array(digests, pa.string()), *[pa.array(groups, pa.string())] * with_groups]
+            known = aligned.same[codes]
+            place = np.where(known, aligned.place[codes], 0)
+            each = np.where(known, facts[:, place], 0) if facts.shape[1] else np.zeros((6, len(codes)), np.int64)
+            sums = np.diff(np.concatenate([np.zeros((6, 1), np.int64), each.cumsum(1)], 1)[:, edges], axis=1) * able
+            whole = aligned.texts().take(pa.array(place, mask=~known))
+            at, data = np.frombuffer(whole.buffers()[1], np.int64)[edges].tolist(), memoryview(whole.buffers()[2] or b"")
+            groups = [data[a : b - 1] if ok else data[:0] for ok, a, b in zip(able.tolist(), at, at[1:], strict=False)]
+            digests = [hashlib.sha256(g).hexdigest() if len(g) else "" for g in groups]
+            columns = [doc_ids, *[pa.array(s) for s in sums], pa.array(digests, pa.string()), *[pa.array([str(g, "ascii") for g in groups], pa.string()) for _ in range(with_groups)]]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema)
