@@ -136,8 +136,13 @@ def detections(layered: DataFrame) -> DataFrame:
 def group(elements: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, elem_idx and ``detections`` (in order of emission) of the first element that each selector meets."""
     first = elements.where("selector IS NOT NULL").groupBy("page_id", "selector").agg(F.min("elem_idx").alias("elem_idx"))
+    return gather(found, first)
+
+
+def gather(found: DataFrame, met: DataFrame) -> DataFrame:
+    """page_id, elem_idx and ``detections`` of the elements that selectors meet, by ``met`` (page_id, selector, elem_idx)."""
     kept = found.where("selector IS NOT NULL").select("page_id", "selector", F.struct("seq", *_names()).alias("d"))
-    return kept.join(first, ["page_id", "selector"]).groupBy("page_id", "elem_idx").agg(F.sort_array(F.collect_list("d")).alias("detections"))
+    return kept.join(met, ["page_id", "selector"]).groupBy("page_id", "elem_idx").agg(F.sort_array(F.collect_list("d")).alias("detections"))
 
 
 def _names() -> list[str]:
