@@ -102,7 +102,10 @@ def match(steps: DataFrame, tree: DataFrame) -> DataFrame:
         & F.forall("classes", lambda c: F.array_contains("_classes", c)) & F.forall("attrs", _has)
     )
     at = ["page_id", "sid", "alt"]
-    here = materialize(met.where(fits).select(*at, "step", "steps", "combinator", "node", "up", "last", "prev"), "candidates")
+    # a condition on a row number stays above the join; the optimizer would infer one of the steps alone from the
+    # attribute test, whose lambda also reads the element's attributes
+    met = met.withColumn("_row", F.monotonically_increasing_id())
+    here = materialize(met.where(fits & (F.col("_row") >= 0)).select(*at, "step", "steps", "combinator", "node", "up", "last", "prev"), "candidates")
     most = here.agg(F.max("steps")).first()[0] or 0
     state = here.where("step = 1").select(*at, "steps", "node", "up", "last")
     done = state.where("steps = 1").select(*at, "node")
