@@ -149,8 +149,8 @@ def face_confidence(indicators: Column) -> Column:
 
 
 def nms(boxes: Column, most: int = 10, limit: float = 0.3) -> Column:
-    """Greedy suppression over an array of struct(score, x, y, w, h, id): best first, none overlapping."""
-    ordered = F.reverse(F.sort_array(boxes))
+    """Greedy suppression over an array of struct(rank, id, score, x, y, w, h): least rank first, of equal ones by id; none overlapping."""
+    ordered = F.sort_array(boxes)
 
     def over(a: Column, b: Column) -> Column:
         w = F.greatest(F.lit(0.0), F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]))
@@ -158,5 +158,5 @@ def nms(boxes: Column, most: int = 10, limit: float = 0.3) -> Column:
         return w * h > limit * (a["w"] * a["h"] + b["w"] * b["h"] - w * h)
 
     step = lambda kept, b: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: over(k, b)), kept).otherwise(F.array_append(kept, b))
-    kind = "array<struct<score:double,x:double,y:double,w:double,h:double,id:int>>"
+    kind = "array<struct<rank:double,id:int,score:double,x:double,y:double,w:double,h:double>>"
     return F.aggregate(ordered, F.array().cast(kind), step)

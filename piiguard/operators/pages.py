@@ -415,15 +415,3 @@ def strategies(layered: DataFrame) -> DataFrame:
         "page_id", "strategy", "mode", runs.alias("invoked"), F.when(F.col("strategy") == "dom_only", "dom_only_strategy").otherwise(F.col("reason")).alias("reason"),
         F.when(runs, heuristic).alias("model_success"), found.alias("detections"), (found + masks).alias("redactions"),
     )
-
-
-# ---- request schema -----------------------------------------------------------------------------
-def request_element(raw: Column) -> Column:
-    """A struct of an element of a reasoning request: its known fields, and ``valid`` where all have their kinds."""
-    kinds = {"tagName": "STRING", "attributes": "OBJECT", "boundingBox": "OBJECT", "isInteractive": "BOOLEAN", "piiDetections": "ARRAY"}
-    valid = F.lit(True)
-    for key, kind in kinds.items():
-        valid = valid & F.coalesce(A.kind_of(raw, key).startswith(kind), F.lit(False))
-    value = lambda key, as_: F.try_variant_get(F.try_parse_json(raw), f"$.{key}", as_)
-    fields = [value("tagName", "string").alias("tag"), value("attributes", "map<string,string>").alias("attributes"), value("isInteractive", "boolean").alias("interactive")]
-    return F.struct(*fields, valid.alias("valid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from piiguard.functions import actions as A, elements as E, patterns as P
-from piiguard.operators import pages as O
+from piiguard.operators import geometry as G, pages as O
 from piiguard.plans import elements as EL, text as TX
 
 QUERIES, ORACLES = {}, {}
@@ -118,7 +118,7 @@ def vis_perceive(spark, sf_dir):
     e, found, _ = base(spark, sf_dir)
     regions = e.where(O.region().isNotNull()).select("page_id", "elem_idx", *[F.col(c).alias(f"a{c}") for c in "xywh"])
     boxes = found.select("page_id", *[F.col(c).alias(f"b{c}") for c in "xywh"])
-    return regions.join(boxes, "page_id").where(E.overlaps("a", "b")).groupBy("page_id", "elem_idx").agg(F.count("*").alias("detections"))
+    return G.overlapping(regions, boxes).groupBy("page_id", "elem_idx").agg(F.count("*").alias("detections"))
 
 
 # ---- contexts -----------------------------------------------------------------------------------
@@ -411,13 +411,3 @@ def rsn_decide(spark, sf_dir):
     """The action that each task asks for on each page: fill by hint, click, or what the page allows, else wait."""
     tasks = EL.pages(spark, sf_dir).select("page_id", F.explode(F.array(*map(F.lit, TASKS))).alias("task"))
     return O.decide(seen(spark, sf_dir), tasks)
-
-
-@query(f"""SELECT page_id, elem_idx, json_keys(j) = ['attributes', 'boundingBox', 'isInteractive', 'piiDetections', 'tagName'] AS valid FROM (SELECT page_id, elem_idx,
- CASE WHEN elem_idx % 4 = 0 THEN '{{"tagName": 3}}' ELSE '{{"attributes": {{}}, "boundingBox": {{"x": ' || x || '}}, "isInteractive": true, "piiDetections": [], "tagName": "' || tag || '"}}' END AS j FROM ({_E}))""")
-def rsn_schema(spark, sf_dir):
-    """Request elements as raw JSON against the schema; keys that it does not know are dropped."""
-    e = EL.elements(spark, sf_dir)
-    good = F.concat(F.lit('{"attributes": {}, "boundingBox": {"x": '), F.col("x").cast("string"), F.lit('}, "isInteractive": true, "isVisible": true, "piiDetections": [], "tagName": "'), "tag", F.lit('"}'))
-    raw = F.when(F.col("elem_idx") % 4 == 0, F.lit('{"tagName": 3}')).otherwise(good)
-    return e.select("page_id", "elem_idx", O.request_element(raw)["valid"].alias("valid"))

@@ -246,11 +246,6 @@ def geo_iou(spark, sf_dir):
     return pairs(spark, sf_dir).select("page_id", "a_id", "b_id", F.round(E.iou("a", "b"), 6).alias("iou"))
 
 
-@query(f"SELECT page_id, a_id, b_id FROM ({_PAIR}) WHERE ax < bx + bw AND bx < ax + aw AND ay < byy + bh AND byy < ay + ah")
-def geo_overlap(spark, sf_dir):
-    return pairs(spark, sf_dir).where(E.overlaps("a", "b")).select("page_id", "a_id", "b_id")
-
-
 @query(f"SELECT page_id, box_id, least(x + w, 640) - greatest(x, 0) AS w, least(y + h, 480) - greatest(y, 0) AS h FROM ({BOXES_SQL}) WHERE least(x + w, 640) - greatest(x, 0) > 0 AND least(y + h, 480) - greatest(y, 0) > 0")
 def geo_clamp(spark, sf_dir):
     w = F.least(F.col("x") + F.col("w"), F.lit(640.0)) - F.greatest(F.col("x"), F.lit(0.0))
@@ -266,11 +261,11 @@ def geo_threshold(spark, sf_dir):
 _IOU = "greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y))"
 
 
-@query(f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, x DESC, y DESC, w DESC, h DESC, box_id DESC) AS n FROM ({BOXES_SQL})),
+@query(f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, box_id, x, y, w, h) AS n FROM ({BOXES_SQL})),
 r(page_id, n, kept) AS (SELECT page_id, n, [{{'x': x, 'y': y, 'w': w, 'h': h, 'id': box_id, 'score': score}}] FROM b WHERE n = 1 UNION ALL SELECT b.page_id, b.n,
  CASE WHEN len(kept) >= 10 OR len(list_filter(kept, lambda k: {_IOU} > 0.3 * (k.w * k.h + b.w * b.h - {_IOU}))) > 0 THEN kept ELSE list_append(kept, {{'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h, 'id': b.box_id, 'score': b.score}}) END
  FROM r JOIN b ON b.page_id = r.page_id AND b.n = r.n + 1)
 SELECT page_id, k.id AS box_id, k.score AS score FROM (SELECT page_id, unnest(last(kept ORDER BY n)) AS k FROM r GROUP BY page_id)""")
 def geo_nms(spark, sf_dir):
-    packed = boxes(spark, sf_dir).groupBy("page_id").agg(F.collect_list(F.struct("score", "x", "y", "w", "h", F.col("box_id").alias("id"))).alias("b"))
+    packed = boxes(spark, sf_dir).groupBy("page_id").agg(F.collect_list(F.struct((-F.col("score")).alias("rank"), F.col("box_id").alias("id"), "score", "x", "y", "w", "h")).alias("b"))
     return packed.select("page_id", F.explode(E.nms(F.col("b"))).alias("k")).select("page_id", F.col("k.id").alias("box_id"), F.col("k.score").alias("score"))
