@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from piiguard.functions.patterns import bind
+
 # Fixed values.
 ACTION_TYPES = ("click", "fill", "scroll", "focus", "select")
 ACTION_KEYS = ("action", "target", "parameters", "reasoning_id", "value_ref")
@@ -31,25 +33,26 @@ def element_keys(tag: Column, attributes: Column) -> Column:
     return F.concat(F.array(F.concat(F.lit("<"), F.lower(tag))), own_id, has, valued)
 
 
-def kind_of(raw: Column, key: str) -> Column:
-    """The kind of a top-level value of a JSON object: STRING, VOID (null), ...; null where there is none."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "variant"))
-
-
-def well_formed(raw: Column) -> Column:
-    """True where a raw JSON action has all required keys, as strings, optional ones of their kinds, and no other key."""
-    known = F.size(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, ACTION_KEYS)))) == 0
-    shaped = F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT") & known
-    for key in REQUIRED_KEYS:
-        shaped = shaped & F.coalesce(kind_of(raw, key) == "STRING", F.lit(False))
-    parameters, value_ref = kind_of(raw, "parameters"), kind_of(raw, "value_ref")
-    shaped = shaped & (parameters.isNull() | parameters.startswith("OBJECT") | parameters.startswith("ARRAY"))
-    return F.coalesce(shaped & (value_ref.isNull() | (value_ref == "STRING")), F.lit(False))
+def parsed(raw: Column) -> Column:
+    """A struct of a raw JSON action, which is parsed once: ``formed``, ``unknown`` (keys that no action has), and the strings of its fields.
 
-
-def field(raw: Column, key: str) -> Column:
-    """A top-level value of a raw action as text."""
-    return F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "string")
+    ``formed`` holds where all required keys are there, as strings, optional ones are of their kinds, and there is no other key.
+    """
+    kind = F.schema_of_variant
+
+    def of_members(m: Column) -> Column:
+        own = lambda k: F.try_element_at(m, F.lit(k))
+        unknown = F.array_except(F.map_keys(m), F.array(*map(F.lit, ACTION_KEYS)))
+        shaped = F.size(unknown) == 0
+        for key in REQUIRED_KEYS:
+            shaped = shaped & F.coalesce(kind(own(key)) == "STRING", F.lit(False))
+        parameters, value_ref = kind(own("parameters")), kind(own("value_ref"))
+        shaped = shaped & (parameters.isNull() | parameters.startswith("OBJECT") | parameters.startswith("ARRAY"))
+        formed = F.coalesce(shaped & (value_ref.isNull() | (value_ref == "STRING")), F.lit(False))
+        texts = [F.try_variant_get(own(k), "$", "string").alias(k) for k in ("action", "target", "reasoning_id", "value_ref")]
+        return F.struct(formed.alias("formed"), unknown.alias("unknown"), *texts)
+
+    return bind(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"), of_members)
 
 
 def disabled(off: Column, readonly: Column, aria: Column) -> Column:

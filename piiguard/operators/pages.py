@@ -51,13 +51,18 @@ def region() -> Column:
 
 
 def signals() -> Column:
-    """Signals that an element gives to the vision gate, in order."""
+    """Signals that an element gives to the vision gate, in order. Its kind of region and its words are told once."""
     words = F.lower(F.concat_ws(" ", _some("src"), _some("alt"), _some("class"), _some("id")))
-    kind = region()
-    found = [F.when(kind.isNotNull(), F.concat(kind, F.lit("_element")))]
-    found += [F.when(kind.isNotNull() & F.contains(words, F.lit(w)), F.lit(f"{k}_keyword")) for k, ws in E.GATE_KEYWORDS.items() for w in ws]
-    upload = (F.col("tag") == "INPUT") & (attribute("type") == "file") & E.any_in(_some("accept"), ("image/", "video/"))
-    return F.array_compact(F.array(*found, F.when(F.col("visible") & upload, F.lit("upload_control"))))
+    none = F.array().cast("array<string>")
+
+    def of(e: Column) -> Column:
+        found = [F.concat(e["kind"], F.lit("_element"))]
+        found += [F.when(F.contains(e["words"], F.lit(w)), F.lit(f"{k}_keyword")) for k, ws in E.GATE_KEYWORDS.items() for w in ws]
+        return F.when(e["kind"].isNull(), none).otherwise(F.array_compact(F.array(*found)))
+
+    upload = F.col("visible") & (F.col("tag") == "INPUT") & (attribute("type") == "file") & E.any_in(_some("accept"), ("image/", "video/"))
+    seen_ = P.bind(F.struct(region().alias("kind"), words.alias("words")), of)
+    return F.concat(seen_, F.when(F.coalesce(upload, F.lit(False)), F.array(F.lit("upload_control"))).otherwise(none))
 
 
 def with_face_indicators(elements: DataFrame) -> DataFrame:
@@ -288,8 +293,7 @@ def validate(actions: DataFrame, annotated_: DataFrame, pages: DataFrame, *, ori
     e = e.withColumn("sensitive", F.col("own") | (F.col("form_id").isNotNull() & F.bool_or("hot").over(form)))
     targets = e.groupBy("page_id", "key").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("visible", "off", "sensitive")])
     a = actions.join(pages.select("page_id", P.url_origin(F.col("url")).alias("origin")), "page_id", "left")
-    parts = {k: A.field(F.col("raw"), k) for k in ("action", "target", "reasoning_id", "value_ref")}
-    a = a.select("action_id", "page_id", "origin", A.well_formed(F.col("raw")).alias("formed"), *[c.alias(k) for k, c in parts.items()]).withColumn("key", A.selector_key(F.col("target")))
+    a = a.select("action_id", "page_id", "origin", F.inline(F.array(A.parsed(F.col("raw"))))).withColumn("key", A.selector_key(F.col("target")))
     met = a.join(targets, ["page_id", "key"], "left")
     stored = [k for k, v in values.items() if v]
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, functions as F
 
 from piiguard.functions import actions as A, elements as E, patterns as P
 from piiguard.operators import geometry as G, pages as O
 from piiguard.plans import elements as EL, text as TX
+from piiguard.shared import materialize
 
 QUERIES, ORACLES = {}, {}
 _E, _P, _A, _IN = EL.ELEMENTS_SQL, EL.PAGES_SQL, EL.ACTIONS_SQL, EL._IN
@@ -58,18 +61,35 @@ _PAIRS = f"""SELECT page_id AS dp, elem_idx AS de, list(original_value || chr(0)
 _ANNOTATED = f"SELECT e.*, coalesce(n, 0) AS n, coalesce(n3, 0) AS n3, place, pairs, types, severities, vals, shown, raws FROM ({_E}) e LEFT JOIN ({_PAIRS}) ON dp = page_id AND de = elem_idx"
 
 
-def base(spark, sf_dir):
-    """Elements, detections by page, and the elements with the detections of their selectors."""
+class Base(NamedTuple):
+    """Elements with the detections of each layer, detections by page, and the elements with the detections of their selectors."""
+
+    elements: DataFrame
+    found: DataFrame
+    full: DataFrame
+
+
+def base(spark, sf_dir, pages=None) -> Base:
+    """The base of a query, made once and passed down: layers are run once, over the elements of ``pages`` (page_id) if given."""
     e = EL.elements(spark, sf_dir)
-    found = O.detections(O.with_layers(e))
-    return e, found, O.annotated(e, O.group(e, found))
+    if pages is not None:
+        e = e.join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    layered = materialize(O.with_layers(e), "layered")
+    found = O.detections(layered)
+    slim = layered.drop("l1", "l2", "l3", "signals")
+    return Base(layered, found, O.annotated(slim, O.group(slim, found)))
+
+
+def clean(spark, sf_dir) -> DataFrame:
+    """The sanitized records of the visible elements, for queries that read them more than once."""
+    return materialize(O.sanitized_deep(base(spark, sf_dir).full), "clean")
 
 
 # ---- detection ----------------------------------------------------------------------------------
 @query(f"SELECT page_id, seq, elem_idx, type, source, confidence, severity, original_value FROM ({_DET})")
 def pipe_detect(spark, sf_dir):
     """All detections of a page in order: typed fields, patterns, and faces where the gate lets vision run."""
-    return base(spark, sf_dir)[1].select("page_id", "seq", "elem_idx", "type", "source", "confidence", "severity", "original_value")
+    return O.detections(O.with_layers(EL.elements(spark, sf_dir))).select("page_id", "seq", "elem_idx", "type", "source", "confidence", "severity", "original_value")
 
 
 @query(f"SELECT page_id, elem_idx, count(*) AS n, string_agg(type || '/' || source, ',' ORDER BY seq) AS detections FROM ({_GROUPED}) GROUP BY ALL")
@@ -167,18 +187,17 @@ _OK = "NOT ({0}email OR {0}phone OR {0}residual OR {0}password_text OR {0}passwo
 @query(f"SELECT r.*, {_OK.format('r.')} AS valid_raw, {_OK.format('c.')} AS valid_sanitized FROM ({_RAW_CHECKS}) r JOIN ({_CLEAN_CHECKS}) c USING (page_id)")
 def san_validate(spark, sf_dir):
     """The five leak checks of raw contexts, and the verdict on raw and sanitized ones."""
-    _, _, full = base(spark, sf_dir)
+    full = materialize(base(spark, sf_dir).full.where("visible"), "full")
     pages = EL.pages(spark, sf_dir)
-    raw = O.leak_checks(full.where("visible"), pages).withColumnRenamed("valid", "valid_raw")
-    clean = O.sanitized_deep(full).withColumn("detections", F.col("detections"))
-    return raw.join(O.leak_checks(clean, pages).select("page_id", F.col("valid").alias("valid_sanitized")), "page_id")
+    raw = O.leak_checks(full, pages).withColumnRenamed("valid", "valid_raw")
+    return raw.join(O.leak_checks(O.sanitized_deep(full), pages).select("page_id", F.col("valid").alias("valid_sanitized")), "page_id")
 
 
 @query(f"""SELECT p.page_id, 'https://' || CASE WHEN p.page_id % 11 = 0 THEN 'evil.test' ELSE 'example.test' END AS url, coalesce(k, 0) AS n_elements, coalesce(v, 0) AS n_regions, coalesce(d, 0)::BIGINT AS placeholders, coalesce(m, 0)::BIGINT AS masks, {_OK.format('c.')} AS valid
 FROM ({_P}) p JOIN ({_CLEAN_CHECKS}) c USING (page_id) LEFT JOIN (SELECT page_id AS cp, count(*) AS k, count(*) FILTER ({_VISUAL}) AS v, sum(n) AS d, sum(n) FILTER ({_VISUAL}) AS m FROM ({_CLEAN}) GROUP BY page_id) ON cp = p.page_id""")
 def san_context(spark, sf_dir):
     """A context a page: how many elements and regions it holds, its redactions, and whether it leaks nothing."""
-    out = O.context(O.sanitized_deep(base(spark, sf_dir)[2]), EL.pages(spark, sf_dir))
+    out = O.context(clean(spark, sf_dir), EL.pages(spark, sf_dir))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return out.select("page_id", "url", size("elements").alias("n_elements"), size("visual_regions").alias("n_regions"), "placeholders", "masks", "valid")
 
@@ -239,9 +258,11 @@ FROM ({parts}) a LEFT JOIN ({met_sql(parts)}) ON mp = a.page_id AND mt = target
 VALID_SQL = valid_sql(_A)
 
 
-def validated(spark, sf_dir, actions=None, reasoning=tuple(REASONING), values=None):
+def validated(spark, sf_dir, actions=None, reasoning=tuple(REASONING), values=None, full=None):
+    """Raw actions with the first check that each fails; of the pages, only those that actions name are annotated."""
     actions = EL.actions(spark, sf_dir) if actions is None else actions
-    return O.validate(actions, base(spark, sf_dir)[2], EL.pages(spark, sf_dir), origins=ORIGINS, reasoning_ids=list(reasoning), values=VALUES if values is None else values)
+    full = base(spark, sf_dir, actions).full if full is None else full
+    return O.validate(actions, full, EL.pages(spark, sf_dir), origins=ORIGINS, reasoning_ids=list(reasoning), values=VALUES if values is None else values)
 
 
 @query(f"SELECT action_id, page_id, action, target, reason IS NULL AS valid, reason FROM ({VALID_SQL})")
@@ -255,11 +276,15 @@ def val_summary(spark, sf_dir):
     return validated(spark, sf_dir).groupBy("action", "reason").agg(F.count("*").alias("n"))
 
 
+def _parts(spark, sf_dir):
+    return EL.actions(spark, sf_dir).select("action_id", "page_id", F.inline(F.array(A.parsed(F.col("raw")))))
+
+
 def _check(spark, sf_dir, valid):
-    return EL.actions(spark, sf_dir).select("action_id", valid.alias("valid"))
+    return _parts(spark, sf_dir).select("action_id", valid.alias("valid"))
 
 
-_field = lambda k: A.field(F.col("raw"), k)
+_field = F.col
 
 
 @query(f"SELECT action_id, page_id % 11 <> 0 AS valid FROM ({_A})")
@@ -270,7 +295,7 @@ def val_origin(spark, sf_dir):
 
 @query(f"SELECT action_id, formed AS valid FROM ({_PARTS})")
 def val_schema(spark, sf_dir):
-    return _check(spark, sf_dir, A.well_formed(F.col("raw")))
+    return _check(spark, sf_dir, F.coalesce("formed", F.lit(False)))
 
 
 @query(f"SELECT action_id, coalesce(action IN {_IN(A.ACTION_TYPES)}, false) AS valid FROM ({_PARTS})")
@@ -292,8 +317,7 @@ def val_value_ref(spark, sf_dir):
 @query(f"SELECT action_id, false AS found FROM ({_A}) WHERE false")
 def val_unexpected(spark, sf_dir):
     """Actions that pass the schema check with a key that it does not know: none, as the check rejects them first."""
-    extra = F.size(F.array_except(F.json_object_keys("raw"), F.array(*map(F.lit, A.ACTION_KEYS)))) > 0
-    return EL.actions(spark, sf_dir).where(A.well_formed(F.col("raw")) & extra).select("action_id", F.lit(True).alias("found"))
+    return _parts(spark, sf_dir).where(F.col("formed") & (F.size("unknown") > 0)).select("action_id", F.lit(True).alias("found"))
 
 
 @query(f"SELECT p.page_id, p.target, CASE WHEN n IS NULL THEN 'TARGET_NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS_TARGET' END AS reason FROM (SELECT DISTINCT page_id, target FROM ({_PARTS}) WHERE target IS NOT NULL) p LEFT JOIN ({_MET}) ON mp = page_id AND mt = target")
@@ -301,7 +325,7 @@ def val_resolve(spark, sf_dir):
     """Targets by selector: an equality join of the selector's key with the keys of the page's elements."""
     e = EL.elements(spark, sf_dir)
     keys = e.select("page_id", F.explode(F.array_distinct(A.element_keys(F.col("tag"), F.col("attributes")))).alias("key")).groupBy("page_id", "key").agg(F.count("*").alias("n"))
-    asked = EL.actions(spark, sf_dir).select("page_id", _field("target").alias("target")).where("target IS NOT NULL").distinct()
+    asked = _parts(spark, sf_dir).select("page_id", "target").where("target IS NOT NULL").distinct()
     met = asked.withColumn("key", A.selector_key(F.col("target"))).join(keys, ["page_id", "key"], "left")
     return met.select("page_id", "target", F.when(F.col("n").isNull(), "TARGET_NOT_FOUND").when(F.col("n") > 1, "AMBIGUOUS_TARGET").alias("reason"))
 
@@ -365,9 +389,10 @@ def src_mock_actions(spark, sf_dir):
 @query()
 def val_mock_actions(spark, sf_dir):
     """The canned actions through the validator."""
-    mocks = O.mock_actions(base(spark, sf_dir)[2])
+    full = materialize(base(spark, sf_dir).full, "full")
+    mocks = O.mock_actions(full)
     asked = mocks.select(F.concat_ws("/", F.col("page_id").cast("string"), "name").alias("action_id"), "page_id", "raw")
-    return validated(spark, sf_dir, asked, ("reasoning-123", "reasoning-456"), {"[EMAIL_FIELD_1]": "alice@example.test"})
+    return validated(spark, sf_dir, asked, ("reasoning-123", "reasoning-456"), {"[EMAIL_FIELD_1]": "alice@example.test"}, full)
 
 
 # ---- reasoning ----------------------------------------------------------------------------------

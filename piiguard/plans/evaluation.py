@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from piiguard.functions import patterns as P
 from piiguard.operators import pages as O, statistics as S
 from piiguard.plans import contexts as C, elements as EL
+from piiguard.shared import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -129,9 +130,9 @@ def truth(spark, sf_dir):
     return EL._sql(spark, sf_dir, _TRUTH, "customer")
 
 
-def actual(spark, sf_dir):
+def actual(spark, sf_dir, found=None):
     """Detections as the matcher reads them: the element's id, type, source and its layer, in order."""
-    found = C.base(spark, sf_dir)[1]
+    found = O.detections(O.with_layers(EL.elements(spark, sf_dir))) if found is None else found
     return found.select(F.col("page_id").alias("sample_id"), F.regexp_replace("selector", "^#", "").alias("element_id"), "type", "source", layer_of(F.col("source")).alias("layer"), "seq")
 
 
@@ -187,7 +188,8 @@ UNION ALL SELECT sample_id, 'layer', layer::VARCHAR, {_COUNTS} FROM ({_MATCH}) G
 def ev_layer(spark, sf_dir):
     """The layer of each source of detections, and of sources that no detector here has."""
     more = spark.createDataFrame([("layer4_ocr",), ("manual",), ("",)], "source string")
-    return C.base(spark, sf_dir)[1].select("source").unionByName(more).groupBy("source", layer_of(F.col("source")).alias("layer")).agg(F.count("*").alias("n"))
+    found = O.detections(O.with_layers(EL.elements(spark, sf_dir)))
+    return found.select("source").unionByName(more).groupBy("source", layer_of(F.col("source")).alias("layer")).agg(F.count("*").alias("n"))
 
 
 @query(_ACTUAL)
@@ -232,8 +234,9 @@ def redaction_results(expected: DataFrame, clean: DataFrame) -> DataFrame:
     return out.select("sample_id", "expected", "correct", (F.col("expected") - F.col("correct")).alias("leaked"), r6(F.col("correct") / F.col("expected")).alias("precision"))
 
 
-def redactions(spark, sf_dir):
-    return redaction_results(EL._sql(spark, sf_dir, _RED_EXPECTED, "customer"), O.sanitized_deep(C.base(spark, sf_dir)[2]))
+def redactions(spark, sf_dir, full=None):
+    full = C.base(spark, sf_dir).full if full is None else full
+    return redaction_results(EL._sql(spark, sf_dir, _RED_EXPECTED, "customer"), O.sanitized_deep(full))
 
 
 RED_SQL = f"SELECT sample_id, expected, correct, expected - correct AS leaked, round(correct / expected::DOUBLE, 6) AS precision FROM ({_RED})"
@@ -274,12 +277,12 @@ def security_results(hidden: DataFrame, outcomes: DataFrame, elements: DataFrame
     )
 
 
-def security(spark, sf_dir):
+def security(spark, sf_dir, full=None):
     hidden = EL._sql(spark, sf_dir, f"SELECT c_custkey AS sample_id, element_id FROM customer CROSS JOIN {_HIDDEN} WHERE injection", "customer")
     asked = EL._sql(spark, sf_dir, _ASKED, "customer")
-    verdicts = C.validated(spark, sf_dir, asked.select("action_id", "page_id", "raw")).select("action_id", "reason")
+    verdicts = C.validated(spark, sf_dir, asked.select("action_id", "page_id", "raw"), full=full).select("action_id", "reason")
     outcomes = asked.select("action_id", F.col("page_id").alias("sample_id"), "malicious").join(verdicts, "action_id")
-    return security_results(hidden, outcomes, EL.elements(spark, sf_dir))
+    return security_results(hidden, outcomes, EL.elements(spark, sf_dir) if full is None else full)
 
 
 @query(SECURITY_SQL)
@@ -292,9 +295,15 @@ _SAMPLES = f"SELECT s.*, s.sample_id % 6 + 1 AS category, {_PLAIN_RATES} FROM ({
 _CATEGORY = "sample_id % 6 + 1"
 
 
-def scores(spark, sf_dir):
+def based(spark, sf_dir):
+    """The base of an evaluation, whose annotated elements several parts read."""
+    b = C.base(spark, sf_dir)
+    return b._replace(full=materialize(b.full, "full"))
+
+
+def scores(spark, sf_dir, found=None):
     """Each sample's rates overall, by type and by layer, with its category and whether it is scored."""
-    m = rated(scoped(match(truth(spark, sf_dir), actual(spark, sf_dir)), "sample_id"), "sample_id", "scope", "name")
+    m = rated(scoped(match(truth(spark, sf_dir), actual(spark, sf_dir, found)), "sample_id"), "sample_id", "scope", "name")
     return m.withColumn("category", F.expr(_CATEGORY)).withColumn("scored", ~F.col("category").isin(*DEFERRED))
 
 
@@ -311,7 +320,8 @@ def _means() -> list[Column]:
 LEFT JOIN (SELECT {_CATEGORY} AS category, coalesce(round(avg(precision), 5), 1) AS redaction_precision FROM ({RED_SQL}) GROUP BY ALL) USING (category)
 LEFT JOIN (SELECT {_CATEGORY} AS category, round(avg(({_PASS})::INT), 5) AS security_pass_rate FROM ({SECURITY_SQL}) GROUP BY ALL) USING (category)""")
 def ev_category(spark, sf_dir):
-    return category_table(scores(spark, sf_dir), redactions(spark, sf_dir), security(spark, sf_dir))
+    b = based(spark, sf_dir)
+    return category_table(scores(spark, sf_dir, b.found), redactions(spark, sf_dir, b.full), security(spark, sf_dir, b.full))
 
 
 def category_table(scored: DataFrame, redacted: DataFrame, secured: DataFrame) -> DataFrame:
@@ -340,7 +350,8 @@ def breakdown_table(scored: DataFrame) -> DataFrame:
 @query(f"""SELECT * FROM (SELECT count(*) AS samples, count(*) FILTER (scored) AS evaluated, count(*) FILTER (NOT scored) AS deferred, {_MEANS} FROM ({_SCORED}) WHERE scope = 'overall'),
 (SELECT coalesce(round(avg(precision), 5), 1) AS redaction_precision FROM ({RED_SQL}))""")
 def ev_full(spark, sf_dir):
-    return full_table(scores(spark, sf_dir), redactions(spark, sf_dir))
+    b = based(spark, sf_dir)
+    return full_table(scores(spark, sf_dir, b.found), redactions(spark, sf_dir, b.full))
 
 
 def full_table(scored: DataFrame, redacted: DataFrame) -> DataFrame:

@@ -78,7 +78,9 @@ FROM ({EV.ORACLES['ex_strategy_summary']}) UNION ALL SELECT 5, stage, stage || '
 def snk_summary_text(spark, sf_dir):
     """The text summaries of evaluation, strategies and benchmark, line by line."""
     # a row a sample each, read several times: kept in the shared folder
-    scored, redacted, secured = (materialize(f(spark, sf_dir), f.__name__) for f in (EV.scores, EV.redactions, EV.security))
+    b = EV.based(spark, sf_dir)
+    parts = {"scores": EV.scores(spark, sf_dir, b.found), "redactions": EV.redactions(spark, sf_dir, b.full), "security": EV.security(spark, sf_dir, b.full)}
+    scored, redacted, secured = (materialize(df, name) for name, df in parts.items())
     text = sinks.evaluation_text(EV.full_table(scored, redacted), EV.category_table(scored, redacted, secured), EV.breakdown_table(scored))
     return text.unionByName(sinks.strategy_text(EV.ex_strategy_summary(spark, sf_dir))).unionByName(sinks.benchmark_text(EV.bm_summary(spark, sf_dir)))
 
