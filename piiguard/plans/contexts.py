@@ -105,22 +105,25 @@ def pipe_flatten(spark, sf_dir):
     return O.flat(O.group(e, found)).select("page_id", "position", "elem_idx", "type", "source")
 
 
+_TARGETED = f"""SELECT d.page_id AS dp, layer, t.elem_idx AS te, coalesce(t.visible, false) AS shown, CASE WHEN t.visible AND t.tag IN {_IN(E.VISUAL_TAGS)} THEN 2 WHEN t.visible THEN 1 ELSE 0 END AS times
+FROM ({_DOM} UNION ALL {_SEEN}) d LEFT JOIN ({_FIRST}) f ON fp = d.page_id AND fid = d.id LEFT JOIN ({_E}) t ON t.page_id = d.page_id AND t.elem_idx = f.first"""
 _RUNS = f"""SELECT g.page_id, s.strategy, m.mode, strategy = 'unconditional_vision' OR (strategy = 'dom_gated_vision' AND should_run) AS invoked,
- CASE WHEN strategy = 'dom_only' THEN 'dom_only_strategy' ELSE reason END AS reason, coalesce(dom, 0) AS dom, coalesce(seen, 0) AS seen, coalesce(dom_masks, 0) AS dom_masks, coalesce(seen_masks, 0) AS seen_masks
+ CASE WHEN strategy = 'dom_only' THEN 'dom_only_strategy' ELSE reason END AS reason, coalesce(dom, 0) AS dom, coalesce(seen, 0) AS seen, coalesce(dom_redactions, 0) AS dom_redactions, coalesce(seen_redactions, 0) AS seen_redactions,
+ coalesce(dom_sensitive, 0) AS dom_sensitive, coalesce(all_sensitive, 0) AS all_sensitive
 FROM ({EL._GATE}) g CROSS JOIN (SELECT unnest({list(O.STRATEGIES)}) AS strategy) s CROSS JOIN (SELECT unnest({list(O.MODES)}) AS mode) m
-LEFT JOIN (SELECT d.page_id AS dp, count(*) FILTER (layer < 3) AS dom, count(*) FILTER (layer = 3) AS seen, count(*) FILTER (layer < 3 AND tag IN {_IN(E.VISUAL_TAGS)}) AS dom_masks, count(*) FILTER (layer = 3 AND tag IN {_IN(E.VISUAL_TAGS)}) AS seen_masks
- FROM ({_DOM} UNION ALL {_SEEN}) d JOIN ({_E}) e ON e.page_id = d.page_id AND e.elem_idx = d.elem_idx GROUP BY d.page_id) ON dp = g.page_id"""
+LEFT JOIN (SELECT dp, count(*) FILTER (layer < 3) AS dom, count(*) FILTER (layer = 3) AS seen, sum(times) FILTER (layer < 3) AS dom_redactions, sum(times) FILTER (layer = 3) AS seen_redactions,
+ count(DISTINCT te) FILTER (shown AND layer < 3) AS dom_sensitive, count(DISTINCT te) FILTER (shown) AS all_sensitive FROM ({_TARGETED}) GROUP BY dp) ON dp = g.page_id"""
 RUNS_SQL = f"""SELECT page_id, strategy, mode, invoked, reason, CASE WHEN invoked THEN mode = 'heuristic' END AS model_success, (dom + CASE WHEN invoked AND mode = 'heuristic' THEN seen ELSE 0 END)::BIGINT AS detections,
- (dom + dom_masks + CASE WHEN invoked AND mode = 'heuristic' THEN seen + seen_masks ELSE 0 END)::BIGINT AS redactions FROM ({_RUNS})"""
+ (dom_redactions + CASE WHEN invoked AND mode = 'heuristic' THEN seen_redactions ELSE 0 END)::BIGINT AS redactions, (CASE WHEN invoked AND mode = 'heuristic' THEN all_sensitive ELSE dom_sensitive END)::BIGINT AS sensitive FROM ({_RUNS})"""
 
 
 def runs(spark, sf_dir):
     return O.strategies(O.with_layers(EL.elements(spark, sf_dir)))
 
 
-@query(f"SELECT strategy, mode, count(*) AS pages, count(*) FILTER (invoked) AS invocations, sum(detections)::BIGINT AS detections, sum(redactions)::BIGINT AS redactions, count(*) FILTER (model_success) AS model_successes FROM ({RUNS_SQL}) GROUP BY ALL")
+@query(f"SELECT strategy, mode, count(*) AS pages, count(*) FILTER (invoked) AS invocations, sum(detections)::BIGINT AS detections, sum(redactions)::BIGINT AS redactions, sum(sensitive)::BIGINT AS sensitive, count(*) FILTER (model_success) AS model_successes FROM ({RUNS_SQL}) GROUP BY ALL")
 def strat_run(spark, sf_dir):
-    n = [F.sum(c).cast("long").alias(c) for c in ("detections", "redactions")]
+    n = [F.sum(c).cast("long").alias(c) for c in ("detections", "redactions", "sensitive")]
     counts = [F.count("*").alias("pages"), F.count_if("invoked").alias("invocations"), *n, F.count_if("model_success").alias("model_successes")]
     return runs(spark, sf_dir).groupBy("strategy", "mode").agg(*counts)
 

@@ -38,6 +38,20 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return samples.withColumn("path", place).join(pages, "path", "left").drop("path")
 
 
+def write(samples: DataFrame, pages: DataFrame, folder: str) -> None:
+    """Write samples (as of :data:`SCHEMA`, and stem) and pages (path, html) in the packed layout: JSON lines, many to a file."""
+    samples.write.json(f"{folder}/samples")
+    pages.write.json(f"{folder}/pages")
+
+
+def scan_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same table as :func:`scan`, from the packed layout."""
+    samples = spark.read.schema(f"{SCHEMA}, stem string").json(f"{folder}/samples")
+    pages = spark.read.schema("path string, html string").json(f"{folder}/pages")
+    place = F.concat(F.lit("category"), F.col("metadata.category").cast("string"), F.lit("/"), F.col("metadata.html_file"))
+    return samples.withColumn("path", place).join(pages, "path", "left").drop("path")
+
+
 def by_category(samples: DataFrame, category: int) -> DataFrame:
     return samples.where(F.col("metadata.category") == category)
 
