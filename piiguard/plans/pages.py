@@ -92,6 +92,12 @@ def el_tag_counts(spark, sf_dir):
     return _elements(spark, sf_dir).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+def el_walk_lateral(spark, sf_dir):
+    """Tags of the walk as a table function in SQL."""
+    html.register_walk(spark)
+    return spark.sql("SELECT p.page_id, w.tag, count(*) AS n FROM {pages} p, LATERAL walk(p.html) w GROUP BY ALL", pages=_pages(spark, sf_dir))
+
+
 def san_context_pages(spark, sf_dir):
     """A sanitized context a page: origin, elements, redactions, and whether it leaks nothing."""
     out = O.context(O.sanitized_deep(annotated(spark, sf_dir)[3]), _pages(spark, sf_dir))
@@ -103,7 +109,7 @@ def san_structured_pages(spark, sf_dir):
     return O.structured(annotated(spark, sf_dir)[3])
 
 
-for _f in (src_dom_walk, el_selector, el_to_metadata, el_tag_counts, el_visible_pages, san_context_pages, san_structured_pages, pipe_detect_pages, pipe_group_pages):
+for _f in (src_dom_walk, el_selector, el_to_metadata, el_tag_counts, el_walk_lateral, el_visible_pages, san_context_pages, san_structured_pages, pipe_detect_pages, pipe_group_pages):
     QUERIES[_f.__name__] = _f
 # the start tags behind the body's, without scripts, styles and comments
 _BODY = "regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)<!--.*?-->|(<script[^>]*>).*?</script>|(<style[^>]*>).*?</style>', '', 'g')"
@@ -114,3 +120,4 @@ WHERE tag NOT IN ('SCRIPT', 'STYLE', 'NOSCRIPT', 'META', 'LINK', 'HEAD', 'TITLE'
 _TAGS = "len(list_filter(regexp_extract_all({0}, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda t: upper(t) NOT IN ('SCRIPT', 'STYLE', 'NOSCRIPT', 'META', 'LINK', 'HEAD', 'TITLE')))"
 ORACLES["el_visible_pages"] = f"""SELECT page_id, elements, elements - hidden AS visible FROM (SELECT page_id, {_TAGS.format('b')}::BIGINT AS elements,
  coalesce(list_sum(list_transform(regexp_extract_all(b, '(?s)<div class="ad">.*?</div>'), lambda a: {_TAGS.format('a')})), 0)::BIGINT AS hidden FROM (SELECT page_id, {_BODY} AS b FROM pages)) WHERE elements > 0"""
+ORACLES["el_walk_lateral"] = ORACLES["el_tag_counts"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from piiguard import sinks
+from piiguard import run_sink, sinks
 from piiguard.operators import pages as O
 from piiguard.plans import evaluation as EV
 from piiguard.shared import materialize, shared_dir
@@ -76,10 +76,10 @@ def ds_validate(spark, sf_dir):
 
 @query(EV.ORACLES["ev_metrics"])
 def snk_results(spark, sf_dir):
-    """The metrics written as JSON files and read back."""
+    """The metrics written as a run, JSON and text together, and read back."""
     metrics, folder = EV.ev_metrics(spark, sf_dir), shared_dir(spark)
-    sinks.write_results({"metrics": metrics}, folder)
-    return sinks.read_result(metrics, folder, "metrics")
+    run_sink.write_run(metrics, folder, "metrics")
+    return run_sink.read_run(spark, folder, "metrics", metrics.schema)[0]
 
 
 _PCT = lambda c, d=3: f"printf('%.{d}f%%', {c} * 100)"

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Fixed values.
 # The elements of these tags are skipped, not what is inside them.
@@ -163,3 +163,17 @@ def walk(pages: DataFrame) -> DataFrame:
 def tree(pages: DataFrame) -> DataFrame:
     """One row an element of each page (page_id, html), with its place in the tree; ``elem_idx`` is null outside the walk."""
     return _parsed(pages, True)
+
+
+def register_walk(spark: SparkSession, name: str = "walk") -> None:
+    """The walk as a table function for SQL: ``SELECT p.page_id, w.* FROM pages p, LATERAL walk(p.html) w``.
+
+    A call holds one page; rows go through Arrow.
+    """
+
+    class Walk:
+        def eval(self, html: str | None):
+            for row in elements_of(None, html):
+                yield (*row[1:4], dict(row[4]), *row[5:])
+
+    spark.udtf.register(name, F.udtf(Walk, returnType=DDL.removeprefix("page_id long, "), useArrow=True))
