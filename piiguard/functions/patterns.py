@@ -17,18 +17,23 @@ PATTERNS = {
     "l2_address": r"(?i)\b\d+\s+[A-Za-z0-9\s.,'-]+(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|court|ct|place|pl|way|circle|cir|highway|hwy)\b",
     "l2_pobox": r"(?i)\b(?:PO Box|P\.O\. Box)\s+\d+\b",
 }
+# See the patterns.
 KINDS = {"l2_email": "email", "l2_phone_nanp": "phone", "l2_phone_e164": "phone", "l2_credit_card": "credit_card", "l2_ssn": "ssn", "l2_address": "address", "l2_pobox": "address"}
 #: Detection sources by layer, and confidences of the layers that have a fixed one.
 SOURCES = {1: "layer1_typed_field", 2: "layer2_regex", 3: "layer3_visual", 4: "layer4_ocr"}
 CONFIDENCES = {1: 0.95, 2: 0.8}
+# See the patterns.
 SEVERITY = {"password": "critical", "credit_card": "critical", "ssn": "critical", "email": "high", "phone": "high", "address": "medium", "name": "medium", "face": "critical"}
+# See the patterns.
 PLACEHOLDERS = {
     "email": "[EMAIL]", "phone": "[PHONE]", "password": "[PASSWORD]", "credit_card": "[CREDIT_CARD]", "ssn": "[SSN]", "address": "[ADDRESS]", "name": "[NAME]", "face": "[FACE]", "unknown": "[REDACTED]",
 }
+# See the patterns.
 DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+# The patterns of the sanitizer's tail.
 SANITIZE_EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 SANITIZE_PHONE = r"\b(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b"
-# See above.
+# The leak check's own pattern of phone numbers.
 LEAK_PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{3}\)[\s.-]|\d{3}[\s.-])\d{3}[\s.-]\d{4}\b"
 
 

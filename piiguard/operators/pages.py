@@ -337,6 +337,7 @@ def mock_actions(annotated_: DataFrame) -> DataFrame:
         parts |= {k: F.struct(*[F.lit(y).alias(x) for x, y in w.items()]) if isinstance(w, dict) else F.lit(w) for k, w in more.items()}
         return F.to_json(F.struct(*[c.alias(k) for k, c in parts.items() if c is not None]))
 
+    # The canned actions, their targets and what they carry.
     templates = (
         ("valid_click", action("click", at("click", "submit-btn"))), ("valid_fill", action("fill", at("fill", "email-field"), value_ref="[EMAIL_FIELD_1]")),
         ("valid_scroll", action("scroll", at("scroll", "scrollable-area"), parameters={"direction": "down", "amount_px": 400})),
@@ -397,7 +398,7 @@ def decide(seen_: DataFrame, tasks: DataFrame) -> DataFrame:
     chosen = chosen.when(F.col("fill").isNotNull(), F.struct(F.lit("fill").alias("action"), F.col("fill").alias("at")))
     chosen = chosen.when(F.col("submit").isNotNull(), F.struct(F.lit("click").alias("action"), F.col("submit").alias("at")))
     out = joined.select("page_id", "task", chosen.alias("c"))
-    return out.select("page_id", "task", F.coalesce("c.action", F.lit("wait")).alias("action"), F.concat(F.lit("#"), F.col("c.at.id")).alias("target"))
+    return out.select("page_id", "task", F.coalesce("c.action", F.lit("wait")).alias("action"), F.when(F.col("c").isNotNull(), F.concat(F.lit("#"), F.coalesce(F.nullif(F.col("c.at.id"), F.lit("")), F.lit("undefined")))).alias("target"))
 
 
 # ---- strategies ---------------------------------------------------------------------------------

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from piiguard.shared import materialize
 
 
-def at_ranks(df: DataFrame, by: str, value: str, ranks: dict[str, tuple[str, str]]) -> DataFrame:
-    """A row a group with the values at ranks: for each name an SQL expression of the count ``_total`` for its lower and upper rank.
+def ranked(df: DataFrame, by: str, value: str) -> DataFrame:
+    """The sorted values of each group, a row a distinct one: ``by``, ``value``, ``_start`` and ``_end`` (the ranks that it has, from 0, end not included), ``_total``.
 
-    Columns are ``<name>_lo`` and ``<name>_hi``; nulls and NaN are no values.
+    Nulls and NaN are no values.
     """
     spark = df.sparkSession
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(by, value).agg(F.count("*").alias("_n"))
@@ -27,15 +27,23 @@ def at_ranks(df: DataFrame, by: str, value: str, ranks: dict[str, tuple[str, str
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"), F.sum("_sum").over(Window.partitionBy(by)).alias("_total"))
     inside = Window.partitionBy("_range", by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("_end", F.sum("_n").over(inside)).join(offsets.hint("merge"), [by, "_range"])
-    end, start = F.col("_offset") + F.col("_end"), F.col("_offset") + F.col("_end") - F.col("_n")
-    covers = lambda rank: (start <= F.expr(rank)) & (F.expr(rank) < end)
+    placed = dealt.withColumn("_upto", F.sum("_n").over(inside)).join(offsets.hint("merge"), [by, "_range"])
+    end = F.col("_offset") + F.col("_upto")
+    return placed.select(by, value, (end - F.col("_n")).alias("_start"), end.alias("_end"), "_total")
+
+
+def at_ranks(df: DataFrame, by: str, value: str, ranks: dict[str, tuple[str, str]]) -> DataFrame:
+    """A row a group with the values at ranks: for each name an SQL expression of the count ``_total`` for its lower and upper rank.
+
+    Columns are ``<name>_lo`` and ``<name>_hi``; nulls and NaN are no values.
+    """
+    covers = lambda rank: (F.col("_start") <= F.expr(rank)) & (F.expr(rank) < F.col("_end"))
     asked = [r for pair in ranks.values() for r in pair]
     some = covers(asked[0])
     for r in asked[1:]:
         some = some | covers(r)
     picks = [F.max(F.when(covers(r), F.col(value))).alias(f"{n}_{side}") for n, pair in ranks.items() for side, r in zip(("lo", "hi"), pair, strict=True)]
-    return placed.where(some).groupBy(by).agg(F.first("_total").alias("_total"), *picks)
+    return ranked(df, by, value).where(some).groupBy(by).agg(F.first("_total").alias("_total"), *picks)
 
 
 def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:

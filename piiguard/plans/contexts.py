@@ -367,6 +367,7 @@ _KINDS = {
     "scroll": ("tag = 'DIV'", "scrollable-area"), "secret": (_SECRET, "password-field"), "hidden": ("NOT visible", "hidden-element"), "off": ("coalesce(disabled IN ('true', ''), false)", "disabled-btn"),
 }
 _TARGETS = ", ".join(f"'#' || {_MINE(test)}, '{name}') AS t_{k}" for k, (test, name) in _KINDS.items())
+# The canned actions as JSON, for the SQL.
 _MOCKS = (
     ("valid_click", "click", "t_click", ""), ("valid_fill", "fill", "t_fill", ',"value_ref":"[EMAIL_FIELD_1]"'), ("valid_scroll", "scroll", "t_scroll", ',"parameters":{"direction":"down","amount_px":400}'),
     ("malformed", "click", None, ""), ("nonexistent_target", "click", "'#nonexistent-element'", ""), ("stale", "click", "t_secret", ""), ("sensitive_field", "fill", "t_secret", ',"value_ref":"[PASSWORD_FIELD_1]"'),

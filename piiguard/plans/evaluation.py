@@ -36,6 +36,14 @@ def st_stats(spark, sf_dir):
     return S.summary(_events(spark, sf_dir), "event_type", "value", SHARES)
 
 
+@query("""SELECT event_type, value, n, (sum(n) OVER (PARTITION BY event_type ORDER BY value) - n)::BIGINT AS first_rank
+FROM (SELECT event_type, value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL)""")
+def st_sorted(spark, sf_dir):
+    """The sorted values of each group: each distinct one, how often it is there, and its first rank."""
+    found = S.ranked(_events(spark, sf_dir), "event_type", "value")
+    return found.select("event_type", "value", (F.col("_end") - F.col("_start")).alias("n"), F.col("_start").alias("first_rank"))
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def st_percentile(spark, sf_dir):
     return S.percentiles(_events(spark, sf_dir), "event_type", "value", {"p90": 0.9}).select("event_type", r6("p90").alias("p90"))
