@@ -98,7 +98,7 @@ def test_local_folder_where_none_is_set(spark):
             return {"spark.master": "local[2]"}.get(key, default)
 
     class Context:
-        applicationId = "app"
+        applicationId, _jvm, _jsc = "app", spark.sparkContext._jvm, spark.sparkContext._jsc
 
         def getConf(self):
             return Conf()
@@ -106,4 +106,4 @@ def test_local_folder_where_none_is_set(spark):
     class Session:
         conf, sparkContext = Conf(), Context()
 
-    assert shared._run_dir(Session()) == shared._run_dir(Session()) and shared._run_dir(Session()).startswith("file:///")
+    assert shared._run_dir(Session()) == shared._run_dir(Session()) and shared._run_dir(Session()).startswith("file:/")
