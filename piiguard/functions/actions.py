@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from piiguard.functions.patterns import bind
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values.
 ACTION_TYPES = ("click", "fill", "scroll", "focus", "select")
@@ -33,26 +31,32 @@ def element_keys(tag: Column, attributes: Column) -> Column:
     return F.concat(F.array(F.concat(F.lit("<"), F.lower(tag))), own_id, has, valued)
 
 
-def parsed(raw: Column) -> Column:
-    """A struct of a raw JSON action, which is parsed once: ``formed``, ``unknown`` (keys that no action has), and the strings of its fields.
+def members(raw: Column) -> Column:
+    """The members of a raw JSON action by name; null of what is no JSON object. To be held in a column, as it parses."""
+    return F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")
+
+
+def parts(m: Column) -> list[Column]:
+    """Columns of an action's :func:`members`: ``formed``, ``unknown`` (keys that no action has), and the strings of its fields.
 
     ``formed`` holds where all required keys are there, as strings, optional ones are of their kinds, and there is no other key.
     """
-    kind = F.schema_of_variant
-
-    def of_members(m: Column) -> Column:
-        own = lambda k: F.try_element_at(m, F.lit(k))
-        unknown = F.array_except(F.map_keys(m), F.array(*map(F.lit, ACTION_KEYS)))
-        shaped = F.size(unknown) == 0
-        for key in REQUIRED_KEYS:
-            shaped = shaped & F.coalesce(kind(own(key)) == "STRING", F.lit(False))
-        parameters, value_ref = kind(own("parameters")), kind(own("value_ref"))
-        shaped = shaped & (parameters.isNull() | parameters.startswith("OBJECT") | parameters.startswith("ARRAY"))
-        formed = F.coalesce(shaped & (value_ref.isNull() | (value_ref == "STRING")), F.lit(False))
-        texts = [F.try_variant_get(own(k), "$", "string").alias(k) for k in ("action", "target", "reasoning_id", "value_ref")]
-        return F.struct(formed.alias("formed"), unknown.alias("unknown"), *texts)
-
-    return bind(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"), of_members)
+    kind = lambda k: F.schema_of_variant(F.try_element_at(m, F.lit(k)))
+    unknown = F.array_except(F.map_keys(m), F.array(*map(F.lit, ACTION_KEYS)))
+    shaped = F.size(unknown) == 0
+    for key in REQUIRED_KEYS:
+        shaped = shaped & F.coalesce(kind(key) == "STRING", F.lit(False))
+    parameters, value_ref = kind("parameters"), kind("value_ref")
+    shaped = shaped & (parameters.isNull() | parameters.startswith("OBJECT") | parameters.startswith("ARRAY"))
+    formed = F.coalesce(shaped & (value_ref.isNull() | (value_ref == "STRING")), F.lit(False))
+    texts = [F.try_variant_get(F.try_element_at(m, F.lit(k)), "$", "string").alias(k) for k in ("action", "target", "reasoning_id", "value_ref")]
+    return [formed.alias("formed"), unknown.alias("unknown"), *texts]
+
+
+def parsed(actions: DataFrame) -> DataFrame:
+    """``actions`` with the columns of :func:`parts` in place of ``raw``, which is parsed once a row."""
+    rest = [c for c in actions.columns if c != "raw"]
+    return actions.select(*rest, members(F.col("raw")).alias("_members")).select(*rest, *parts(F.col("_members")))
 
 
 def disabled(off: Column, readonly: Column, aria: Column) -> Column:

@@ -292,8 +292,8 @@ def validate(actions: DataFrame, annotated_: DataFrame, pages: DataFrame, *, ori
     form = Window.partitionBy("page_id", "form_id")
     e = e.withColumn("sensitive", F.col("own") | (F.col("form_id").isNotNull() & F.bool_or("hot").over(form)))
     targets = e.groupBy("page_id", "key").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("visible", "off", "sensitive")])
-    a = actions.join(pages.select("page_id", P.url_origin(F.col("url")).alias("origin")), "page_id", "left")
-    a = a.select("action_id", "page_id", "origin", F.inline(F.array(A.parsed(F.col("raw"))))).withColumn("key", A.selector_key(F.col("target")))
+    a = A.parsed(actions.select("action_id", "page_id", "raw")).withColumn("key", A.selector_key(F.col("target")))
+    a = a.join(pages.select("page_id", P.url_origin(F.col("url")).alias("origin")), "page_id", "left")
     met = a.join(targets, ["page_id", "key"], "left")
     stored = [k for k, v in values.items() if v]
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))

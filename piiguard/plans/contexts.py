@@ -280,7 +280,7 @@ def val_summary(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    return EL.actions(spark, sf_dir).select("action_id", "page_id", F.inline(F.array(A.parsed(F.col("raw")))))
+    return A.parsed(EL.actions(spark, sf_dir))
 
 
 def _check(spark, sf_dir, valid):

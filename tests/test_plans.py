@@ -1,7 +1,5 @@
 """Plans: each pattern is searched once, each action parsed once, page-wise work stays with Spark's own operators."""
 
-from pyspark.sql import functions as F
-
 from piiguard.functions import actions as A
 from piiguard.operators import pages as O
 
@@ -28,14 +26,14 @@ def test_gate_tells_words_once(spark):
 
 def test_actions_are_parsed_once(spark):
     table = spark.createDataFrame([("{}",)], "raw string").repartition(2)
-    plan = optimized(table.select(F.inline(F.array(A.parsed(F.col("raw"))))))
-    assert plan.lower().count("parsejson(") + plan.lower().count("parse_json(") <= 1
+    plan = optimized(A.parsed(table))
+    assert plan.lower().count("parsejson(") + plan.lower().count("parse_json(") == 1
 
 
 def test_parsed_actions(spark):
     good = '{"action": "click", "target": "#a", "reasoning_id": "r", "value_ref": "v", "parameters": [1]}'
     rows = [good, "[]", "{", None, '{"action": "click"}', good[:-1] + ', "more": 1}', good.replace('"#a"', "null"), good.replace("[1]", "null"), good.replace('"v"', "1"), '{"action": "a", "action": "b", "target": "t", "reasoning_id": "r"}']
-    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string").select("i", F.inline(F.array(A.parsed(F.col("raw"))))).collect()
+    got = A.parsed(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string")).collect()
     told = {r["i"]: (bool(r["formed"]), r["unknown"], r["action"], r["target"]) for r in got}
     assert told[0] == (True, [], "click", "#a") and told[5][:2] == (False, ["more"]) and told[4][2:] == ("click", None)
     assert {i for i, t in told.items() if t[0]} == {0} and len(told) == len(rows)
