@@ -116,17 +116,21 @@ def seen() -> Column:
 
 
 def with_layers(elements: DataFrame) -> DataFrame:
-    """The elements with arrays ``l1``, ``l2``, ``l3`` of detections, ``signals``, and the page's ``should_run`` and ``reason``."""
+    """The elements with arrays ``l1``, ``l2``, ``l3`` of detections, ``signals``, and the page's ``should_run`` and ``reason``.
+
+    The gate looks over the page first: its shuffle by page also serves the shapes of each svg, and the arrays of
+    detections, which are wide, are made above both windows.
+    """
     none = F.array().cast(f"array<{DETECTION}>")
     shown = lambda c: F.when(F.col("visible"), c).otherwise(none)
     role = E.role_of(F.col("tag"), attribute("role"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    e = with_face_indicators(elements).withColumn("signals", signals())
-    e = e.withColumns({"l1": shown(typed(role)), "l2": F.when(F.col("visible") & (text != ""), matched()).otherwise(none), "l3": seen()})
     any_ = lambda test: F.bool_or(F.exists("signals", test)).over(_page())
     keyword, upload, some = any_(lambda s: s.endswith("_keyword")), any_(lambda s: s == "upload_control"), any_(lambda s: s.endswith("_element"))
     reason = F.when(keyword, "visual_content_with_pii_indicators").when(upload, "document_upload_control_present").when(some, "visual_content_present")
-    return e.withColumns({"reason": reason.otherwise("no_visual_content_requiring_inspection"), "should_run": keyword | upload | some})
+    gated = elements.withColumn("signals", signals()).withColumns({"reason": reason.otherwise("no_visual_content_requiring_inspection"), "should_run": keyword | upload | some})
+    layers = {"l1": shown(typed(role)), "l2": F.when(F.col("visible") & (text != ""), matched()).otherwise(none), "l3": seen()}
+    return with_face_indicators(gated).withColumns(layers)
 
 
 def detections(layered: DataFrame) -> DataFrame:

@@ -23,17 +23,26 @@ ATTRIBUTES = {
 FLAGS = {"disabled": "disabled", "readonly": "readonly", "aria-disabled": "aria_disabled"}
 
 
-def _sql(spark, sf_dir, text: str, *tables: str):
+def _dealt(spark, table, key: str):
+    """A narrow table dealt by its key before its rows are multiplied, into as many parts as shuffles make.
+
+    What is made of a row stays with it, so windows and groups by the key need no shuffle of the many wide rows.
+    """
+    return table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def _sql(spark, sf_dir, text: str, *tables: str, dealt_by: str | None = None):
     text = text.replace("\\", "\\\\")  # Spark's string literals take a backslash for an escape
     text = text.replace("{", "{{").replace("}", "}}")
     for t in tables:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    return spark.sql(text, **{t: _dealt(spark, df, dealt_by) if dealt_by else df for t, df in read.items()})
 
 
 def raw_elements(spark, sf_dir):
     """The made elements as a browser would give them: style and box by columns."""
-    return _sql(spark, sf_dir, I.ELEMENTS, "customer")
+    return _sql(spark, sf_dir, I.ELEMENTS, "customer", dealt_by="c_custkey")
 
 
 def hidden_rule():
@@ -64,7 +73,7 @@ def pages(spark, sf_dir):
 
 
 def actions(spark, sf_dir):
-    return _sql(spark, sf_dir, I.ACTIONS, "events")
+    return _sql(spark, sf_dir, I.ACTIONS, "events", dealt_by="event_id")
 
 
 def boxes(spark, sf_dir):
