@@ -404,8 +404,12 @@ _SUMMARY = f"count(*) FILTER (invoked) AS invocations, count(*) FILTER (NOT invo
 
 @query(f"SELECT strategy, {_SUMMARY}, round(avg(redactions), 6) AS avg_redactions, {_SHARE('model_success')} AS model_success_rate FROM ({_RUNS}) GROUP BY strategy")
 def ex_strategy_summary(spark, sf_dir):
+    return strategy_table(runs(spark, sf_dir))
+
+
+def strategy_table(ran: DataFrame) -> DataFrame:
     more = [r6(F.avg("redactions")).alias("avg_redactions"), r6(F.count_if("model_success") / F.count("*")).alias("model_success_rate")]
-    return runs(spark, sf_dir).groupBy("strategy").agg(*_summary(), *more)
+    return ran.groupBy("strategy").agg(*_summary(), *more)
 
 
 _ZERO = ("invocations", "skips", "rate", "avg_ms", "avg_detections")
@@ -415,7 +419,12 @@ _ZERO = ("invocations", "skips", "rate", "avg_ms", "avg_detections")
 LEFT JOIN (SELECT category, strategy, {_SUMMARY} FROM ({_RUNS}) WHERE category <> 6 GROUP BY ALL) r ON r.category = c AND r.strategy = s""")
 def ex_category_strategy(spark, sf_dir):
     """A dense grid of six categories and three strategies; zeros where nothing ran (here the last category)."""
+    return category_strategy_table(runs(spark, sf_dir))
+
+
+def category_strategy_table(ran: DataFrame) -> DataFrame:
+    spark = ran.sparkSession
     dense = spark.range(1, 7).select(F.col("id").alias("category"), F.explode(F.array(*map(F.lit, O.STRATEGIES))).alias("strategy"))
-    have = runs(spark, sf_dir).where("category <> 6").groupBy("category", "strategy").agg(*_summary())
+    have = ran.where("category <> 6").groupBy("category", "strategy").agg(*_summary())
     joined = dense.join(have, ["category", "strategy"], "left")
     return joined.select("category", "strategy", *[F.coalesce(z, F.lit(0)).alias(z) for z in _ZERO])

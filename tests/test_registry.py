@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = """flagship l1_detect l2_detect l2_find_matches red_spans red_infos san_fold san_validate_text gate_decide l3_indicators l3_convert geo_nms pipe_detect strat_run vis_perceive san_deep
 san_validate san_structured val_action val_resolve src_mock_actions rsn_decide st_stats st_percentile_nearest bm_format_bytes ev_metrics ev_category ex_category_strategy ds_validate src_dataset_scan
 snk_summary_text el_tag_counts el_label_text san_deep_records rsn_schema rsn_action_schema geo_overlap geo_overlap_page val_budget el_visible_pages el_walk_lateral st_sorted
-l2_ssn l2_pobox src_dataset_lookup snk_results san_context""".split()
+l2_ssn l2_pobox src_dataset_lookup snk_results san_context snk_evaluation_text snk_experiment_text snk_benchmark_text""".split()
 
 
 def test_names_and_oracles():
