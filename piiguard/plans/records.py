@@ -68,7 +68,7 @@ def request(spark, sf_dir):
         return own if bad is None else F.coalesce(bad, own)
 
     raw = SC.template(REQUEST, part, lambda parts: concat(*parts))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", raw.alias("raw"))
+    return EL.customers(spark, sf_dir).select("c_custkey", raw.alias("raw"))
 
 
 _BOX = SC.Record({k: SC.Number() for k in ("x", "y", "width", "height")})
