@@ -33,8 +33,8 @@ from piiguard.llm.tokens import cut_all, encode_words, spread
 
 SEQUENCE = 1024
 END_ID = 0
-#: Characters of text that are tokenized at once.
-SLICE_CHARS = 4 << 20
+#: Bytes of text that are tokenized at once; a longer text alone.
+SLICE_BYTES = 1 << 20
 
 
 def decompose(n: int, top: int = SEQUENCE) -> list[int]:
@@ -84,14 +84,14 @@ def _pieces(path: str, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ranks = TaskContext.get().partitionId(), {}
         for batch in released(batches):
-            texts = pc.fill_null(batch.column(1), "")
-            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            texts = batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
             while start < len(texts):
                 base = int(ends[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_CHARS)))
-                rows = []
-                for doc, ids in zip(batch.column(0).slice(start, stop - start).to_pylist(), tokenize(path, texts.slice(start, stop - start)), strict=True):
+                stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+                rows, part = [], pc.fill_null(texts.slice(start, stop - start), "")  # no second copy of the batch
+                for doc, ids in zip(batch.column(0).slice(start, stop - start).to_pylist(), tokenize(path, part), strict=True):
                     at = 0
                     for length in decompose(len(ids)):
                         rank = ranks.get(length, 0)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from piiguard.llm.common import materialize, released, shared_dir
-from piiguard.llm.packing import SLICE_CHARS, tokenize
+from piiguard.llm.packing import tokenize
 from piiguard.llm.tokens import squeeze, unsqueeze
 from piiguard.shared import open_folder
 
@@ -39,6 +39,8 @@ END_ID = 2
 #: Ids of a block, and bytes of a file, at which the writer closes it (what crosses it included).
 BLOCK_IDS = 1 << 20
 FILE_BYTES = 64 << 20
+#: Characters of text that are tokenized at once.
+SLICE_CHARS = 4 << 20
 MARK = 0x31425646
 _HEAD = struct.Struct("<4I")
 

@@ -1,5 +1,7 @@
 """Edge cases of WARC, packing and the pipeline: empty tables, nulls, repeated rows, clashing columns."""
 
+from types import SimpleNamespace
+
 import pyarrow as pa
 import pytest
 
@@ -40,6 +42,19 @@ def test_packing_in_slices(path, monkeypatch):
     assert whole == [x.tolist() for t in texts for x in packing.tokenize(path, pa.array([t.as_py()]))]
 
 
+def test_packing_tokenizes_little_at_a_time(path, monkeypatch):
+    """What a worker holds beside its batch is of a slice of 1 MB at most, or of one longer text."""
+    texts, seen, tokenize = [None, "word " * 60_000] * 6 + ["word " * 300_000, ""], [], packing.tokenize
+    monkeypatch.setattr(packing, "tokenize", lambda p, part: seen.append(part.to_pylist()) or tokenize(p, part))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_task", "_rank")])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = pa.Table.from_batches(packing._pieces(path, False, schema)(iter([batch])))
+    assert [t for part in seen for t in part] == [t or "" for t in texts]
+    assert all(sum(map(len, part)) <= 1 << 20 or len(part) == 1 for part in seen)
+    assert sum(got["length"].to_pylist()) == sum(len(x) for x in tokenize(path, pa.array([t or "" for t in texts])))
+
+
 def test_pipeline_keeps_columns_and_takes_odd_rows(spark, tmp_path):
     text = "the cat of the house and the dog of the garden are in the sun with a friend who is not here at the end of it "
     rows = [(1, text, "en", "s", 9, "k"), (2, text, "en", "s", 9, "k"), (None, text, None, None, None, "k"), (3, None, "en", "s", 0, "k"), (4, "", "en", "s", 0, "k"), (5, text + "but " + " ".join(f"the w{i}" for i in range(90)), "en", "s", 1, "k")]
