@@ -91,9 +91,9 @@ class Model:
 
 def ratios(columns: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Naive Bayes log-count ratio of each column, from the numbers of texts that have it."""
-    flat, row = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    pos = np.bincount(flat[y[row] == 1], minlength=1 << BITS)
-    neg = np.bincount(flat[y[row] == 0], minlength=1 << BITS)
+    pos, neg = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for c, label in zip(columns, y.tolist(), strict=True):  # a text has each column once
+        (pos if label == 1 else neg)[c] += 1
     ratio = np.log((pos + 1.0) / (y.sum() + 2.0)) - np.log((neg + 1.0) / ((1 - y).sum() + 2.0))
     ratio[(pos + neg < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
     return ratio
@@ -104,15 +104,18 @@ def linear(columns: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]
     ratio = ratios(columns, y)
     # each class carries half the weight while the slopes are fitted; the calibration is on true weights
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    flat, row = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    use = ratio[flat] != 0
-    flat, row = flat[use], row[use]
+    used = [c[ratio[c] != 0] for c in columns]  # before they are put together, as this is in the driver's memory
+    flat, row = np.concatenate(used).astype(np.int64), np.repeat(np.arange(len(used)), [len(c) for c in used])
+    del used
     value = ratio[flat]
     w, b, m, v, mb, vb = np.full(1 << BITS, 0.02), 0.0, np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(row, weights=w[flat] * value, minlength=len(y)) + b
+        z = np.bincount(row, weights=(w * ratio)[flat], minlength=len(y)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        gw = np.bincount(flat, weights=g[row] * value, minlength=1 << BITS) + DECAY * w / len(y)
+        part = g[row]
+        part *= value
+        gw = np.bincount(flat, weights=part, minlength=1 << BITS) + DECAY * w / len(y)
+        del part
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -126,7 +129,7 @@ def train(sample: list[tuple[str, int, float]]) -> Model:
     """A linear model of all rows, its margin calibrated on margins across folds and the true class sizes."""
     if len({y for _, y, _ in sample}) < 2:
         return Model(b"")
-    columns, y = [features(t) for t, _, _ in sample], np.array([s[1] for s in sample], np.float64)
+    columns, y = [features(t).astype(np.int32) for t, _, _ in sample], np.array([s[1] for s in sample], np.float64)
     fold, margin = np.empty(len(y), np.int64), np.empty(len(y))
     for label in (0, 1):  # both classes are dealt out by themselves, so that each fold has its share
         own = np.flatnonzero(y == label)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -139,3 +140,17 @@ def test_training_sample_is_defined(spark):
     few = common.labelled_sample(docs, labels, "y", 10, 50)
     assert len(few) == 20 and abs(sum(w for _, _, w in few) - len(ids)) < 1e-9
     assert common.labelled_sample(docs, labels.where("doc_id = -1"), "y", 10, 50) == []
+
+
+def test_toxicity_counts_columns_in_little_memory():
+    """The driver trains: beside the sample's columns it holds no number for each of them while it counts."""
+    rng = np.random.default_rng(3)
+    columns = [np.flatnonzero(rng.random(1 << T.BITS) < 0.3).astype(np.int32) for _ in range(60)]
+    y = np.arange(60.0) % 2
+    tracemalloc.start()
+    got = T.ratios(columns, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(map(len, columns))
+    pos, neg = (np.bincount(np.concatenate([c for c, label in zip(columns, y, strict=True) if label == k]), minlength=1 << T.BITS) for k in (1, 0))
+    assert np.array_equal(got != 0, (pos + neg >= T.LEAST_TEXTS) & (np.abs(np.log((pos + 1) / 32) - np.log((neg + 1) / 32)) >= T.LEAST_RATIO))
