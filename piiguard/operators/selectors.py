@@ -13,6 +13,8 @@ Selectors that are not understood (other pseudo-classes, bad names) meet nothing
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from piiguard.shared import materialize
@@ -22,8 +24,6 @@ _ATTRIBUTE = rf"""\[\s*({_NAME})\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|({_NA
 _PLACE = r":nth-of-type\(\s*([1-9][0-9]*)\s*\)"
 _COMPOUND = rf"(?:{_NAME}|\*)?(?:#{_NAME}|\.{_NAME}|{_ATTRIBUTE}|{_PLACE}|:first-of-type)*"
 _STEP = r"""([\s>+~]*)((?:[^\s>+~\[\]"']|\[[^\]]*\])+)"""
-#: Rounds of matching after which the state is written, so that plans stay short.
-ROUNDS_A_TABLE = 6
 
 
 def _stripped(text: Column) -> Column:
@@ -106,26 +106,30 @@ def match(steps: DataFrame, tree: DataFrame) -> DataFrame:
     # attribute test, whose lambda also reads the element's attributes
     met = met.withColumn("_row", F.monotonically_increasing_id())
     here = materialize(met.where(fits & (F.col("_row") >= 0)).select(*at, "step", "steps", "combinator", "node", "up", "last", "prev"), "candidates")
-    most = here.agg(F.max("steps")).first()[0] or 0
+    # a row a step of the longest selector; combinators that no selector has at a step are left out of its round
+    used = {r["step"]: set(r["marks"]) for r in here.groupBy("step").agg(F.collect_set("combinator").alias("marks")).collect()}
     state = here.where("step = 1").select(*at, "steps", "node", "up", "last")
     done = state.where("steps = 1").select(*at, "node")
-    for k in range(2, most + 1):
-        now = here.where((F.col("step") == k))
-        known = state.where(F.col("steps") >= k)
+    columns = [*at, "steps", "node", "up", "last"]
+    for k in range(2, max(used, default=0) + 1):
+        now, known, found = here.where(F.col("step") == k), state.where(F.col("steps") >= k), []
         by = lambda c, k=known: k.select(*at, F.col("node").alias(c))
-        child = now.where("combinator = '>'").join(by("up"), [*at, "up"], "left_semi")
-        after = now.where("combinator = '+'").join(by("prev"), [*at, "prev"], "left_semi")
-        first = known.where("up IS NOT NULL").groupBy(*at, "up").agg(F.min("node").alias("_first"))
-        later = now.where("combinator = '~'").join(first, [*at, "up"]).where("_first < node").drop("_first")
-        marked = now.where("combinator = ' '").withColumn("_reach", F.lit(None).cast("int")).unionByName(known.select(*at, "node", F.col("last").alias("_reach")), allowMissingColumns=True)
-        before = Window.partitionBy(*at).orderBy("node").rangeBetween(Window.unboundedPreceding, -1)
-        inside = marked.withColumn("_far", F.max("_reach").over(before)).where("step IS NOT NULL AND _far >= node")
-        columns = [*at, "steps", "node", "up", "last"]
-        state = child.select(*columns)
-        for more in (after, later, inside):
-            state = state.unionByName(more.select(*columns))
-        if k % ROUNDS_A_TABLE == 0 or k == most:
-            state = materialize(state, "matched")
+        marks = used.get(k, set())
+        if ">" in marks:
+            found.append(now.where("combinator = '>'").join(by("up"), [*at, "up"], "left_semi"))
+        if "+" in marks:
+            found.append(now.where("combinator = '+'").join(by("prev"), [*at, "prev"], "left_semi"))
+        if "~" in marks:
+            first = known.where("up IS NOT NULL").groupBy(*at, "up").agg(F.min("node").alias("_first"))
+            found.append(now.where("combinator = '~'").join(first, [*at, "up"]).where("_first < node").drop("_first"))
+        if " " in marks:
+            marked = now.where("combinator = ' '").withColumn("_reach", F.lit(None).cast("int")).unionByName(known.select(*at, "node", F.col("last").alias("_reach")), allowMissingColumns=True)
+            before = Window.partitionBy(*at).orderBy("node").rangeBetween(Window.unboundedPreceding, -1)
+            found.append(marked.withColumn("_far", F.max("_reach").over(before)).where("step IS NOT NULL AND _far >= node"))
+        if not found:
+            break  # no element meets this step, so no selector that has it is met
+        # each round reads the one before up to four times, so its result is written: plans would grow by that factor a round
+        state = materialize(functools.reduce(DataFrame.unionByName, [f.select(*columns) for f in found]), "matched")
         done = done.unionByName(state.where(F.col("steps") == k).select(*at, "node"))
     return done
 
