@@ -42,7 +42,8 @@ def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str] = ("page_id
     """
     sizes = left.select(_level("a").alias("v")).unionByName(right.select(_level("b").alias("v"))).where("v IS NOT NULL").distinct()
     levels = sorted(r["v"] for r in sizes.collect()) or [0]  # at most as many as there are powers of two in a double
-    met = _dealt(left, "a", levels).join(_dealt(right, "b", levels), [*on, "_level", "_cx", "_cy"])
+    # the cell first: rows are sorted by it, and pages and levels may be few
+    met = _dealt(left, "a", levels).join(_dealt(right, "b", levels), ["_cx", "_cy", "_level", *on])
     cell = F.pow(F.lit(2.0), F.col("_level"))
     corner = lambda c: F.floor(F.greatest(f"a{c}", f"b{c}") / cell)
     here = (F.col("_level") == F.greatest("_al", "_bl")) & (corner("x") == F.col("_cx")) & (corner("y") == F.col("_cy"))

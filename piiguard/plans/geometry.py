@@ -13,7 +13,8 @@ ONE_PAGE = "SELECT 1 AS page_id, (l_orderkey * 8 + l_linenumber) * 7919 % 100000
 
 
 def one_page(spark, sf_dir):
-    return EL._sql(spark, sf_dir, ONE_PAGE, "lineitem")
+    """The boxes, dealt before the overlap join copies each to its cells: their file may be few row groups, so few tasks."""
+    return EL._sql(spark, sf_dir, ONE_PAGE, "lineitem", dealt_by="l_orderkey")
 
 
 def _pairs(boxes):
@@ -23,7 +24,7 @@ def _pairs(boxes):
 
 
 def geo_overlap(spark, sf_dir):
-    return _pairs(EL.boxes(spark, sf_dir))
+    return _pairs(EL.boxes(spark, sf_dir, dealt_by="l_orderkey"))
 
 
 ORACLES["geo_overlap"] = f"SELECT page_id, a_id, b_id FROM ({EL._PAIR}) WHERE ax < bx + bw AND bx < ax + aw AND ay < byy + bh AND byy < ay + ah"
