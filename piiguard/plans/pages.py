@@ -100,7 +100,7 @@ def el_walk_lateral(spark, sf_dir):
 
 def san_context_pages(spark, sf_dir):
     """A sanitized context a page: origin, elements, redactions, and whether it leaks nothing."""
-    out = O.context(O.sanitized_deep(annotated(spark, sf_dir)[3]), _pages(spark, sf_dir))
+    out = O.context(O.sanitized_deep(O.with_values(annotated(spark, sf_dir)[3])), _pages(spark, sf_dir))
     return out.select("page_id", "url", F.to_json("elements").alias("elements"), F.coalesce(F.size("visual_regions"), F.lit(0)).cast("long").alias("n_regions"), "placeholders", "masks", "valid")
 
 
