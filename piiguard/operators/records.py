@@ -1,9 +1,8 @@
 """Sanitizing of nested records of any depth.
 
-A JSON record is flattened level by level into rows, a row a value: the record's key, the value's place (positions from the
-root), its name in an object, and its leaf. Strings are sanitized in place, and the record is rebuilt from the deepest level
-upwards, each object or array from its own members. So a record is never walked by a recursive function, a level
-costs one pass over that level's values only, and there are as many levels as the deepest record has.
+A JSON record is written anew by VARIANT, so that quotes stand around names and strings only, and is cut at its quotes: every second
+piece is a name or a string. Strings are sanitized in place and the pieces joined again. So a record is never walked by a
+recursive function, its depth costs nothing, and no record leaves its row: nothing is shuffled or kept on disk.
 
 Objects come out with their names in order and without repeated ones, as a VARIANT keeps them.
 """
@@ -14,10 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from piiguard.functions import patterns as P
 from piiguard.operators import text as T
-from piiguard.shared import materialize
 
 #: A string under this name is the value of a detection itself.
 OWN_VALUE = "originalValue"
+#: Stand for an escaped backslash and an escaped quote while a record is cut. JSON has control characters only as escapes.
+_ESCAPED = {"\\\\": "\x01", '\\"': "\x02"}
+
+#: What each phone number ends with, as a piece spells it: a white space between may be an escape.
+_NUMBER = "[0-9]{3}[^0-9]{0,6}[0-9]{4}"
 
 
 def _quoted(text: Column) -> Column:
@@ -26,58 +29,52 @@ def _quoted(text: Column) -> Column:
     return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
-def _kind(value: Column) -> Column:
-    """OBJECT, ARRAY, STRING or OTHER."""
-    schema = F.schema_of_variant(value)
-    return F.when(schema.startswith("OBJECT"), "OBJECT").when(schema.startswith("ARRAY"), "ARRAY").when(schema == "STRING", "STRING").otherwise("OTHER")
+def pieces(json: Column) -> Column:
+    """A record cut at the quotes of its names and strings, which are the pieces of odd place; null of what is no JSON."""
+    marked = F.to_json(F.try_parse_json(json))
+    for escape, mark in _ESCAPED.items():
+        marked = F.replace(marked, F.lit(escape), F.lit(mark))
+    return F.split(marked, '"', -1)
 
 
-def flatten(records: DataFrame) -> list[DataFrame]:
-    """The values of ``records`` (key, json), a table a level: key, place, name, kind, text.
+def _unmarked(piece: Column) -> Column:
+    for escape, mark in _ESCAPED.items():
+        piece = F.replace(piece, F.lit(mark), F.lit(escape))
+    return piece
 
-    ``text`` is the string itself for STRING, JSON for OTHER, null for what has members. A record that is no JSON has no rows.
-    """
-    value = F.try_parse_json("json")
-    level = records.select("key", F.array().cast("array<int>").alias("place"), F.lit(None).cast("string").alias("name"), value.alias("value")).where("value IS NOT NULL")
-    levels = []
-    while True:
-        kind = _kind(F.col("value"))
-        leaf = F.when(F.col("kind") == "STRING", F.variant_get("value", "$", "string")).when(F.col("kind") == "OTHER", F.to_json("value"))
-        here = materialize(level.withColumn("kind", kind).withColumn("text", leaf), f"level{len(levels)}")
-        levels.append(here.drop("value"))
-        inner = here.where("kind IN ('OBJECT', 'ARRAY')")
-        if inner.isEmpty():
-            return levels
-        level = _members(inner)
-
-
-def _members(inner: DataFrame) -> DataFrame:
-    return inner.sparkSession.sql(
-        "SELECT key, array_append(place, m.pos) AS place, m.name, m.value FROM {inner}, LATERAL variant_explode({inner}.value) AS m(pos, name, value)", inner=inner.select("key", "place", "value")
-    )
-
-
-def rebuild(levels: list[DataFrame]) -> DataFrame:
-    """key and json of the records whose values ``levels`` hold, deepest level last; ``text`` of STRING values is sanitized already."""
-    below: DataFrame | None = None
-    for at in range(len(levels) - 1, -1, -1):
-        here = levels[at]
-        leaf = F.when(F.col("kind") == "STRING", _quoted(F.col("text"))).when(F.col("kind") == "OTHER", F.col("text"))
-        if below is None:
-            made = here.select("key", "place", "name", leaf.alias("json"), "kind").withColumn("json", F.coalesce("json", F.when(F.col("kind") == "OBJECT", "{}").otherwise("[]")))
-        else:
-            joined = here.join(below, ["key", "place"], "left")
-            whole = F.when(F.col("kind") == "OBJECT", F.concat(F.lit("{"), F.coalesce("named", F.lit("")), F.lit("}")))
-            made = joined.select("key", "place", "name", F.coalesce(leaf, whole, F.concat(F.lit("["), F.coalesce("plain", F.lit("")), F.lit("]"))).alias("json"))
-        if at == 0:
-            return made.select("key", "json")
-        pos = F.element_at("place", -1)
-        up = F.slice("place", 1, F.size("place") - 1)
-        named = F.concat(_quoted(F.col("name")), F.lit(":"), F.col("json"))
-        packed = made.select("key", up.alias("place"), F.struct(pos.alias("pos"), F.coalesce(named, F.col("json")).alias("named"), "json").alias("m")).groupBy("key", "place").agg(F.sort_array(F.collect_list("m")).alias("m"))
-        joined_ = lambda f: F.array_join(F.transform("m", lambda m: m[f]), ",")
-        below = materialize(packed.select("key", "place", joined_("named").alias("named"), joined_("json").alias("plain")), f"rebuilt{at}")
-    raise ValueError("a record has at least one level")
+
+def _text(piece: Column) -> Column:
+    """The string that a piece spells."""
+    return F.variant_get(F.parse_json(F.concat(F.lit('"'), _unmarked(piece), F.lit('"'))), "$", "string")
+
+
+def _piece(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(3), F.length(listed) - 4)
+
+
+def _clean(text: Column, own: Column, values: Column) -> Column:
+    """A string sanitized; one under :data:`OWN_VALUE` that equals a detected value is that detection's placeholder."""
+    same = F.get(F.filter(values, lambda d: d["value"] == text), F.lit(0))
+    return F.when(own & (text != "") & same.isNotNull(), P.placeholder(same["type"])).otherwise(T.sanitize_values(text, values))
+
+
+def sanitized(json: Column, detections: Column) -> Column:
+    """A record with every string sanitized; names stay as they are. A string that nothing can be replaced in is not looked at further."""
+    none = F.array().cast("array<struct<value:string,type:string>>")
+    values = F.filter(F.coalesce(detections, none), lambda d: d["value"].isNotNull())
+
+    def joined(r: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before, after = F.get(r["pieces"], i - 1), F.get(r["pieces"], i + 1)
+            own = (before == ":") & (F.get(r["pieces"], i - 2) == OWN_VALUE)
+            able = (F.size(r["values"]) > 0) | F.contains(x, F.lit("@")) | x.rlike(_NUMBER)
+            cleaned = P.bind(_text(x), lambda text: _piece(_clean(text, own, r["values"])))
+            return F.when((i % 2 == 1) & ~after.startswith(":") & able, cleaned).otherwise(x)
+
+        return F.array_join(F.transform(r["pieces"], piece), '"')
+
+    return _unmarked(P.bind(F.struct(pieces(json).alias("pieces"), values.alias("values")), joined))
 
 
 def sanitize_records(records: DataFrame) -> DataFrame:
@@ -87,19 +84,6 @@ def sanitize_records(records: DataFrame) -> DataFrame:
     detection; all others have the detected values and the tail patterns replaced. Names stay as they are. What is no
     JSON has a null.
     """
-    records = materialize(records, "records")  # each level asks for the detections
-    levels = flatten(records)
-    found = records.select("key", "detections")
-
-    def clean(level: DataFrame) -> DataFrame:
-        strings = level.join(found, "key", "left")
-        none = F.array().cast("array<struct<value:string,type:string>>")
-        values = F.coalesce("detections", none)
-        same = F.get(F.filter(values, lambda d: d["value"] == F.col("text")), F.lit(0))
-        own = (F.col("name") == OWN_VALUE) & (F.col("text") != "") & same.isNotNull()
-        # of no string is nothing to be replaced
-        text = F.when(F.col("kind") != "STRING", F.col("text")).when(own, P.placeholder(same["type"])).otherwise(T.sanitize_values(F.col("text"), F.filter(values, lambda d: d["value"].isNotNull())))
-        return strings.withColumn("text", text).drop("detections")
-
-    built = rebuild([clean(level) for level in levels])
-    return records.select("key").join(built, "key", "left")
+    # named twice, so that the optimizer does not make the record anew inside of the lambdas, which are not compiled
+    clean = F.when(F.col("json").isNotNull(), sanitized(F.col("json"), F.col("detections")))
+    return records.select("key", clean.alias("json"))
