@@ -12,9 +12,9 @@ QUERIES, ORACLES = {}, {}
 ONE_PAGE = "SELECT 1 AS page_id, (l_orderkey * 8 + l_linenumber) * 7919 % 1000003 AS box_id, l_orderkey * 16.0E0 AS x, l_suppkey % 500 + 0.0E0 AS y, l_quantity * 4 AS w, l_quantity * 3 AS h, l_discount * 10 AS score FROM lineitem"
 
 
-def one_page(spark, sf_dir):
+def one_page(spark, sf_dir, dealt_by: str | None = "l_orderkey"):
     """The boxes, dealt before the overlap join copies each to its cells: their file may be few row groups, so few tasks."""
-    return EL._sql(spark, sf_dir, ONE_PAGE, "lineitem", dealt_by="l_orderkey")
+    return EL._sql(spark, sf_dir, ONE_PAGE, "lineitem", dealt_by=dealt_by)
 
 
 def _pairs(boxes):
@@ -41,7 +41,7 @@ ORACLES["geo_overlap_page"] = f"""WITH p AS MATERIALIZED ({ONE_PAGE}) SELECT a.p
 
 def geo_nms_page(spark, sf_dir):
     """Suppression over one page with all boxes, without a limit of how many are kept."""
-    return G.suppress(one_page(spark, sf_dir), most=None).select("box_id", "score")
+    return G.suppress(one_page(spark, sf_dir, dealt_by=None), most=None)  # which sorts them first.select("box_id", "score")
 
 
 for _f in (geo_overlap, geo_overlap_page, geo_nms_page):
