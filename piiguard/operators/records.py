@@ -2,7 +2,7 @@
 
 A JSON record is written anew by VARIANT, so that quotes stand around names and strings only, and is cut at its quotes: every second
 piece is a name or a string. Strings are sanitized in place and the pieces joined again. So a record is never walked by a
-recursive function, its depth costs nothing, and no record leaves its row: nothing is shuffled or kept on disk.
+recursive function, its depth costs nothing, and no record leaves its row: nothing is shuffled, and records are kept once.
 
 Objects come out with their names in order and without repeated ones, as a VARIANT keeps them.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from piiguard.functions import patterns as P
 from piiguard.operators import text as T
+from piiguard.shared import materialize
 
 #: A string under this name is the value of a detection itself.
 OWN_VALUE = "originalValue"
@@ -84,6 +85,5 @@ def sanitize_records(records: DataFrame) -> DataFrame:
     detection; all others have the detected values and the tail patterns replaced. Names stay as they are. What is no
     JSON has a null.
     """
-    # named twice, so that the optimizer does not make the record anew inside of the lambdas, which are not compiled
-    clean = F.when(F.col("json").isNotNull(), sanitized(F.col("json"), F.col("detections")))
-    return records.select("key", clean.alias("json"))
+    records = materialize(records, "records")  # made by compiled code; in the lambdas below, which are not, it takes long
+    return records.select("key", sanitized(F.col("json"), F.col("detections")).alias("json"))
